@@ -1 +1,278 @@
-QUERIES, SQL = {}, {}
+"""Request grids, response parsing, similarity retrieval and choice parsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from surveyspark.functions import text as X
+from surveyspark.functions.numbers import r4
+from surveyspark.operators import requests as R
+from surveyspark.operators import similarity as S
+from surveyspark.queries import views as V
+from surveyspark.queries.catalog import INDEX, PARSED
+from surveyspark.queries.views import s4, with_views
+from surveyspark.sources.catalog import question_texts
+
+LEAKAGE = 0.25  # the given vectors have no pair above the default
+
+
+def md5(c):
+    return F.md5(c.cast("binary"))
+
+
+def _targets(spark, sf):
+    rated = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id")
+    return rated.select(F.col("lang").alias("survey"), F.concat(F.lit("V"), "doc_id").alias("target"))
+
+
+def _countries(spark, sf):
+    return V.table(spark, sf, "documents").select(
+        F.col("lang").alias("survey"), F.col("source").alias("country")).distinct()
+
+
+def grid_cells(spark, sf):
+    return R.grid_cells(_targets(spark, sf), _countries(spark, sf))
+
+
+def request_grid(spark, sf):
+    return R.request_grid(_targets(spark, sf), _countries(spark, sf)).select("survey", "target", "country", "condition")
+
+
+def build_requests(spark, sf):
+    targets = _targets(spark, sf)
+    texts = question_texts(V.variables(spark, sf), targets.select(F.col("target").alias("var_code")))
+    asked = targets.join(texts.withColumnRenamed("var_code", "target"), "target")
+    out = R.build_requests(R.request_grid(asked, _countries(spark, sf)))
+    return out.select("survey", "target", "country", "condition", md5(F.col("request")).alias("request_md5"))
+
+
+def strip_fence(spark, sf):
+    body = X.strip_fence(F.col("raw_response"))
+    return V.responses(spark, sf).select("response_id", F.char_length(body).cast("bigint").alias("n_chars"),
+                                         md5(body).alias("body_md5"))
+
+
+def parse_features(spark, sf):
+    return R.parse_responses(V.responses(spark, sf)).select(
+        "response_id", "target", "country", "condition", F.col("n_features").cast("bigint").alias("n_features"),
+        F.col("parse_error").isNotNull().alias("failed"))
+
+
+def _features(spark, sf):
+    return R.requested_features(R.parse_responses(V.responses(spark, sf)), ["response_id"])
+
+
+def explode_features(spark, sf):
+    return _features(spark, sf).select("response_id", F.col("feature_rank").cast("bigint").alias("feature_rank"),
+                                       "feature_label", "feature_reasoning")
+
+
+def combined_text(spark, sf):
+    return _features(spark, sf).select("response_id", F.col("feature_rank").cast("bigint").alias("feature_rank"),
+                                       "combined_text")
+
+
+def similarity_pairs(spark, sf):
+    pairs = S.similar_pairs(V.request_vectors(spark, sf), "request_id", ["label_vector"],
+                            V.variable_vectors(spark, sf), "var_code", "vector", S.MIN_SIMILARITY)
+    return pairs.select("request_id", "var_code", r4(F.col("similarity")).alias("similarity"))
+
+
+def max_similarity(spark, sf):
+    pairs = S.similar_pairs(V.request_vectors(spark, sf), "request_id", ["label_vector", "combined_vector"],
+                            V.variable_vectors(spark, sf), "var_code", "vector", S.MIN_SIMILARITY)
+    return pairs.select("request_id", "var_code", r4(F.col("similarity")).alias("similarity"))
+
+
+def leakage_exclusion(spark, sf):
+    targets = V.variable_vectors(spark, sf).select(
+        F.col("var_code").alias("target"), F.col("vector").alias("target_vector"))
+    return S.excluded_variables(targets, V.variable_vectors(spark, sf), LEAKAGE)
+
+
+def _nearest(spark, sf):
+    return S.nearest_variables(V.request_vectors(spark, sf), V.variable_vectors(spark, sf), leakage=LEAKAGE)
+
+
+def similarity_topk(spark, sf):
+    return _nearest(spark, sf).select("request_id", "var_code", "similarity", F.col("cand_rank").cast("bigint").alias("cand_rank"))
+
+
+def _mapped(spark, sf):
+    texts = V.table(spark, sf, "documents").select(F.concat(F.lit("V"), "doc_id").alias("var_code"),
+                                                   F.col("text").alias("question_text"))
+    requests = V.request_vectors(spark, sf).select(
+        "request_id", "target", F.concat(F.lit("trait "), "request_id").alias("feature_label"),
+        F.when(F.col("request_id") % 3 == 0, "").otherwise(F.concat(F.lit("because of "), "target")).alias("feature_reasoning"))
+    return S.candidate_lists(_nearest(spark, sf), requests, texts)
+
+
+def top_match(spark, sf):
+    return _mapped(spark, sf).select("request_id", F.size("candidates").cast("bigint").alias("n_candidates"),
+                                     "top_match_code", "top_match_score")
+
+
+def format_candidates(spark, sf):
+    return _mapped(spark, sf).select("request_id", md5(X.candidate_block(F.col("candidates"))).alias("block_md5"))
+
+
+def build_choice_requests(spark, sf):
+    return R.choice_requests(_mapped(spark, sf)).select("request_id", md5(F.col("request")).alias("request_md5"))
+
+
+def resolve_choice(spark, sf):
+    """Answers are letters one beyond the candidate range, phrases and "none"."""
+    i = F.col("request_id")
+    letter = F.substring(F.lit("ABCDEZ"), ((i % 6) + 1).cast("int"), F.lit(1))
+    raw = F.when(i % 7 == 0, "none").when(i % 2 == 0, letter).otherwise(F.concat(F.lit("Answer: "), letter))
+    out = R.resolve_choices(_mapped(spark, sf).withColumn("raw_choice", raw))
+    return out.select("request_id", "selected_rank", "selected_code", md5(F.col("selected_text")).alias("text_md5"),
+                      "choice_response")
+
+
+def parse_choice(spark, sf):
+    return V.choices(spark, sf).select("conv_id", "turn", "n_candidates",
+                                       X.parse_choice(F.col("raw"), F.col("n_candidates"), most=5).cast("int").alias("choice"))
+
+
+def parse_choice_legacy(spark, sf):
+    return V.choices(spark, sf).select("conv_id", "turn", "n_candidates",
+                                       X.parse_choice(F.col("raw"), F.col("n_candidates"), legacy=True).cast("int").alias("choice"))
+
+
+def demographic_flag(spark, sf):
+    label = F.col("feature_label")
+    return V.mappings(spark, sf).groupBy("feature_label").agg(F.count(F.lit(1)).alias("n")).select(
+        "feature_label", "n", X.is_demographic(label).alias("is_demographic"),
+        X.is_demographic(label, whole_word=True).alias("is_demographic_word"))
+
+
+def set_ops(spark, sf):
+    """Selected features of a cell that are, or are not, among its top five."""
+    from surveyspark.operators.importance import top_k
+    from surveyspark.operators.mapping import flag_hits, selected_features
+
+    keys = ["target", "country", "condition"]
+    chosen = selected_features(V.mappings(spark, sf), keys)
+    top = top_k(V.importances(spark, sf), 5).select(F.col("target_variable").alias("target"), "country", "feature_variable")
+    conditions = chosen.select(*keys).distinct()
+    return flag_hits(chosen, top.join(conditions, ["target", "country"]), keys).select(*keys, "selected_code", "hit")
+
+
+QUERIES = {
+    "grid_cells": grid_cells, "request_grid": request_grid, "build_requests": build_requests,
+    "strip_fence": strip_fence, "parse_features": parse_features, "explode_features": explode_features,
+    "combined_text": combined_text, "similarity_pairs": similarity_pairs, "max_similarity": max_similarity,
+    "leakage_exclusion": leakage_exclusion, "similarity_topk": similarity_topk, "top_match": top_match,
+    "format_candidates": format_candidates, "build_choice_requests": build_choice_requests,
+    "resolve_choice": resolve_choice, "parse_choice": parse_choice, "parse_choice_legacy": parse_choice_legacy,
+    "demographic_flag": demographic_flag, "hits": set_ops,
+}
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_fill(template: str, **values: str) -> str:
+    import re
+
+    pieces = re.split(r"\{(\w+)\}", template)
+    return "(" + " || ".join(values[p] if i % 2 else _q(p) for i, p in enumerate(pieces)) + ")"
+
+
+_CELLS = {
+    "targets": ([], "SELECT lang AS survey, 'V' || d.doc_id AS target FROM documents d JOIN labels l ON d.doc_id = l.doc_id"),
+    "lands": ([], "SELECT DISTINCT lang AS survey, source AS country FROM documents"),
+    "grid": (["targets", "lands"], """
+        SELECT survey, target, CAST(NULL AS VARCHAR) AS country, 'unprompted' AS condition FROM targets UNION ALL
+        SELECT t.survey, target, country, 'country_provided' FROM targets t JOIN lands l ON t.survey = l.survey"""),
+    "question": (["variables"], r"""
+        SELECT var_code, regexp_replace(coalesce(nullif(question, ''), nullif(description, ''), var_code), '^\s+|\s+$', '', 'g') AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY var_code ORDER BY ordinal) AS rn FROM variables) WHERE rn = 1"""),
+}
+_UNNEST = {"listed": (["parsed"], """
+    SELECT response_id, CAST(i AS BIGINT) AS feature_rank,
+           json_extract_string(body, '$[' || i || '].feature') AS feature_label,
+           json_extract_string(body, '$[' || i || '].reasoning') AS feature_reasoning
+    FROM (SELECT response_id, body, unnest(range(n_features::BIGINT)) AS i FROM parsed WHERE n_features > 0)""")}
+_SIMS = {
+    "sims": (["request_vectors", "variable_vectors"], """
+        SELECT r.request_id, r.target, v.var_code, list_dot_product(r.label_vector, v.vector) AS s1,
+               greatest(list_dot_product(r.label_vector, v.vector), list_dot_product(r.combined_vector, v.vector)) AS s2,
+               list_dot_product(r.target_vector, v.vector) AS st
+        FROM request_vectors r CROSS JOIN variable_vectors v"""),
+    "near": (["sims"], f"""
+        SELECT request_id, target, var_code, {s4('s2')} AS similarity, rn - 1 AS cand_rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY request_id
+                 ORDER BY floor(s2 * 1e6::DOUBLE + 0.5::DOUBLE) DESC, var_code) AS rn
+          FROM sims WHERE s2 >= 0.3 AND var_code <> target AND st <= {LEAKAGE}) WHERE rn <= 5"""),
+    "mapped": (["near", "request_vectors"], """
+        SELECT r.request_id, r.target, 'trait ' || r.request_id AS feature_label,
+               CASE WHEN r.request_id % 3 = 0 THEN '' ELSE 'because of ' || r.target END AS feature_reasoning,
+               coalesce(n.c, 0) AS n_candidates, n.block, n.codes, n.texts, n.sims
+        FROM request_vectors r LEFT JOIN (
+          SELECT request_id, count(*) AS c,
+                 string_agg(chr(CAST(65 + cand_rank AS INTEGER)) || '. [' || var_code || '] ' || text, chr(10) ORDER BY cand_rank) AS block,
+                 list(var_code ORDER BY cand_rank) AS codes, list(text ORDER BY cand_rank) AS texts,
+                 list(similarity ORDER BY cand_rank) AS sims
+          FROM near JOIN documents ON 'V' || doc_id = var_code GROUP BY 1) n ON n.request_id = r.request_id"""),
+}
+_CHOICE = X.CHOICE_REQUEST
+_LETTER = "nullif(regexp_extract({t}, '(?:^|\\W)([A-E])(?:\\W|$)', 1), '')"
+_UP = r"upper(regexp_replace(raw, '^\s+|\s+$', '', 'g'))"
+_TERMS = "[" + ", ".join(_q(t) for t in X.DEMOGRAPHIC_TERMS) + "]"
+
+SQL = {
+    "grid_cells": with_views("SELECT survey, target, country FROM grid WHERE country IS NOT NULL", "grid", extra=_CELLS),
+    "request_grid": with_views("SELECT * FROM grid", "grid", extra=_CELLS),
+    "build_requests": with_views(f"""
+        SELECT survey, target, country, condition, md5(CASE WHEN country IS NULL THEN {sql_fill(X.REQUEST_UNPROMPTED, question='q.text')}
+               ELSE {sql_fill(X.REQUEST_COUNTRY, question='q.text', country='country')} END) AS request_md5
+        FROM grid JOIN question q ON q.var_code = target""", "grid", "question", extra=_CELLS),
+    "strip_fence": with_views("SELECT response_id, length(body) AS n_chars, md5(body) AS body_md5 FROM parsed", "parsed", extra=PARSED),
+    "parse_features": with_views("""SELECT response_id, target, country, condition, CAST(n_features AS BIGINT) AS n_features,
+        NOT is_list AS failed FROM parsed""", "parsed", extra=PARSED),
+    "explode_features": with_views("SELECT * FROM listed", "listed", extra={**PARSED, **_UNNEST}),
+    "combined_text": with_views("""SELECT response_id, feature_rank, CASE WHEN feature_reasoning <> ''
+        THEN feature_label || ': ' || feature_reasoning ELSE feature_label END AS combined_text FROM listed""",
+                                "listed", extra={**PARSED, **_UNNEST}),
+    "similarity_pairs": with_views(f"SELECT request_id, var_code, {s4('s1')} AS similarity FROM sims WHERE s1 >= 0.3", "sims", extra=_SIMS),
+    "max_similarity": with_views(f"SELECT request_id, var_code, {s4('s2')} AS similarity FROM sims WHERE s2 >= 0.3", "sims", extra=_SIMS),
+    "leakage_exclusion": with_views(f"""SELECT DISTINCT t.var_code AS target, v.var_code FROM variable_vectors t
+        JOIN variable_vectors v ON t.var_code = v.var_code OR list_dot_product(t.vector, v.vector) > {LEAKAGE}""", "variable_vectors"),
+    "similarity_topk": with_views("SELECT request_id, var_code, similarity, cand_rank FROM near", "near", extra=_SIMS),
+    "top_match": with_views("""SELECT request_id, n_candidates, codes[1] AS top_match_code, sims[1] AS top_match_score
+        FROM mapped""", "mapped", extra=_SIMS),
+    "format_candidates": with_views("SELECT request_id, md5(coalesce(block, '')) AS block_md5 FROM mapped", "mapped", extra=_SIMS),
+    "build_choice_requests": with_views(f"""SELECT request_id, md5({sql_fill(_CHOICE, feature_label='feature_label',
+        feature_reasoning='feature_reasoning', candidates_block='block')}) AS request_md5
+        FROM mapped WHERE n_candidates > 0""", "mapped", extra=_SIMS),
+    "resolve_choice": with_views(f"""
+        SELECT request_id, CASE WHEN ok THEN CAST(pos AS INTEGER) END AS selected_rank, CASE WHEN ok THEN codes[pos + 1] END AS selected_code,
+               CASE WHEN ok THEN md5(texts[pos + 1]) END AS text_md5,
+               CASE WHEN n_candidates = 0 THEN 'no candidates' ELSE raw END AS choice_response
+        FROM (SELECT *, ascii(letter) - 65 AS pos, coalesce(raw <> 'none' AND ascii(letter) - 65 < n_candidates, false) AS ok FROM (
+          SELECT *, {_LETTER.format(t='upper(raw)')} AS letter FROM (
+            SELECT *, CASE WHEN request_id % 7 = 0 THEN 'none'
+                WHEN request_id % 2 = 0 THEN substr('ABCDEZ', CAST(request_id % 6 AS INTEGER) + 1, 1)
+                ELSE 'Answer: ' || substr('ABCDEZ', CAST(request_id % 6 AS INTEGER) + 1, 1) END AS raw FROM mapped)))""",
+                                "mapped", extra=_SIMS),
+    "parse_choice": with_views(f"""
+        SELECT conv_id, turn, n_candidates, CAST(CASE WHEN NOT contains(t, 'NONE') AND ascii(l) - 65 < n_candidates THEN ascii(l) - 65 END AS INTEGER) AS choice
+        FROM (SELECT *, {_LETTER.format(t='t')} AS l FROM (SELECT *, {_UP} AS t FROM choices))""", "choices"),
+    "parse_choice_legacy": with_views(f"""
+        SELECT conv_id, turn, n_candidates, CAST(CASE WHEN NOT contains(t, 'NONE') THEN
+          list_min(list_filter(range(n_candidates), lambda i: contains(t, chr(CAST(65 + i AS INTEGER))))) END AS INTEGER) AS choice
+        FROM (SELECT *, {_UP} AS t FROM choices)""", "choices"),
+    "demographic_flag": with_views(f"""
+        SELECT feature_label, count(*) AS n, len(list_filter({_TERMS}, lambda t: contains(lower(feature_label), t))) > 0 AS is_demographic,
+               regexp_matches(lower(feature_label), '\\b(' || array_to_string({_TERMS}, '|') || ')\\b') AS is_demographic_word
+        FROM mappings GROUP BY feature_label""", "mappings"),
+    "hits": with_views("""
+        SELECT m.target, m.country, m.condition, m.selected_code, coalesce(t.rn <= 5, false) AS hit
+        FROM (SELECT DISTINCT target, country, condition, selected_code FROM mappings WHERE selected_code IS NOT NULL) m
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY target_variable, country ORDER BY importance_mean DESC, feature_variable) AS rn
+                   FROM importances) t ON t.target_variable = m.target AND t.country = m.country AND t.feature_variable = m.selected_code""",
+                       "mappings", "importances"),
+}

@@ -113,7 +113,7 @@ def responses(spark, sf_dir) -> DataFrame:
     """Raw response texts from documents: whole text, one feature per sentence."""
     doc = F.col("doc_id")
     clean = F.regexp_replace("text", "[^A-Za-z. ]+", " ")
-    sentences = F.filter(F.transform(F.split(clean, r"\."), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(clean, r"\."), lambda s: F.trim(s)), lambda s: s != "")
     items = F.transform(sentences, lambda s: F.concat(
         F.lit('{"feature": "'), s, F.lit('", "reasoning": "'), "lang", F.lit('"}')))
     body = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
