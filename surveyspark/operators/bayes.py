@@ -22,73 +22,104 @@ ALPHA = 1.0  # additive smoothing
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``ll``: cell, fold, feature, val, ll (one log likelihood per class).
+    """``pool``: cell, feature; features with at least one answer in the cell.
+    ``ll``: cell, fold, feature, val, ll (one per class), key, _place, i.
 
-    ``priors``: cell, fold, prior (per class), n_test. ``counts``: cell,
-    feature, val, y, fold, n.
+    ``priors``: cell, fold, n_test, prior (per class). ``counts``: cell,
+    feature, val, y, fold, n. ``_place`` is one number for (cell, fold), ``key``
+    one for (cell, fold, feature, val); both are checked to be unique.
     """
 
     profiles: Profiles
     counts: Materialized
     ll: Materialized
     priors: Materialized
+    pool: Materialized
+    salt: int
+
+    def place(self) -> Column:
+        """First half of the key, taken once per row before expanding it."""
+        return place(self.salt)
+
+    def answer_keys(self) -> Column:
+        """The keys of all answers ``x`` of a row with its ``_place``."""
+        n = len(self.profiles.features)
+        return F.array(*[answer_key("_place", F.lit(i), F.get("x", F.lit(i))) for i in range(n)])
+
+
+def place(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), *[F.col(c) for c in (*CELL, "fold")])
+
+
+def answer_key(place_col: str, index: Column, val: Column) -> Column:
+    return F.xxhash64(place_col, index.cast("int"), val)
 
 
 def answer_counts(profiles: Profiles) -> DataFrame:
     """Rows per (cell, feature, answer, class, fold); combined before the shuffle."""
-    return profiles.answers().groupBy(*CELL, "feature", "val", "y", "fold").agg(
+    rows = profiles.df.select(*CELL, "y", "fold", "x")
+    return profiles.answers(rows).groupBy(*CELL, "feature", "val", "y", "fold").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-def _train_count(obs: Column, cls: Column, fold: Column) -> Column:
-    kept = F.filter(obs, lambda o: (o["y"] == cls) & (o["fold"] != fold))
-    return F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, o: acc + o["n"])
+def _by_class_and_fold(p: Profiles) -> list[Column]:
+    """Aggregates ``n<class>_<fold>``: rows per class and fold."""
+    return [F.expr(f"sum(if(y = {c} and fold = {f}, n, 0)) as n{c}_{f}")
+            for c in range(p.n_classes) for f in range(p.n_folds)]
+
+
+def _training_counts(p: Profiles) -> Column:
+    """Per fold, the class counts of all other folds."""
+    folds = range(p.n_folds)
+    rows = ["array(" + ", ".join(
+        " + ".join([f"n{c}_{g}" for g in folds if g != f] or ["0L"]) for c in range(p.n_classes)) + ")" for f in folds]
+    return F.expr("array(" + ", ".join(rows) + ")")
 
 
 def fit(profiles: Profiles) -> BayesModel:
     """All tables here have at most one row per answer option and fold."""
-    counts = materialize(answer_counts(profiles))
+    p = profiles
+    counts = materialize(answer_counts(p))
     used = counts.df.where(F.col("y").isNotNull())
-    folds = F.sequence(F.lit(0), F.lit(profiles.n_folds - 1))
     # every respondent answers every feature once (missing included), so any
     # one feature gives the class sizes
     sizes = (used.groupBy(*CELL, "feature", "fold", "y").agg(F.sum("n").alias("n"))
              .groupBy(*CELL, "fold", "y").agg(F.max("n").alias("n")))
     cells = (
-        sizes.groupBy(*CELL).agg(F.collect_list(F.struct("fold", "y", "n")).alias("sizes"),
-                                 F.max("y").alias("last_y"))
-        .withColumn("fold", F.explode(folds))
-        .withColumn("n_train", F.transform(F.sequence(F.lit(0), F.col("last_y")),
-                                           lambda c: _train_count(F.col("sizes"), c, F.col("fold"))))
-        .withColumn("n_test", F.aggregate(F.filter("sizes", lambda o: o["fold"] == F.col("fold")),
-                                          F.lit(0).cast("bigint"), lambda acc, o: acc + o["n"]))
+        sizes.groupBy(*CELL).agg(F.max("y").alias("_last"), F.sum("n").alias("_all"), *_by_class_and_fold(p))
+        .select(*CELL, "_last", "_all", F.posexplode(_training_counts(p)).alias("fold", "_n"))
+        .withColumn("n_train", F.slice("_n", F.lit(1), (F.col("_last") + 1).cast("int")))
     )
     total = F.aggregate("n_train", F.lit(0).cast("bigint"), lambda acc, v: acc + v)
     priors = materialize(cells.withColumn("_total", total).select(
-        *CELL, "fold", "n_test", "n_train",
+        *CELL, "fold", (F.col("_all") - F.col("_total")).alias("n_test"), "n_train",
         F.transform("n_train", lambda n: F.ln(
             (n + F.lit(ALPHA)) / (F.col("_total") + F.lit(ALPHA) * F.size("n_train")))).alias("prior")))
 
-    seen = used.groupBy(*CELL, "feature", "val").agg(
-        F.collect_list(F.struct("fold", "y", "n")).alias("obs"))
     trained = (
-        seen.join(priors.df.select(*CELL, "fold", "n_train"), CELL)
-        .withColumn("m", F.transform("n_train", lambda _, c: _train_count(F.col("obs"), c, F.col("fold"))))
-        .withColumn("in_training", F.exists("m", lambda v: v > 0).cast("bigint"))
-        .drop("obs")
+        used.groupBy(*CELL, "feature", "val").agg(*_by_class_and_fold(p))
+        .select(*CELL, "feature", "val", F.posexplode(_training_counts(p)).alias("fold", "m"))
+        .withColumn("in_training", (F.array_max("m") > 0).cast("bigint"))
     )
     options = trained.groupBy(*CELL, "feature", "fold").agg(F.sum("in_training").alias("n_options"))
-    ll = materialize(trained.join(options, [*CELL, "feature", "fold"]).select(
-        *CELL, "fold", "feature", "val",
-        F.zip_with("m", "n_train", lambda m, n: F.ln(
-            (m + F.lit(ALPHA)) / (n + F.lit(ALPHA) * F.col("n_options")))).alias("ll")))
-    return BayesModel(profiles, counts, ll, priors)
-
-
-def feature_pool(model: BayesModel) -> DataFrame:
-    """``(cell, feature)`` for features with at least one answer in the cell."""
-    return (model.counts.df.where(F.col("val") != MISSING)
-            .select(*CELL, "feature").distinct())
+    likely = (
+        trained.join(options, [*CELL, "feature", "fold"])
+        .join(priors.df.select(*CELL, "fold", "n_train"), [*CELL, "fold"])
+        .withColumn("ll", F.zip_with(F.slice("m", F.lit(1), F.size("n_train")), "n_train", lambda m, n: F.ln(
+            (m + F.lit(ALPHA)) / (n + F.lit(ALPHA) * F.col("n_options")))))
+        .withColumn("i", F.array_position(F.array(*[F.lit(f) for f in p.features]), F.col("feature")) - 1)
+    )
+    pool = materialize(counts.df.where(F.col("val") != MISSING).select(*CELL, "feature").distinct())
+    # every answer that can be looked up is a row here, so distinct keys are
+    # enough for the one-number join to be exact
+    for salt in range(8):
+        ll = materialize(likely.withColumn("_place", place(salt))
+                         .withColumn("key", answer_key("_place", F.col("i"), F.col("val")))
+                         .select(*CELL, "fold", "feature", "val", "ll", "key", "_place", F.col("i").cast("int")))
+        places = priors.df.select(place(salt)).distinct().count()
+        if places == priors.rows and ll.df.select("key").distinct().count() == ll.rows:
+            return BayesModel(p, counts, ll, priors, pool, salt)
+    raise RuntimeError("no collision-free key found")
 
 
 def rounded(score: Column) -> Column:
@@ -112,36 +143,48 @@ def with_best_class(df: DataFrame, scores: list[Column], out: str) -> DataFrame:
     return df.withColumn(out, pick).drop("_best", *names)
 
 
-def test_rows(profiles: Profiles) -> DataFrame:
-    """Exploded answers of the rows that are scored."""
-    return profiles.answers().where(F.col("y").isNotNull())
+def test_rows(model: BayesModel) -> DataFrame:
+    """Exploded answers of the rows that are scored, with their likelihoods.
 
+    Adds ``ll`` per class and ``key``.
+    """
+    p = model.profiles
+    rows = p.answers(p.by_respondent().withColumn("_place", model.place()))
+    rows = rows.withColumn("key", answer_key("_place", F.col("i"), F.col("val"))).drop("_place", "i")
+    return model.ll.narrow("key", "ll").join_into(rows, ["key"], spread=p.id_col)
 
-def predict_sets(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
-    """Held-out class per respondent, over all features or per feature set.
 
-    ``sets`` is ``(cell, set_id, feature)``. Result: cell, respondent, fold, y,
-    [set_id,] pred. The profiles are already partitioned by respondent, so the
-    sum over features needs no shuffle of its own.
+def score_columns(profiles: Profiles) -> list[str]:
+    return [f"_s{c}" for c in range(profiles.n_classes)]
+
+
+def class_scores(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
+    """Held-out score per class, over all features or per feature set.
+
+    ``sets`` is ``(cell, set_id, feature)``. Result: cell, respondent, fold,
+    pos, y, [set_id,] and one column per class. The profiles are already
+    partitioned by respondent, so the sum over features needs no shuffle of its
+    own.
     """
     p = model.profiles
-    group = [*CELL, p.id_col, "fold", "y"]
-    scored = test_rows(p)
-    keys = [*CELL, "fold", "feature", "val"]
-    if sets is None:
-        scored = model.ll.join_into(scored, keys, spread=p.id_col)
-    else:
+    group = [*CELL, p.id_col, "fold", "pos", "y"]
+    scored = test_rows(model)
+    if sets is not None:
         group.append("set_id")
-        used = materialize(
-            model.ll.df.join(sets.groupBy(*CELL, "feature").agg(
-                F.collect_list("set_id").alias("set_ids")), [*CELL, "feature"]))
-        scored = (used.join_into(scored, keys, spread=p.id_col)
+        lists = materialize(sets.groupBy(*CELL, "feature").agg(F.collect_list("set_id").alias("set_ids")))
+        scored = (lists.join_into(scored, [*CELL, "feature"], spread=p.id_col)
                   .withColumn("set_id", F.explode("set_ids")))
-    sums = scored.groupBy(*group).agg(
-        *[F.sum(F.get("ll", F.lit(c))).alias(f"_s{c}") for c in range(p.n_classes)])
-    with_prior = model.priors.join_into(sums, [*CELL, "fold"], spread=p.id_col)
-    scores = [F.col(f"_s{c}") + F.get("prior", F.lit(c)) for c in range(p.n_classes)]
-    return with_best_class(with_prior, scores, "pred").select(*group, "pred")
+    names = score_columns(p)
+    sums = scored.groupBy(*group).agg(*[F.sum(F.get("ll", F.lit(c))).alias(n) for c, n in enumerate(names)])
+    return model.priors.join_into(sums, [*CELL, "fold"], spread=p.id_col).select(
+        *group, *[(F.col(n) + F.get("prior", F.lit(c))).alias(n) for c, n in enumerate(names)])
+
+
+def predict_sets(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
+    """Held-out class per respondent: cell, respondent, fold, y, [set_id,] pred."""
+    names = score_columns(model.profiles)
+    scores = class_scores(model, sets)
+    return with_best_class(scores, [F.col(n) for n in names], "pred").drop("pos", *names)
 
 
 def fold_accuracy(predicted: DataFrame, keys: list[str]) -> DataFrame:

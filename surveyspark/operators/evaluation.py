@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
-from surveyspark.operators.bayes import BayesModel, feature_pool, fold_accuracy, predict_sets
+from surveyspark.operators.bayes import BayesModel, fold_accuracy, predict_sets
 from surveyspark.operators.encoding import majority_baseline
 from surveyspark.operators.importance import top_k
 from surveyspark.operators.mapping import requested_counts, selected_features
@@ -98,7 +98,7 @@ def compare(model: BayesModel, requests: DataFrame, importances: DataFrame,
     counts requests before unmapped ones and duplicates are removed.
     """
     keys = [*CELL, "condition"]
-    sets = materialize(comparison_sets(requests, importances, feature_pool(model), n_draws, seed)).df
+    sets = materialize(comparison_sets(requests, importances, model.pool.df, n_draws, seed)).df
     results = evaluate_feature_sets(model, sets).withColumns({
         "condition": F.split("set_id", r"\|")[0], "kind": F.split("set_id", r"\|")[1]})
     results = materialize(results).df

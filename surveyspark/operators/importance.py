@@ -2,95 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
-from surveyspark.operators.bayes import BayesModel, feature_pool, test_rows, with_best_class
+from surveyspark.operators.bayes import (
+    BayesModel, class_scores, score_columns, with_best_class)
 from surveyspark.operators.encoding import majority_baseline
 from surveyspark.operators.profiles import CELL
 from surveyspark.operators.resampling import N_REPEATS, SEED, permuted_donors
-from surveyspark.session import materialize
+from surveyspark.session import Materialized, materialize
 
 
-def answer_swaps(model: BayesModel) -> DataFrame:
-    """Every answer tried in place of the given one, and whether it predicts right.
+def scored_rows(model: BayesModel) -> DataFrame:
+    """One row per held-out respondent: _place, pos, target, y, right, keys, scores.
 
-    One row per respondent, feature and possible answer ``new``; ``hit`` tells
-    whether the held-out prediction would be right with it. Swapping one answer
-    changes one term of the score, so nothing is fitted or summed again. The
-    work stays within the respondent partitions of the profiles.
+    ``right`` tells whether the prediction over all features is right, ``keys``
+    are the lookup keys of the given answers.
     """
     p = model.profiles
-    classes = range(p.n_classes)
-    rows = model.ll.join_into(test_rows(p), [*CELL, "fold", "feature", "val"], spread=p.id_col)
-    rows = model.priors.join_into(rows, [*CELL, "fold"], spread=p.id_col)
-    of_row = Window.partitionBy(*CELL, p.id_col)
-    # prior and all features but this one, per class
-    rows = rows.withColumns({
-        f"_t{c}": F.get("prior", F.lit(c)) + F.sum(F.get("ll", F.lit(c))).over(of_row)
-        - F.get("ll", F.lit(c)) for c in classes})
-    keep = [*CELL, p.id_col, "fold", "pos", "feature", "val"]
-    options = materialize(model.ll.df.groupBy(*CELL, "fold", "feature").agg(
-        F.collect_list(F.struct("val", "ll")).alias("options")))
-    rows = options.join_into(rows.select(*keep, "y", *[f"_t{c}" for c in classes]),
-                             [*CELL, "fold", "feature"], spread=p.id_col)
-    rows = rows.withColumn("o", F.explode("options")).drop("options")
-    scores = [F.col(f"_t{c}") + F.get("o.ll", F.lit(c)) for c in classes]
-    return with_best_class(rows, scores, "_pred").select(
-        *keep, F.col("o.val").alias("new"), (F.col("_pred") == F.col("y")).alias("hit"))
-
-
-def _fold_hits_exact(model: BayesModel, swaps: DataFrame) -> DataFrame:
+    classes = score_columns(p)
+    scores = with_best_class(class_scores(model), [F.col(s) for s in classes], "_pred")
+    scores = scores.withColumn("_place", model.place()).select(
+        "_place", "pos", "target", "y", *classes, (F.col("_pred") == F.col("y")).alias("right"))
+    return _answer_keys(model).drop(p.id_col).join(scores, ["_place", "pos"])
+
+
+def _answer_keys(model: BayesModel) -> DataFrame:
+    p = model.profiles
+    rows = p.df.where(F.col("y").isNotNull()).withColumn("_place", model.place())
+    return rows.select("_place", "pos", p.id_col, model.answer_keys().alias("keys"))
+
+
+def _swapped(model: BayesModel, old: Column, new: Column) -> list[Column]:
+    """Scores with one answer replaced: only one term of the sum changes."""
+    return [F.col(s) - F.get(old, F.lit(c)) + F.get(new, F.lit(c))
+            for c, s in enumerate(score_columns(model.profiles))]
+
+
+def _named(model: BayesModel, hits: DataFrame) -> DataFrame:
+    places = model.priors.narrow(*CELL, "fold", "n_test", model.place().alias("_place"))
+    return places.join_into(hits, ["_place"]).withColumn("feature", model.profiles.feature_name("i")).drop("_place", "i")
+
+
+def _fold_hits_exact(model: BayesModel) -> DataFrame:
     """Hits before, and mean hits over all permutations, per fold and feature.
 
     A random permutation puts each answer of the fold on each row equally
-    often, so the mean needs only two small count tables.
+    often. So it is enough to count, per possible answer, the rows it would
+    leave right, and to weigh that with how often the answer was given. No row
+    moves after scoring.
     """
-    receivers = swaps.groupBy(*CELL, "fold", "feature", "new").agg(
-        F.count_if("hit").alias("n_ok"),
-        F.count_if(F.col("hit") & (F.col("new") == F.col("val"))).alias("n_own"))
-    given = (model.counts.df.where(F.col("y").isNotNull())
-             .groupBy(*CELL, "fold", "feature", F.col("val").alias("new"))
-             .agg(F.sum("n").alias("n_given")))
-    return (
-        receivers.join(given, [*CELL, "fold", "feature", "new"], "left")
-        .groupBy(*CELL, "fold", "feature").agg(
-            F.sum("n_own").alias("hits"),
-            # whole numbers, so the sum is exact in any order
-            F.sum(F.col("n_ok") * F.coalesce("n_given", F.lit(0))).alias("pairs"))
-    )
-
-
-def _fold_hits_sampled(model: BayesModel, swaps: DataFrame, n_repeats: int, seed: int) -> DataFrame:
+    p = model.profiles
+    kept = ["_place", "pos", "y", *score_columns(p)]
+    rows = (
+        scored_rows(model).select(*kept, "target", F.posexplode("keys").alias("i", "key"))
+        .where(p.feature_name("i") != F.col("target")).drop("target"))
+    rows = model.ll.narrow("key", F.col("ll").alias("old_ll")).join_into(rows, ["key"], spread="pos")
+    options = materialize(model.ll.df.groupBy("_place", "i").agg(
+        F.collect_list(F.struct("key", "ll")).alias("options")))
+    rows = options.join_into(rows, ["_place", "i"], spread="pos").select(
+        *kept, "i", "key", "old_ll", F.explode("options").alias("o"))
+    swaps = with_best_class(rows, _swapped(model, F.col("old_ll"), F.col("o.ll")), "_pred")
+    right = F.col("_pred") == F.col("y")
+    receivers = swaps.groupBy("_place", "i", F.col("o.key").alias("new_key")).agg(
+        F.count_if(right).alias("n_ok"), F.count_if(right & (F.col("o.key") == F.col("key"))).alias("n_own"))
+    answers = [*CELL, "fold", "feature", "val"]
+    given = (model.counts.df.where(F.col("y").isNotNull()).groupBy(*answers).agg(F.sum("n").alias("n_given"))
+             .join(model.ll.df.select(*answers, F.col("key").alias("new_key")), answers)
+             .select("new_key", "n_given"))
+    hits = receivers.join(given, "new_key", "left").groupBy("_place", "i").agg(
+        F.sum("n_own").alias("hits"),
+        # whole numbers, so the sum is exact in any order
+        F.sum(F.col("n_ok") * F.coalesce("n_given", F.lit(0))).alias("pairs"))
+    return _named(model, hits)
+
+
+def _fold_hits_sampled(model: BayesModel, n_repeats: int, seed: int) -> DataFrame:
     """Hits before, and summed over ``n_repeats`` random permutations.
 
     The rows of a fold are permuted once per repeat and every feature is read
-    through that permutation. Receivers move once; donors carry the bare answer
-    array once per repeat.
+    through that permutation. Rows move with their answer keys only, donors once
+    per repeat; the pairs are expanded by feature, scored and counted in place.
     """
     p = model.profiles
-    at = [*CELL, "fold", "pos"]
-    per_feature = swaps.groupBy(*at, p.id_col, "feature").agg(
-        F.collect_list(F.when(F.col("hit"), F.col("new"))).alias("ok"),
-        F.max(F.col("hit") & (F.col("new") == F.col("val"))).alias("before"))
-    receivers = per_feature.groupBy(*at, p.id_col).agg(F.array_sort(F.collect_list(
-        F.struct("feature", "before", "ok"))).alias("receiver")).drop(p.id_col)
-    donors = permuted_donors(
-        p.df.where(F.col("y").isNotNull()).select(*CELL, "fold", p.id_col, "x"),
-        [*CELL, "fold"], p.id_col, n_repeats, seed)
-    names = F.array(*[F.lit(f) for f in p.features])  # sorted, as the receivers are
-    donors = donors.select(*at, "rep", F.filter(
-        "x", lambda _, i: F.get(names, i) != F.col("target")).alias("donor"))
-    pairs = receivers.join(donors, at).select(
-        *CELL, "fold", "rep",
-        F.explode(F.zip_with("receiver", "donor", lambda r, v: F.struct(
-            r["feature"].alias("feature"),
-            r["before"].alias("before"),
-            F.array_contains(r["ok"], v).alias("after")))).alias("s"))
-    return pairs.groupBy(*CELL, "fold", F.col("s.feature").alias("feature")).agg(
-        F.count_if(F.col("s.before") & (F.col("rep") == 0)).alias("hits"),
-        F.count_if("s.after").alias("pairs"))
+    at = ["_place", "pos"]
+    classes = score_columns(p)
+    largest = model.priors.df.agg(F.max("n_test")).first()[0]
+    donors = permuted_donors(_answer_keys(model).drop("pos"), ["_place"], p.id_col, n_repeats, seed, largest or 0)
+    pairs = scored_rows(model).join(donors.select(*at, "rep", F.col("keys").alias("new_keys")), at)
+    swaps = (
+        pairs.select(*at, "target", "rep", "y", "right", *classes,
+                     F.posexplode(F.arrays_zip("keys", "new_keys")).alias("i", "_k"))
+        .where(p.feature_name("i") != F.col("target"))
+        .select(*at, "rep", "y", "right", *classes, "i",
+                F.col("_k.keys").alias("old_key"), F.col("_k.new_keys").alias("new_key"))
+    )
+    for side in ("old", "new"):
+        lookup = model.ll.narrow(F.col("key").alias(f"{side}_key"), F.col("ll").alias(f"{side}_ll"))
+        swaps = lookup.join_into(swaps, [f"{side}_key"], spread="pos")
+    swaps = with_best_class(swaps, _swapped(model, F.col("old_ll"), F.col("new_ll")), "_pred")
+    hits = swaps.groupBy("_place", "i").agg(
+        F.count_if((F.col("rep") == 0) & F.col("right")).alias("hits"),
+        F.count_if(F.col("_pred") == F.col("y")).alias("pairs"))
+    return _named(model, hits)
 
 
 def permutation_importance(model: BayesModel, n_repeats: int | None = N_REPEATS,
@@ -104,30 +119,25 @@ def permutation_importance(model: BayesModel, n_repeats: int | None = N_REPEATS,
     choice for very large surveys.
     """
     p = model.profiles
-    swaps = answer_swaps(model)
-    sizes = model.priors.df.select(*CELL, "fold", "n_test")
     if n_repeats is None:
-        hits = _fold_hits_exact(model, swaps)
+        hits = _fold_hits_exact(model)
         after = F.col("pairs") / (F.col("n_test") * F.col("n_test"))
     else:
-        hits = _fold_hits_sampled(model, swaps, n_repeats, seed)
+        hits = _fold_hits_sampled(model, n_repeats, seed)
         after = F.col("pairs") / (F.col("n_test") * F.lit(n_repeats))
-    # a feature without a single hit has no row above: it scores 0 before and after
-    every = feature_pool(model).join(sizes.where(F.col("n_test") > 0), CELL)
+    # a feature without a single hit has no row in ``hits``: it scores 0 before and after
+    sizes = model.priors.narrow(*CELL, "fold").df
+    every = model.pool.join_into(sizes, CELL)
     drops = every.join(hits, [*CELL, "fold", "feature"], "left").select(
         *CELL, "feature",
         F.coalesce(F.col("hits") / F.col("n_test") - after, F.lit(0.0)).alias("drop"))
-    base = majority_baseline(p.classes.df, CELL).select(
-        *CELL, r4(F.col("majority_baseline")).alias("majority_baseline"))
-    return (
-        drops.groupBy(*CELL, "feature").agg(
-            F.avg("drop").alias("importance_mean"),
-            F.stddev_pop("drop").alias("importance_std"))
-        .join(base, CELL)
-        .select(F.col("target").alias("target_variable"), "country",
-                F.col("feature").alias("feature_variable"),
-                "importance_mean", "importance_std", "majority_baseline")
-    )
+    base = Materialized(majority_baseline(p.classes.df, CELL).select(
+        *CELL, r4(F.col("majority_baseline")).alias("majority_baseline")), p.classes.rows)
+    means = drops.groupBy(*CELL, "feature").agg(
+        F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+    return base.join_into(means, CELL).select(
+        F.col("target").alias("target_variable"), "country", F.col("feature").alias("feature_variable"),
+        "importance_mean", "importance_std", "majority_baseline")
 
 
 def importance_rank(importances: DataFrame, by: str = "importance_mean") -> DataFrame:

@@ -31,14 +31,28 @@ class Profiles:
     n_folds: int
     n_classes: int
 
-    def answers(self) -> DataFrame:
-        """Exploded to one row per feature, the target itself left out."""
-        names = F.array(*[F.lit(f) for f in self.features])
+    def by_respondent(self) -> DataFrame:
+        """Rows that are scored, placed by respondent.
+
+        The compact rows are shuffled here, so that everything expanded from
+        them per feature, set or answer can be summed up without moving again.
+        """
+        return self.df.where(F.col("y").isNotNull()).repartition(*CELL, self.id_col)
+
+    def feature_name(self, index: str) -> Column:
+        return F.get(F.array(*[F.lit(f) for f in self.features]), F.col(index))
+
+    def answers(self, rows: DataFrame | None = None) -> DataFrame:
+        """Exploded to one row per feature, the target itself left out.
+
+        ``i`` is the feature's place in ``features``.
+        """
+        rows = self.df if rows is None else rows
+        kept = [c for c in rows.columns if c != "x"]
         return (
-            self.df.select(*CELL, self.id_col, "y", "fold", "pos", F.posexplode("x").alias("_i", "val"))
-            .withColumn("feature", F.get(names, F.col("_i")))
+            rows.select(*kept, F.posexplode("x").alias("i", "val"))
+            .withColumn("feature", self.feature_name("i"))
             .where(F.col("feature") != F.col("target"))
-            .drop("_i")
         )
 
 
@@ -57,14 +71,16 @@ def build_profiles(clean: DataFrame, id_col: str, country_col: str, targets: lis
     features = sorted(features)
     answers = target_answers(clean, targets, [id_col], country_col)
     classes = materialize(class_table(answers, CELL))
-    n_classes = classes.df.agg(F.max("y")).first()[0]
+    n_classes, largest = (classes.df.groupBy(*CELL).agg(F.max("y").alias("y"), F.sum("n").alias("n"))
+                          .agg(F.max("y"), F.max("n")).first())
     labeled = classes.join_into(
         answers.select(*CELL, id_col, "answer"), [*CELL, "answer"], "left", spread=id_col,
     ).select(*CELL, id_col, "y")
-    dealt = assign_folds(labeled.where(F.col("y").isNotNull()), CELL, id_col, n_folds, seed)
-    rare = labeled.where(F.col("y").isNull()).select(
-        "*", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("bigint").alias("pos"))
+    labeled = labeled.withColumn("_rare", F.col("y").isNull())
+    dealt = assign_folds(labeled, [*CELL, "_rare"], id_col, n_folds, seed, largest or 0)
+    for c in ("fold", "pos"):
+        dealt = dealt.withColumn(c, F.when(~F.col("_rare"), F.col(c)))
     wide = clean.select(id_col, feature_array(clean, features).alias("x"))
-    rows = dealt.unionByName(rare).join(wide, id_col)
+    rows = dealt.join(wide, id_col)
     rows = rows.select(*CELL, id_col, "y", "fold", "pos", "x")
     return Profiles(materialize(rows).df, classes, features, id_col, n_folds, (n_classes or 0) + 1)

@@ -6,15 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Rows one task sorts for one group; larger groups are cut into ranges.
+RANGE_ROWS = 1_000_000
+
+
+def hex_digits_for(largest_group: int | None) -> int:
+    """Digest digits needed to cut the largest group into bounded ranges."""
+    if largest_group is None:
+        return 3
+    digits = 0
+    while largest_group > RANGE_ROWS * 16 ** digits:
+        digits += 1
+    return digits
+
+
 def shuffled_row_number(df: DataFrame, keys: list[str], key: Column, tie: str,
-                        out: str = "rn", hex_digits: int = 3) -> DataFrame:
+                        out: str = "rn", largest_group: int | None = None) -> DataFrame:
     """Add ``out``: 1-based position inside ``keys`` ordered by ``key``, ``tie``.
 
     ``key`` is a hex digest, so its first digits cut every group into even
     ranges. Rows are numbered inside (group, range), then shifted by the number
     of rows in the lower ranges. No task ever holds a whole group, and the
-    result is the same as one ``row_number()`` over the group.
+    result is the same as one ``row_number()`` over the group, which is what
+    runs when ``largest_group``, the counted size, is small enough.
     """
+    hex_digits = hex_digits_for(largest_group)
+    if hex_digits == 0:
+        order = Window.partitionBy(*keys).orderBy(key, tie)
+        return df.withColumn(out, F.row_number().over(order).cast("bigint"))
     rows = (df.withColumn("_key", key)
               .withColumn("_range", F.substring("_key", 1, hex_digits)))
     bucket = [*keys, "_range"]

@@ -15,13 +15,14 @@ N_REPEATS = 10
 
 
 def assign_folds(rows: DataFrame, cell: list[str], id_col: str,
-                 k: int = N_FOLDS, seed: int = SEED) -> DataFrame:
+                 k: int = N_FOLDS, seed: int = SEED, largest_cell: int | None = None) -> DataFrame:
     """Add ``fold`` and ``pos`` (place inside the fold, 0-based).
 
     Rows of a cell are put in seeded random order and dealt to the folds in
     turn: not stratified, and fold sizes differ by one at most.
     """
-    ranked = shuffled_row_number(rows, cell, seeded_key(seed, F.col(id_col)), id_col)
+    ranked = shuffled_row_number(rows, cell, seeded_key(seed, F.col(id_col)), id_col,
+                                 largest_group=largest_cell)
     return (ranked
             .withColumn("fold", ((F.col("rn") - 1) % k).cast("int"))
             .withColumn("pos", F.floor((F.col("rn") - 1) / k))
@@ -29,7 +30,8 @@ def assign_folds(rows: DataFrame, cell: list[str], id_col: str,
 
 
 def permuted_donors(rows: DataFrame, keys: list[str], id_col: str,
-                    repeats: int = N_REPEATS, seed: int = SEED) -> DataFrame:
+                    repeats: int = N_REPEATS, seed: int = SEED,
+                    largest_group: int | None = None) -> DataFrame:
     """One random permutation of the rows of each ``keys`` group per repeat.
 
     Row at place ``pos`` gets its values from the row whose ``pos`` in the
@@ -37,7 +39,7 @@ def permuted_donors(rows: DataFrame, keys: list[str], id_col: str,
     """
     repeated = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = seeded_key(seed, F.col("rep"), F.col(id_col))
-    return (shuffled_row_number(repeated, [*keys, "rep"], key, id_col)
+    return (shuffled_row_number(repeated, [*keys, "rep"], key, id_col, largest_group=largest_group)
             .withColumn("pos", F.col("rn") - 1).drop("rn"))
 
 

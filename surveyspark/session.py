@@ -62,15 +62,19 @@ class Materialized:
     df: DataFrame
     rows: int
 
+    def narrow(self, *columns) -> Materialized:
+        """The same rows with fewer, renamed or derived columns."""
+        return Materialized(self.df.select(*columns), self.rows)
+
     def join_into(self, big: DataFrame, keys: list[str], how: str = "inner",
-                  spread: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+                  spread: str | None = None, limit: int | None = None) -> DataFrame:
         """Join this table into ``big`` on ``keys``.
 
         Broadcast while the counted size allows it. Beyond that, ``big`` is
         salted by the ``spread`` column and this side is copied once per salt,
         so a key that holds a third of ``big`` is split over many tasks.
         """
-        if self.rows <= limit:
+        if self.rows <= (BROADCAST_ROWS if limit is None else limit):
             return big.join(F.broadcast(self.df), keys, how)
         if spread is None:
             return big.join(self.df, keys, how)
