@@ -108,7 +108,8 @@ def combined_text(label: Column, reasoning: Column) -> Column:
 def candidate_block(candidates: Column) -> Column:
     """Lettered lines ``A. [code] text``."""
     lines = F.transform(candidates, lambda c, i: F.concat(
-        F.char((i + 65).cast("bigint")), F.lit(". ["), c["var_code"], F.lit("] "), c["question_text"]))
+        F.char((i + 65).cast("bigint")), F.lit(". ["), c["var_code"], F.lit("] "),
+        F.coalesce(c["question_text"], F.lit(""))))
     return F.array_join(lines, "\n")
 
 

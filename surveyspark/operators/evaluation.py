@@ -40,7 +40,9 @@ def evaluate_feature_sets(model: BayesModel, sets: DataFrame) -> DataFrame:
     All sets of all cells are scored in one aggregation over one fitted model.
     """
     asked = sets.groupBy(*CELL, "set_id").agg(F.count("feature").alias("n_features_requested"))
-    known = model.counts.df.select(*CELL, "feature").distinct()
+    # every answered row, those of rare classes included
+    answered = model.counts.df.groupBy(*CELL, "feature").agg(F.sum("n").alias("n"))
+    known = answered.select(*CELL, "feature")
     usable = materialize(sets.select(*CELL, "set_id", "feature").distinct()
                          .join(known, [*CELL, "feature"], "left_semi")).df
     n_usable = usable.groupBy(*CELL, "set_id").agg(F.count(F.lit(1)).alias("n_features"))
@@ -48,17 +50,19 @@ def evaluate_feature_sets(model: BayesModel, sets: DataFrame) -> DataFrame:
                         [*CELL, "set_id"]).drop("n_samples")
     base = majority_baseline(model.profiles.classes.df, CELL)
     rows = (asked.join(n_usable, [*CELL, "set_id"], "left")
-            .join(scores, [*CELL, "set_id"], "left").join(base, CELL, "left"))
+            .join(scores, [*CELL, "set_id"], "left").join(base, CELL, "left")
+            .join(answered.groupBy(*CELL).agg(F.max("n").alias("n_answered")), CELL, "left"))
     error = (F.when(F.col("n_features").isNull(), NO_FEATURES)
              .when(F.coalesce("n_classes", F.lit(0)) < 2, FEW_CLASSES))
     fine = F.col("error").isNull()
+    n_samples = F.when(F.col("n_features").isNull(), F.col("n_answered")).otherwise(F.col("n_samples"))
     return rows.withColumn("error", error).select(
         *CELL, "set_id",
         F.when(fine, F.col("accuracy_mean")).alias("accuracy_mean"),
         F.when(fine, F.col("accuracy_std")).alias("accuracy_std"),
         F.when(fine, r4(F.col("majority_baseline"))).alias("majority_baseline"),
         F.coalesce("n_features", F.lit(0)).alias("n_features"),
-        "n_features_requested", "n_samples", "error")
+        "n_features_requested", F.coalesce(n_samples, F.lit(0)).alias("n_samples"), "error")
 
 
 def random_baseline(results: DataFrame, keys: list[str]) -> DataFrame:

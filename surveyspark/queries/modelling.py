@@ -191,9 +191,10 @@ _ASK_SETS = """SELECT target, country, 'ask_' || condition AS set_id, selected_c
 
 def _set_views(sets_view: str) -> dict:
     return {
-        "usable": ([sets_view, "cnt"], f"""
+        "usable": ([sets_view, "answers", "survey_long"], f"""
             SELECT DISTINCT s.target, s.country, s.set_id, s.feature FROM {sets_view} s
-            JOIN (SELECT DISTINCT target, country, feature FROM cnt) c
+            JOIN (SELECT DISTINCT a.target, a.country, l.var_code AS feature FROM answers a
+                  JOIN survey_long l ON l.respondent_id = a.respondent_id WHERE l.var_code <> a.target) c
               ON c.target = s.target AND c.country = s.country AND c.feature = s.feature"""),
         "set_total": (["usable", "term", "prior"], """
             SELECT t.target, t.country, u.set_id, t.fold, t.respondent_id, t.truth, t.c, sum(t.ll) + any_value(p.prior) AS s
@@ -205,17 +206,20 @@ def _set_views(sets_view: str) -> dict:
               SELECT target, country, set_id, fold, respondent_id, truth,
                      arg_max(c, CAST(floor(s * 1e9::DOUBLE + 0.5::DOUBLE) AS HUGEINT) * 1000 + c) AS pred
               FROM set_total GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4"""),
-        "set_result": ([sets_view, "set_acc", "baseline", "usable"], f"""
+        "set_result": ([sets_view, "set_acc", "baseline", "usable", "answers"], f"""
             SELECT a.target, a.country, a.set_id, CASE WHEN e IS NULL THEN x.acc END AS accuracy_mean,
                    CASE WHEN e IS NULL THEN x.sd END AS accuracy_std,
                    CASE WHEN e IS NULL THEN {s4('a.majority_baseline')} END AS majority_baseline,
                    coalesce(a.n_features, 0) AS n_features, a.n_features_requested, a.n_samples, e AS error
-            FROM (SELECT q.*, u.n_features, b.n_samples, b.majority_baseline,
+            FROM (SELECT q.*, u.n_features,
+                         coalesce(CASE WHEN u.n_features IS NULL THEN w.n ELSE b.n_samples END, 0) AS n_samples, b.majority_baseline,
                          CASE WHEN u.n_features IS NULL THEN 'no available features'
                               WHEN coalesce(b.n_classes, 0) < 2 THEN 'fewer than 2 classes' END AS e
                   FROM (SELECT target, country, set_id, count(feature) AS n_features_requested FROM {sets_view} GROUP BY 1, 2, 3) q
                   LEFT JOIN (SELECT target, country, set_id, count(*) AS n_features FROM usable GROUP BY 1, 2, 3) u
                     ON u.target = q.target AND u.country = q.country AND u.set_id = q.set_id
+                  LEFT JOIN (SELECT target, country, count(*) AS n FROM answers GROUP BY 1, 2) w
+                    ON w.target = q.target AND w.country = q.country
                   LEFT JOIN baseline b ON b.target = q.target AND b.country = q.country) a
             LEFT JOIN (SELECT target, country, set_id, {s4('avg(accuracy)')} AS acc, {s4('stddev_pop(accuracy)')} AS sd
                        FROM set_acc GROUP BY 1, 2, 3) x

@@ -213,10 +213,10 @@ _SIMS = {
                coalesce(n.c, 0) AS n_candidates, n.block, n.codes, n.texts, n.sims
         FROM request_vectors r LEFT JOIN (
           SELECT request_id, count(*) AS c,
-                 string_agg(chr(CAST(65 + cand_rank AS INTEGER)) || '. [' || var_code || '] ' || text, chr(10) ORDER BY cand_rank) AS block,
+                 string_agg(chr(CAST(65 + cand_rank AS INTEGER)) || '. [' || var_code || '] ' || coalesce(text, ''), chr(10) ORDER BY cand_rank) AS block,
                  list(var_code ORDER BY cand_rank) AS codes, list(text ORDER BY cand_rank) AS texts,
                  list(similarity ORDER BY cand_rank) AS sims
-          FROM near JOIN documents ON 'V' || doc_id = var_code GROUP BY 1) n ON n.request_id = r.request_id"""),
+          FROM near LEFT JOIN documents ON 'V' || doc_id = var_code GROUP BY 1) n ON n.request_id = r.request_id"""),
 }
 _CHOICE = X.CHOICE_REQUEST
 _LETTER = "nullif(regexp_extract({t}, '(?:^|\\W)([A-E])(?:\\W|$)', 1), '')"

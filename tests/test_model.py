@@ -101,13 +101,17 @@ def test_same_set_twice_gives_the_same_row(spark, model):
 
 def test_guards(spark, survey):
     few = survey.withColumn("q", F.when(F.col("land") == "cold", "yes").otherwise(F.col("q")))
-    m = bayes.fit(build_profiles(few, "id", "land", ["q"], FEATURES))
-    sets = spark.createDataFrame([("q", "cold", "s", "copy"), ("q", "hot", "s", "copy"), ("q", "hot", "gone", "nope")],
+    tiny = spark.createDataFrame([(i, "tiny", f"v{i}", "a", "a", "a", None) for i in range(900, 903)], few.schema)
+    m = bayes.fit(build_profiles(few.unionByName(tiny), "id", "land", ["q"], FEATURES))
+    sets = spark.createDataFrame([("q", "cold", "s", "copy"), ("q", "hot", "s", "copy"), ("q", "hot", "gone", "nope"),
+                                  ("q", "tiny", "s", "copy"), ("q", "tiny", "gone", "nope")],
                                  "target string, country string, set_id string, feature string")
-    got = {(r["country"], r["set_id"]): (r["error"], r["accuracy_mean"] is None) for r in
+    got = {(r["country"], r["set_id"]): (r["error"], r["accuracy_mean"] is None, r["n_features"], r["n_samples"]) for r in
            evaluation.evaluate_feature_sets(m, sets).collect()}
-    assert got == {("cold", "s"): ("fewer than 2 classes", True), ("hot", "s"): (None, False),
-                   ("hot", "gone"): ("no available features", True)}
+    few_classes, none = "fewer than 2 classes", "no available features"
+    assert got == {("cold", "s"): (few_classes, True, 1, 80), ("hot", "s"): (None, False, 1, 160),
+                   ("hot", "gone"): (none, True, 0, 161),  # counted before rare classes go
+                   ("tiny", "s"): (few_classes, True, 1, 0), ("tiny", "gone"): (none, True, 0, 3)}
 
 
 def test_rare_row_is_not_scored(model):
