@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import to_integer
 from surveyspark.operators.cleaning import answer_text, is_text
+from surveyspark.operators.ranking import ordered_row_number
+from surveyspark.session import materialize
 
 MIN_CLASS_ROWS = 5  # classes with fewer rows are dropped
 
@@ -37,24 +39,24 @@ def class_table(answers: DataFrame, cell: list[str]) -> DataFrame:
     integer rule is then checked again. Works on counted answers, whose number
     per cell is that of the answer options.
     """
-    counts = answers.groupBy(*cell, "answer", "as_int").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(answers.groupBy(*cell, "answer", "as_int").agg(F.count(F.lit(1)).alias("n"))).df
     of_cell = Window.partitionBy(*cell)
 
-    def label(df: DataFrame, name: str) -> DataFrame:
-        all_int = F.min(F.col("as_int").isNotNull()).over(of_cell)
-        return (df.withColumn("_all_int", all_int)
-                  .withColumn(name, F.when(F.col("_all_int"), F.col("as_int").cast("string"))
-                              .otherwise(F.col("answer"))))
-
-    frequent = (
-        label(counts, "_first")
-        .withColumn("_rows", F.sum("n").over(Window.partitionBy(*cell, "_first")))
-        .where(F.col("_rows") >= MIN_CLASS_ROWS)
-        .drop("_rows", "_first")
-    )
+    def labeled(df: DataFrame, all_int) -> DataFrame:
+        return df.withColumn("_all_int", all_int).withColumn(
+            "label", F.when(F.col("_all_int"), F.col("as_int").cast("string")).otherwise(F.col("answer")))
+
+    # answers may be many (free text) until the rare ones are gone, so the
+    # first pass groups and joins; the windows below see frequent labels only
+    whole = counts.groupBy(*cell).agg(F.bool_and(F.col("as_int").isNotNull()).alias("_whole"))
+    first = labeled(counts.join(whole, cell), F.col("_whole"))
+    kept = (first.groupBy(*cell, "label").agg(F.sum("n").alias("_rows"))
+            .where(F.col("_rows") >= MIN_CLASS_ROWS).drop("_rows"))
+    frequent = labeled(first.join(kept, [*cell, "label"], "left_semi").drop("label", "_all_int"),
+                       F.min(F.col("as_int").isNotNull()).over(of_cell))
     order = of_cell.orderBy(F.when(F.col("_all_int"), F.col("as_int")), "label")
     return (
-        label(frequent, "label")
+        frequent
         .withColumn("y", (F.dense_rank().over(order) - 1).cast("bigint"))
         .select(*cell, "answer", "label", "y", "n")
     )
@@ -82,5 +84,5 @@ def label_codes(long: DataFrame, keys: list[str]) -> DataFrame:
     """
     values = (long.where(F.col("val").isNotNull())
               .groupBy(*keys, "var_code", "val").agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy(*keys, "var_code").orderBy("val")
-    return values.withColumn("code", (F.row_number().over(order) - 1).cast("bigint"))
+    numbered = ordered_row_number(materialize(values), [*keys, "var_code"], "val")
+    return numbered.withColumn("code", F.col("rn") - 1).drop("rn")

@@ -17,6 +17,7 @@ from surveyspark.functions.numbers import to_number
 from surveyspark.operators.encoding import label_codes
 from surveyspark.operators.profiles import MISSING, Profiles
 from surveyspark.operators.resampling import SEED
+from surveyspark.session import materialize
 
 # Ensemble settings shared by every fit.
 TREES, DEPTH, MIN_ROWS, ROW_SHARE, FEATURE_SHARE = 300, 6, 5, 0.8, "0.8"
@@ -44,7 +45,7 @@ def cell_matrix(p: Profiles, target: str, country: str, features: list[str]) ->
 def forest_accuracy(p: Profiles, target: str, country: str, features: list[str],
                     trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
     """Held-out accuracy per fold: ``(target, country, fold, n_test, n_right, accuracy)``."""
-    rows = cell_matrix(p, target, country, features).persist()
+    rows = materialize(cell_matrix(p, target, country, features)).df
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_ROWS, subsamplingRate=ROW_SHARE,
         featureSubsetStrategy=FEATURE_SHARE, seed=seed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyspark.session import Materialized, materialize
+
 
 # Rows one task sorts for one group; larger groups are cut into ranges.
 RANGE_ROWS = 1_000_000
@@ -54,6 +56,30 @@ def shuffled_row_number(df: DataFrame, keys: list[str], key: Column, tie: str,
     )
 
 
+def ordered_row_number(values: Materialized, keys: list[str], value: str, out: str = "rn") -> DataFrame:
+    """Add ``out``: 1-based place of ``value`` inside ``keys``; values are distinct.
+
+    Small tables use one window per group. Larger ones are range partitioned by
+    (keys, value), which cuts a huge group into several ordered partitions;
+    rows are numbered inside their partition and shifted by the partitions
+    before. The placement is written first, so a lost task cannot change it.
+    """
+    if values.rows <= RANGE_ROWS:
+        order = Window.partitionBy(*keys).orderBy(value)
+        return values.df.withColumn(out, F.row_number().over(order).cast("bigint"))
+    placed = materialize(values.df.repartitionByRange(*keys, value)
+                         .withColumn("_part", F.spark_partition_id())).df
+    before = (
+        placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        # one row per partition
+        .withColumn("_before", F.coalesce(F.sum("_n").over(
+            Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop("_n"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value))
+    return (placed.withColumn(out, inside).join(before, [*keys, "_part"])
+            .withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before"))
+
+
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add ``out``: rank of ``value`` over all rows, ties share the mean rank.
 

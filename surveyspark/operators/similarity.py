@@ -1,13 +1,15 @@
 """Vector similarity between requests and survey variables.
 
-Both sides are cut into blocks of bounded size; each pair of blocks is one
-matrix product, and only the pairs that pass the threshold (or the best k)
-leave the task. All pairs are examined, none is left out.
+A variable index of checked size goes to every executor, and requests are
+matched where they are read. Larger indexes are cut into blocks, as are the
+requests, and each pair of blocks is one matrix product. Either way all pairs
+are examined, and only those that pass the threshold (or the best k) leave the
+task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
 
-BLOCK_ROWS = 2048  # 2048 × 2048 doubles = 32 MB per product
+INDEX_BYTES = 128 << 20  # variable vectors up to this size are sent to every executor
+BLOCK_ROWS = 4096  # rows per side of a block pair
+PRODUCT_CELLS = 4_000_000  # similarities held at once, 32 MB
 TOP_K = 5
 MIN_SIMILARITY = 0.3     # kept from here on (inclusive)
 LEAKAGE_SIMILARITY = 0.85  # a variable closer to the target than this is excluded (strict)
@@ -26,26 +30,49 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _blocks(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK_ROWS))
+def _slices(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Row slices of ``a`` small enough for one product with ``b``."""
+    step = max(1, PRODUCT_CELLS // max(1, len(b)))
+    for start in range(0, len(a), step):
+        yield a.iloc[start:start + step].reset_index(drop=True)
 
 
-def _by_blocks(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
-               product: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``product`` to every (left block, right block) pair.
+def _match(left: DataFrame, left_id: str, right: DataFrame, right_id: str, right_vector: str,
+           product: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> tuple[DataFrame, bool]:
+    """``product`` over all of ``left`` × ``right``, and whether each left row met all of ``right`` at once.
 
-    Each row is copied once per block of the other side, so the shuffle carries
-    rows × blocks, not pairs.
+    ``right`` within ``INDEX_BYTES`` is broadcast and ``left`` stays in place.
+    Beyond, each row is copied once per block of the other side, so the shuffle
+    carries rows × blocks, not pairs.
     """
-    n_left, n_right = _blocks(left), _blocks(right)
+    columns = [f.strip().split()[0].strip("`") for f in schema.split(",")]
+
+    def parts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [product(s, b) for s in _slices(a, b)] if len(b) else []
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in columns})
+
+    n_right, width = right.agg(F.count(F.lit(1)), F.max(F.size(right_vector))).first()
+    if n_right * (width or 1) * 8 <= INDEX_BYTES:
+        index = left.sparkSession.sparkContext.broadcast(right.toPandas())
+
+        def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield parts(batch, index.value)
+
+        return left.mapInPandas(in_place, schema), True
+
+    def blocks(n: int) -> int:
+        return max(1, -(-n // BLOCK_ROWS))
+
+    n_lb, n_rb = blocks(left.count()), blocks(n_right)
 
     def numbered(df: DataFrame, id_col: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return (df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<bigint>"))))
 
-    a = numbered(left, left_id, "_lb", n_left, "_rb", n_right)
-    b = numbered(right, right_id, "_rb", n_right, "_lb", n_left)
-    return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(product, schema)
+    a = numbered(left, left_id, "_lb", n_lb, "_rb", n_rb)
+    b = numbered(right, right_id, "_rb", n_rb, "_lb", n_lb)
+    return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(parts, schema), False
 
 
 def similar_pairs(left: DataFrame, left_id: str, left_vectors: list[str], right: DataFrame,
@@ -55,8 +82,6 @@ def similar_pairs(left: DataFrame, left_id: str, left_vectors: list[str], right:
     With several left vectors the highest of their similarities counts.
     """
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({left_id: [], right_id: [], "similarity": []})
         target = _matrix(b[right_vector]).T
         sims = np.maximum.reduce([_matrix(a[v]) @ target for v in left_vectors])
         i, j = np.nonzero(sims > threshold if strict else sims >= threshold)
@@ -65,8 +90,8 @@ def similar_pairs(left: DataFrame, left_id: str, left_vectors: list[str], right:
 
     types = dict(left.dtypes) | dict(right.dtypes)
     schema = f"`{left_id}` {types[left_id]}, `{right_id}` {types[right_id]}, similarity double"
-    return _by_blocks(left.select(left_id, *left_vectors), left_id,
-                      right.select(right_id, right_vector), right_id, product, schema)
+    return _match(left.select(left_id, *left_vectors), left_id, right.select(right_id, right_vector),
+                  right_id, right_vector, product, schema)[0]
 
 
 def excluded_variables(targets: DataFrame, variables: DataFrame,
@@ -98,8 +123,6 @@ def nearest_variables(requests: DataFrame, variables: DataFrame, k: int = TOP_K,
     columns = ["request_id", "target", "label_vector", "combined_vector", "target_vector"]
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"request_id": [], "var_code": [], "similarity": []})
         vectors = _matrix(b["vector"]).T
         codes = b["var_code"].to_numpy()
         by_code = np.argsort(codes, kind="stable")
@@ -123,18 +146,21 @@ def nearest_variables(requests: DataFrame, variables: DataFrame, k: int = TOP_K,
         i = np.repeat(np.arange(len(a)), order.shape[1])
         j = order.ravel()
         kept = open_[i, j]
+        rank = np.tile(np.arange(order.shape[1]), len(a))[kept]
         i, j = i[kept], j[kept]
         return pd.DataFrame({"request_id": a["request_id"].to_numpy()[i], "var_code": codes[j],
-                             "similarity": sims[i, j]})
+                             "similarity": sims[i, j], "cand_rank": rank})
 
     id_type = dict(requests.dtypes)["request_id"]
-    best = _by_blocks(requests.select(*columns), "request_id", variables.select("var_code", "vector"),
-                      "var_code", product, f"request_id {id_type}, var_code string, similarity double")
-    order = Window.partitionBy("request_id").orderBy(
-        F.floor(F.col("similarity") * 1e6 + F.lit(0.5)).desc(), "var_code")
-    return (best.withColumn("cand_rank", F.row_number().over(order) - 1)
-            .where(F.col("cand_rank") < k)
-            .withColumn("similarity", r4(F.col("similarity"))))
+    best, complete = _match(
+        requests.select(*columns), "request_id", variables.select("var_code", "vector"), "var_code", "vector",
+        product, f"request_id {id_type}, var_code string, similarity double, cand_rank bigint")
+    if not complete:
+        order = Window.partitionBy("request_id").orderBy(
+            F.floor(F.col("similarity") * 1e6 + F.lit(0.5)).desc(), "var_code")
+        best = (best.withColumn("cand_rank", (F.row_number().over(order) - 1).cast("bigint"))
+                .where(F.col("cand_rank") < k))
+    return best.withColumn("similarity", r4(F.col("similarity")))
 
 
 def candidate_lists(nearest: DataFrame, requests: DataFrame, texts: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from surveyspark.functions import text as X
 from surveyspark.functions.numbers import r4
 from surveyspark.operators import requests as R
 from surveyspark.operators import similarity as S
+from surveyspark.operators.importance import top_k
+from surveyspark.operators.mapping import flag_hits, selected_features
 from surveyspark.queries import views as V
 from surveyspark.queries.catalog import INDEX, PARSED
 from surveyspark.queries.views import s4, with_views
@@ -147,11 +151,8 @@ def demographic_flag(spark, sf):
         X.is_demographic(label, whole_word=True).alias("is_demographic_word"))
 
 
-def set_ops(spark, sf):
+def hits(spark, sf):
     """Selected features of a cell that are, or are not, among its top five."""
-    from surveyspark.operators.importance import top_k
-    from surveyspark.operators.mapping import flag_hits, selected_features
-
     keys = ["target", "country", "condition"]
     chosen = selected_features(V.mappings(spark, sf), keys)
     top = top_k(V.importances(spark, sf), 5).select(F.col("target_variable").alias("target"), "country", "feature_variable")
@@ -159,6 +160,14 @@ def set_ops(spark, sf):
     return flag_hits(chosen, top.join(conditions, ["target", "country"]), keys).select(*keys, "selected_code", "hit")
 
 
+def set_ops(spark, sf):
+    """Targets with parsed features, and the conditions that occur."""
+    parsed = R.parse_responses(V.responses(spark, sf))
+    targets = parsed.where(F.size("features") > 0).select(F.lit("target").alias("kind"), F.col("target").alias("name"))
+    conditions = parsed.select(F.lit("condition").alias("kind"), F.col("condition").alias("name"))
+    return targets.distinct().unionByName(conditions.distinct())
+
+
 QUERIES = {
     "grid_cells": grid_cells, "request_grid": request_grid, "build_requests": build_requests,
     "strip_fence": strip_fence, "parse_features": parse_features, "explode_features": explode_features,
@@ -166,7 +175,7 @@ QUERIES = {
     "leakage_exclusion": leakage_exclusion, "similarity_topk": similarity_topk, "top_match": top_match,
     "format_candidates": format_candidates, "build_choice_requests": build_choice_requests,
     "resolve_choice": resolve_choice, "parse_choice": parse_choice, "parse_choice_legacy": parse_choice_legacy,
-    "demographic_flag": demographic_flag, "hits": set_ops,
+    "demographic_flag": demographic_flag, "hits": hits, "set_ops": set_ops,
 }
 
 
@@ -175,8 +184,6 @@ def _q(s: str) -> str:
 
 
 def sql_fill(template: str, **values: str) -> str:
-    import re
-
     pieces = re.split(r"\{(\w+)\}", template)
     return "(" + " || ".join(values[p] if i % 2 else _q(p) for i, p in enumerate(pieces)) + ")"
 
@@ -269,6 +276,8 @@ SQL = {
         SELECT feature_label, count(*) AS n, len(list_filter({_TERMS}, lambda t: contains(lower(feature_label), t))) > 0 AS is_demographic,
                regexp_matches(lower(feature_label), '\\b(' || array_to_string({_TERMS}, '|') || ')\\b') AS is_demographic_word
         FROM mappings GROUP BY feature_label""", "mappings"),
+    "set_ops": with_views("""SELECT DISTINCT 'target' AS kind, target AS name FROM parsed WHERE n_features > 0
+        UNION ALL SELECT DISTINCT 'condition', condition FROM parsed""", "parsed", extra=PARSED),
     "hits": with_views("""
         SELECT m.target, m.country, m.condition, m.selected_code, coalesce(t.rn <= 5, false) AS hit
         FROM (SELECT DISTINCT target, country, condition, selected_code FROM mappings WHERE selected_code IS NOT NULL) m

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from surveyspark.functions.numbers import seeded_key
 from surveyspark.operators import ranking
 from surveyspark.operators.resampling import assign_folds, permuted_donors, random_draws
+from surveyspark.session import materialize
 
 from conftest import rows
 
@@ -61,3 +62,13 @@ def test_draws_take_all_when_k_exceeds_the_pool(spark):
     out = random_draws(pool, wanted, ["target", "country"], n_draws=4)
     sizes = out.groupBy("condition", "draw").agg(F.count_distinct("feature").alias("n")).collect()
     assert {(r["condition"], r["n"]) for r in sizes} == {("u", 3), ("p", 2)} and len(sizes) == 8
+
+
+def test_value_order_over_partitions(spark, monkeypatch):
+    df = spark.range(400).select(F.when(F.col("id") % 4 > 0, "hot").otherwise("cold").alias("g"),
+                                 F.md5(F.col("id").cast("string").cast("binary")).alias("v"))
+    values = materialize(df)
+    want = rows(ranking.ordered_row_number(values, ["g"], "v").select("g", "v", "rn"))
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 10)
+    got = ranking.ordered_row_number(values, ["g"], "v")
+    assert rows(got.select("g", "v", "rn")) == want

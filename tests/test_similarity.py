@@ -41,10 +41,13 @@ def brute(v, leak, exclude=True, k=5, low=0.3):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 2048])
+@pytest.mark.parametrize("block", [0, 7, 4096])
 @pytest.mark.parametrize("leak,exclude", [(0.5, True), (None, True), (None, False)])
 def test_topk_equals_brute_force(spark, vectors, monkeypatch, block, leak, exclude):
-    monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    if block:  # otherwise the index is broadcast
+        monkeypatch.setattr(S, "INDEX_BYTES", 0)
+        monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    monkeypatch.setattr(S, "PRODUCT_CELLS", 200)
     requests, variables = frames(spark, vectors)
     out = S.nearest_variables(requests, variables, leakage=leak, exclude_targets=exclude)
     assert {(r["request_id"], r["var_code"], r["cand_rank"]) for r in out.collect()} == brute(vectors, leak, exclude)

@@ -90,6 +90,6 @@ def test_whole_array_files(spark, tmp_path):
 
 
 def test_foreign_importances_csv(spark, tmp_path):
-    path = tmp_path / "oracle.csv"
+    path = tmp_path / "foreign.csv"
     path.write_text("target_variable,country,feature_variable,importance_mean,importance_std,majority_baseline\nq,A,f,0.25,0.0,0.5\n")
     assert tables.read_importances_csv(spark, str(path)).first()["importance_mean"] == 0.25
