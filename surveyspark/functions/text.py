@@ -62,7 +62,7 @@ def fill(template: str, **values: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\r\f\v"))
 
 
 def first_text(*options: Column) -> Column:
@@ -95,8 +95,13 @@ def parse_feature_list(raw: Column) -> Column:
     The JSON reader would accept a bare object or text after the list, so the
     outer shape is checked first.
     """
-    body = strip_fence(raw)
-    return F.when(body.rlike(r"(?s)^\s*\[.*\]\s*$"), F.from_json(body, FEATURE_LIST))
+    return parse_list_body(strip(strip_fence(raw)))
+
+
+def parse_list_body(body: Column) -> Column:
+    """``parse_feature_list`` for text whose fence and outer space are gone."""
+    whole = F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
+    return F.when(whole, F.from_json(body, FEATURE_LIST))
 
 
 def combined_text(label: Column, reasoning: Column) -> Column:

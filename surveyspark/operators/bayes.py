@@ -109,15 +109,15 @@ def fit(profiles: Profiles) -> BayesModel:
             (m + F.lit(ALPHA)) / (n + F.lit(ALPHA) * F.col("n_options")))))
         .withColumn("i", F.array_position(F.array(*[F.lit(f) for f in p.features]), F.col("feature")) - 1)
     )
-    pool = materialize(counts.df.where(F.col("val") != MISSING).select(*CELL, "feature").distinct())
+    # not more rows than the counts it is taken from
+    pool = Materialized(counts.df.where(F.col("val") != MISSING).select(*CELL, "feature").distinct(), counts.rows)
     # every answer that can be looked up is a row here, so distinct keys are
     # enough for the one-number join to be exact
     for salt in range(8):
         ll = materialize(likely.withColumn("_place", place(salt))
                          .withColumn("key", answer_key("_place", F.col("i"), F.col("val")))
                          .select(*CELL, "fold", "feature", "val", "ll", "key", "_place", F.col("i").cast("int")))
-        places = priors.df.select(place(salt)).distinct().count()
-        if places == priors.rows and ll.df.select("key").distinct().count() == ll.rows:
+        if ll.df.agg(F.count_distinct("key"), F.count_distinct("_place")).first() == (ll.rows, priors.rows):
             return BayesModel(p, counts, ll, priors, pool, salt)
     raise RuntimeError("no collision-free key found")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.text import (
     COUNTRY_PROVIDED, UNPROMPTED, candidate_block, choice_request, combined_text, has_text,
-    parse_choice, parse_feature_list, request_condition, request_text)
+    parse_choice, parse_list_body, request_condition, request_text, strip, strip_fence)
 from surveyspark.operators.similarity import TOP_K
 
 
@@ -43,9 +43,10 @@ def build_requests(grid: DataFrame) -> DataFrame:
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Add features, n_features, parse_error and condition to raw responses."""
-    features = parse_feature_list(F.col("raw_response"))
     return (
-        responses.withColumn("features", features)
+        # the stripped text is read twice, so it gets a column of its own
+        responses.withColumn("_body", strip(strip_fence(F.col("raw_response"))))
+        .withColumn("features", parse_list_body(F.col("_body"))).drop("_body")
         .withColumn("n_features", F.when(F.size("features") > 0, F.size("features")))
         .withColumn("parse_error", F.when(F.col("features").isNull(), "not a JSON list of objects"))
         .withColumn("condition", request_condition(F.col("country")))
