@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.text import (
-    COUNTRY_PROVIDED, UNPROMPTED, candidate_block, choice_request, combined_text, has_text,
+    COUNTRY_PROVIDED, UNPROMPTED, choice_request, combined_text,
     parse_choice, parse_list_body, request_condition, request_text, strip, strip_fence)
 from surveyspark.operators.similarity import TOP_K
 
@@ -81,7 +81,3 @@ def resolve_choices(mappings: DataFrame, raw: str = "raw_choice", legacy: bool =
             .withColumn("selected_code", picked["var_code"])
             .withColumn("selected_text", picked["question_text"])
             .withColumn("choice_response", answer))
-
-
-__all__ = ["grid_cells", "request_grid", "build_requests", "parse_responses", "requested_features",
-           "choice_requests", "resolve_choices", "candidate_block", "has_text"]
