@@ -74,7 +74,7 @@ def resolve_choices(mappings: DataFrame, raw: str = "raw_choice", legacy: bool =
                     most: int = TOP_K) -> DataFrame:
     """Attach the chosen candidate. No candidates, "none" or no match give NULLs."""
     n = F.size("candidates")
-    answer = F.when(n == 0, F.lit("no candidates")).otherwise(F.trim(F.col(raw)))
+    answer = F.when(n == 0, F.lit("no candidates")).otherwise(strip(F.col(raw)))
     index = F.when(n > 0, parse_choice(F.col(raw), n, legacy, most))
     picked = F.when(F.col("selected_rank").isNotNull(), F.get("candidates", F.col("selected_rank")))
     return (mappings.withColumn("selected_rank", index.cast("int"))
