@@ -6,12 +6,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from surveyspark.queries import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 ROWS_ONLY = {"full_report", "forest_cv"}
 # each of these fits the model again; test_model.py checks the same steps
 SLOW = {"nb_model", "nb_predict", "fold_accuracy", "cv_summary", "top_features_described", "eval_guards",
