@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surveyspark.llm import mixing, secrets, sharding
+from surveyspark.llm import automata, mixing, secrets, sharding, suffix_array
 from surveyspark.llm.texts import table
 
 COUNT = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', chr(1), 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
 
 
+def _removed():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+
+
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 400 bytes that occur twice."""
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_units").alias("n_bytes"), _removed(), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "epochs")
@@ -25,9 +37,25 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op7_sharding, op8_secrets)}
+def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without windows of 50 words that an earlier document holds."""
+    return automata.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_units").alias("n_words"), _removed(), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op7_sharding, op8_secrets, op10_suffix_automata)}
 
 SQL = {
+    "op10_suffix_automata": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) t(i)),
+ r AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM v),
+ g AS (SELECT DISTINCT doc_id, p FROM r, unnest(range(i, i + 50)) t(p) WHERE again),
+ a AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce((SELECT string_agg(w[p], ' ' ORDER BY p) FROM unnest(range(1, len(w) + 1)) t(p)
+                        WHERE gone IS NULL OR NOT list_contains(gone, p)), '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)""",
     "op2_mixing": rf"""
 WITH s AS (SELECT doc_id, source, CAST({COUNT} AS BIGINT) AS size,
                   md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
