@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import automata, mixing, secrets, sharding, suffix_array
+from surveyspark.llm import automata, jaccard, mixing, secrets, sharding, suffix_array
 from surveyspark.llm.texts import table
 
 COUNT = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', chr(1), 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
@@ -27,6 +27,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "epochs")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 90 % Jaccard similarity of their 3-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Params(words=3, percent=90, part=200))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of 5 regions with 2 racks each, and where they go with a 41st shard."""
     return sharding.assign(table(spark, sf_dir, "documents"))
@@ -43,7 +48,7 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_units").alias("n_words"), _removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op7_sharding, op8_secrets, op10_suffix_automata)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op6_jaccard_join, op7_sharding, op8_secrets, op10_suffix_automata)}
 
 SQL = {
     "op10_suffix_automata": r"""

@@ -40,11 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads every bit of a 64-bit hash over all others."""
-    h = h ^ (h >> np.uint64(31))
-    h = h * _MIX
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(31))
+        h = h * _MIX
+        h = h ^ (h >> np.uint64(29))
+        h = h * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
 
 
 class WordHash(dict):
