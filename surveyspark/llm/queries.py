@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import automata, jaccard, mixing, secrets, sharding, suffix_array
+from surveyspark.llm import automata, jaccard, mixing, quality, secrets, sharding, suffix_array, tiling
 from surveyspark.llm.texts import table
 
 COUNT = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', chr(1), 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
@@ -27,6 +27,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "epochs")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and P(good) of all documents, and whether the pipeline keeps them."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 90 % Jaccard similarity of their 3-word shingles."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Params(words=3, percent=90, part=200))
@@ -42,13 +47,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items covered by tiles in each document."""
+    return tiling.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without windows of 50 words that an earlier document holds."""
     return automata.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("n_units").alias("n_words"), _removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op6_jaccard_join, op7_sharding, op8_secrets, op10_suffix_automata)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op3_quality, op6_jaccard_join, op7_sharding, op8_secrets, op9_decontamination, op10_suffix_automata)}
 
 SQL = {
     "op10_suffix_automata": r"""
