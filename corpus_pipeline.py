@@ -8,6 +8,9 @@ from surveyspark.llm import stages
 from surveyspark.llm.texts import stored
 
 STAGES = [
+    ("quality", stages.rated),
+    ("near_copies", stages.deduplicated),
+    ("decontamination", stages.decontaminated),
     ("mixing", stages.mixed),
     ("sharding", stages.sharded),
 ]

@@ -218,7 +218,12 @@ def join(docs: DataFrame, params: Params | None = None) -> DataFrame:
     doc_id take part; a component of such rows only has a null id. An empty table gives
     no rows; other columns are not read.
     """
-    p = params or Params()
+    return _classes(docs, params or Params()).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(
+        F.col("root.doc_id"), F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, th, n and root (the smallest node of the component; null for texts without words) of each row."""
     texts = keyed(docs)
     id_type = docs.schema["doc_id"].dataType
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
@@ -259,7 +264,18 @@ def join(docs: DataFrame, params: Params | None = None) -> DataFrame:
         links = _links(_unordered(pairs), wanted, p)
         edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = stored(components(edges), "roots")
-    member = profiles.select("doc_id", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left")
-    member = member.join(roots, "node", "left")
-    return member.select("doc_id", F.col("n").alias("n_shingles"),
-                         F.coalesce(F.col("root.doc_id"), F.col("node.doc_id"), F.col("doc_id")).alias("component_id"))
+    member = profiles.select("doc_id", "th", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left").join(roots, "node", "left")
+    return member.select("doc_id", "th", "n", F.coalesce("root", "node").alias("root"))
+
+
+def deduplicate(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: per component the smallest doc_id, and all documents without words.
+
+    Of different texts under one doc_id, or without doc_id, the one with the smallest digest stays;
+    rows that repeat a doc_id and its text are one document and stay together.
+    """
+    out = _classes(docs.select("doc_id", "text"), params or Params())
+    gone = out.filter("root IS NOT NULL").filter(_node() != F.col("root")).select(
+        F.col("doc_id").alias("__jaccard_doc"), F.col("th").alias("__jaccard_th")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__jaccard_doc")) & (
+        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__jaccard_th")), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import automata, jaccard, mixing, quality, secrets, sharding, suffix_array, tiling
+from surveyspark.llm import automata, jaccard, language, mixing, quality, secrets, sharding, suffix_array, tiling, topk
 from surveyspark.llm.texts import table
 
 COUNT = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', chr(1), 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
@@ -32,6 +32,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector whose id is divisible by 20: its 20 best inner products with all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 90 % Jaccard similarity of their 3-word shingles."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Params(words=3, percent=90, part=200))
@@ -58,9 +69,16 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_units").alias("n_words"), _removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op3_quality, op6_jaccard_join, op7_sharding, op8_secrets, op9_decontamination, op10_suffix_automata)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op3_quality, op4_top_k, op5_language, op6_jaccard_join, op7_sharding, op8_secrets, op9_decontamination, op10_suffix_automata)}
 
 SQL = {
+    "op4_top_k": """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op10_suffix_automata": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
  v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) t(i)),
