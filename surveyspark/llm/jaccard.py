@@ -239,7 +239,8 @@ def _classes(docs: DataFrame, p: Params) -> DataFrame:
     node = sets.schema["node"].dataType
     index = stored(known.mapInArrow(_index(p), T.StructType([
         *longs("sig"), T.StructField("node", node), *longs("n"), T.StructField("typical", T.DoubleType())])), "index")
-    crowded = index.groupBy("sig").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("sig")
+    # Written before the join: Spark splits a hot entry only where both sides come from a shuffle.
+    crowded = stored(index.groupBy("sig").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("sig"), "entries")
     index = stored(index.join(crowded, "sig", "left_semi"), "crowded")
     nodes = index.select("node").distinct().withColumn("_doc", F.col("node.doc_id")).withColumn("_th", F.col("node.th"))
     wanted = stored(texts.join(nodes, F.expr("doc_id <=> _doc AND th = _th")).select("node", "text"), "wanted")
@@ -249,13 +250,13 @@ def _classes(docs: DataFrame, p: Params) -> DataFrame:
         entries = index.withColumn("root", F.col("node"))
         if roots is not None:
             entries = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed_roots = entries.groupBy("sig").agg((F.min("root") < F.max("root")).alias("_open")).filter("_open").select("sig")
+            mixed_roots = stored(entries.groupBy("sig").agg((F.min("root") < F.max("root")).alias("_open")).filter("_open").select("sig"), "mixed")
             entries = stored(entries.join(mixed_roots, "sig", "left_semi"), "open")
             if entries.isEmpty():
                 break
         if turn < STARS:
             rank = F.col("typical") if turn == 0 else F.xxhash64("node")
-            hub = entries.groupBy("sig").agg(F.max(F.struct(rank.alias("r"), "node", "n", "root")).alias("h"))
+            hub = stored(entries.groupBy("sig").agg(F.max(F.struct(rank.alias("r"), "node", "n", "root")).alias("h")), "hubs")
             pairs = entries.join(hub, "sig").withColumn("n2", F.col("h.n")).filter("root <> h.root").filter(close).select(
                 F.col("node").alias("a"), F.col("h.node").alias("b"))
         else:

@@ -110,7 +110,7 @@ def repeated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     got = mix(docs.select("doc_id", "source", "text"), plan)
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("epochs") + 0.5)).cast("int")
     # A doc_id that stands for several rows gives each of them the same number of copies.
-    copies = got.groupBy("doc_id", F.col("source").alias("_source")).agg(F.max(times).alias("_times")).withColumnRenamed("doc_id", "_doc")
-    return (docs.join(copies, F.expr("doc_id <=> _doc AND source <=> _source"))
-            .withColumn("_copy", F.explode(F.expr("CASE WHEN _times > 0 THEN sequence(1, _times) ELSE array() END")))
+    copies = got.groupBy("doc_id", F.col("source").alias("__mixing_source")).agg(F.max(times).alias("__mixing_times")).withColumnRenamed("doc_id", "__mixing_doc")
+    return (docs.join(copies, F.expr("doc_id <=> __mixing_doc AND source <=> __mixing_source"))
+            .withColumn("__mixing_copy", F.explode(F.expr("CASE WHEN __mixing_times > 0 THEN sequence(1, __mixing_times) ELSE array() END")))
             .select(*docs.columns))

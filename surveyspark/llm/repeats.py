@@ -188,12 +188,13 @@ def spans(texts: DataFrame, method: Method, hot: int = HOT) -> DataFrame:
     id_type = texts.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("th", "mini", "digest", "pos"))]
     runs = stored(texts.mapInArrow(_runs(method), T.StructType(fields)), "runs")
-    shared = runs.groupBy("mini").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("mini")
+    # Counts are written before they are joined: Spark splits a hot key only where both sides come from a shuffle.
+    shared = stored(runs.groupBy("mini").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("mini"), "anchors")
     runs = stored(runs.join(shared, "mini", "left_semi").withColumn("n", F.col("pos") % PACK), "shared")
     kinds = runs.groupBy("mini", "digest", "n").agg(
         F.count(F.lit(1)).alias("m"), F.min(F.struct(place().alias("place"), "th", "pos")).alias("first"))
     kinds = stored(kinds, "kinds")
-    several = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    several = stored(kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), "several")
     wanted = kinds.join(several, "mini").select(
         F.col("first.place.doc_id").alias("_doc"), F.col("first.th").alias("_th"),
         F.struct("mini", "digest", "n", "m", (F.col("_k") > hot).alias("many"), F.col("first.pos").alias("pos")).alias("w"))
@@ -206,8 +207,8 @@ def spans(texts: DataFrame, method: Method, hot: int = HOT) -> DataFrame:
     dealt = cut.filter("NOT many").repartition("mini").sortWithinPartitions("mini", F.col("doc_id").isNull(), "doc_id", "digest", "n")
     found = dealt.mapInArrow(_match(method), FOUND)
     found = found.unionByName(_hot_ranges(cut.filter("many"), method, id_type)).dropDuplicates(["mini", "digest", "n"])
-    kinds = kinds.join(found, ["mini", "digest", "n"], "left")
-    known = kinds.select("mini", "digest", "n", "m", F.col("first.place").alias("first"), "ranges")
+    known = kinds.join(found, ["mini", "digest", "n"], "left").filter("m > 1 OR ranges IS NOT NULL")
+    known = stored(known.select("mini", "digest", "n", "m", F.col("first.place").alias("first"), "ranges"), "known")
     hits = runs.join(known, ["mini", "digest", "n"]).withColumn("whole", method.whole()).filter("whole OR ranges IS NOT NULL")
     cover = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))).otherwise(F.col("ranges"))
     begin = F.floor(F.col("pos") / PACK).cast("int")
@@ -217,10 +218,10 @@ def spans(texts: DataFrame, method: Method, hot: int = HOT) -> DataFrame:
 
 
 def _hot_ranges(cut: DataFrame, method: Method, id_type: T.DataType) -> DataFrame:
-    windows = cut.mapInArrow(_windows(method), T.StructType([
+    windows = stored(cut.mapInArrow(_windows(method), T.StructType([
         *(T.StructField(c, T.LongType()) for c in ("mini", "digest", "n", "m")), T.StructField("doc_id", id_type),
-        T.StructField("a", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType())]))
-    seen = windows.groupBy("w1", "w2").agg(F.sum("m").alias("times"), F.min(place()).alias("earliest"))
+        T.StructField("a", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType())])), "windows")
+    seen = stored(windows.groupBy("w1", "w2").agg(F.sum("m").alias("times"), F.min(place()).alias("earliest")), "seen")
     return windows.join(seen, ["w1", "w2"]).filter(method.repeat()).groupBy("mini", "digest", "n").agg(
         F.transform(F.collect_list("a"), lambda a: F.struct(a.alias("a"), (a + 1).alias("b"))).alias("ranges"))
 

@@ -56,30 +56,34 @@ ENCODINGS = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a lambda computes what it closes over anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(lengths: Column) -> Column:
-    """Sum of the elements before each one."""
-    n = F.size(lengths)
-    block = lambda j: F.slice(lengths, j * BLOCK + 1, F.lit(BLOCK))
+    """Sum of the elements before each one, by blocks, so that no step copies a long array again and again."""
+    none = F.array().cast("array<long>")
     scan = lambda xs, start: F.aggregate(
-        xs, F.struct(start.alias("at"), F.array().cast("array<long>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
-    whole = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")),
-                        lambda j: F.aggregate(block(j), F.lit(0).cast("long"), lambda a, x: a + x))
-    starts = scan(whole, F.lit(0).cast("long"))["out"]
-    blocks = F.transform(starts, lambda s, j: scan(block(j), s)["out"])
-    return F.when(n > 0, F.flatten(blocks)).otherwise(F.array().cast("array<long>"))
+        xs, F.struct(start.alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    blocks = lambda ls: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / BLOCK).cast("int")), lambda j: F.slice(ls, j * BLOCK + 1, F.lit(BLOCK)))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    offset = lambda bs: _let(scan(F.transform(bs, total), F.lit(0).cast("long")), lambda starts: F.flatten(
+        F.zip_with(bs, starts, scan)))
+    return _let(lengths, lambda ls: _let(blocks(ls), offset))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost matches that don't overlap: array of (start, end, found), counted in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("long"))
-    ends = _running(F.concat(steps, F.array(F.lit(0).cast("long"))))
-    spans = F.transform(found, lambda m, i: F.struct(
-        (F.get(ends, i + 1) - F.length(m)).alias("start"), F.get(ends, i + 1).alias("end"), m.alias("found")))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    steps = lambda s: F.zip_with(s["found"], F.slice(s["gaps"], F.lit(1), F.size(s["found"])), lambda m, g: (
+        F.length(g) + F.length(m)).cast("long"))
+    spans = lambda s: F.zip_with(s["found"], F.zip_with(_running(steps(s)), steps(s), lambda at, step: at + step), lambda m, end: F.struct(
+        (end - F.length(m)).alias("start"), end.alias("end"), m.alias("found")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(both, spans)).otherwise(empty)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -91,20 +95,22 @@ def _upper_tail(z: Column) -> Column:
 def facts(token: Column) -> Column:
     """Codes of the characters in the inferred alphabet, its size, the length and the chi-squared p-value."""
     alphabet = F.coalesce(*(F.when(F.regexp_like(token, F.lit(p)), F.lit(a)) for _, p, a in ENCODINGS))
-    chars = F.split(token, "", -1)
-    size = F.length(alphabet).cast("double")
-    n = F.length(token).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(token, c, F.lit(""))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
-    chi, free = squares * size / n - n, size - 1
-    # Exact variance of the statistic for n draws; large-sample theory fails for n below the alphabet.
-    p_chi = _upper_tail((chi - free) / F.sqrt(2 * free * (n - 1) / n))
-    codes = F.transform(chars, lambda c: F.instr(alphabet, c) - 0.5)
-    return F.struct(codes.alias("codes"), size.alias("size"), n.alias("n"), p_chi.alias("p_chi"))
+    seen = F.struct(alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"), F.length(token).cast("double").alias("n"),
+                    token.alias("token"), F.split(token, "", -1).alias("chars"))
+
+    def tests(s: Column) -> Column:
+        counts = F.transform(F.array_distinct(s["chars"]), lambda c: s["n"] - F.length(F.replace(s["token"], c, F.lit(""))))
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
+        chi, free = squares * s["size"] / s["n"] - s["n"], s["size"] - 1
+        # Exact variance of the statistic for n draws; large-sample theory fails for n below the alphabet.
+        p_chi = _upper_tail((chi - free) / F.sqrt(2 * free * (s["n"] - 1) / s["n"]))
+        codes = F.transform(s["chars"], lambda c: F.instr(s["alphabet"], c) - 0.5)
+        return F.struct(codes.alias("codes"), s["size"].alias("size"), s["n"].alias("n"), p_chi.alias("p_chi"))
+    return _let(seen, tests)
 
 
 def battery(seen: Column) -> Column:
-    """Smallest p-value of the three tests, corrected for their number, in [0, 1]."""
+    """Smallest p-value of the three tests, corrected for their number, in [0, 1]. ``seen`` is a lambda's variable."""
     codes, size, n = seen["codes"], seen["size"], seen["n"]
     nxt = F.slice(codes, 2, F.size(codes))
     changes = F.aggregate(F.zip_with(codes, nxt, lambda a, b: F.when((a < size / 2) != (b < size / 2), 1.0).otherwise(0.0)),
@@ -154,6 +160,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     tag = lambda name, k: F.transform(F.col(name), lambda m: F.struct(m["start"], F.lit(k).alias("kind"), m["end"]))
     base = F.array_sort(F.concat(tag("assign", 0), tag("access", 1), tag("hex", 2)))
     rows = rows.select("doc_id", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), "other")
+    # Quadratic in the spans of one text, which are few but for texts made of secrets.
     free = F.filter("other", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = rows.withColumn("other", F.transform(free, lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), F.regexp_like(m["found"], F.lit(LETTERS)).alias("decoy"),
