@@ -92,16 +92,19 @@ def strip_fence(raw: Column) -> Column:
 def parse_feature_list(raw: Column) -> Column:
     """Response text to feature structs; NULL unless it is one JSON list.
 
-    The JSON reader would accept a bare object or text after the list, so the
-    outer shape is checked first.
+    The JSON reader stops after the first value, so the text is read twice, inside
+    an object and as the only element of a list: nothing can follow the list in both.
     """
     return parse_list_body(strip(strip_fence(raw)))
 
 
 def parse_list_body(body: Column) -> Column:
     """``parse_feature_list`` for text whose fence and outer space are gone."""
+    strict = {"allowSingleQuotes": "false"}
     whole = F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
-    return F.when(whole, F.from_json(body, FEATURE_LIST))
+    field = F.from_json(F.concat(F.lit('{"r": '), body, F.lit("}")), f"struct<r:{FEATURE_LIST}>", strict)
+    only = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{FEATURE_LIST}>", strict)
+    return F.when(whole & (F.size(only) == 1) & F.get(only, F.lit(0)).isNotNull(), field["r"])
 
 
 def combined_text(label: Column, reasoning: Column) -> Column:
@@ -123,22 +126,20 @@ def choice_request(label: Column, reasoning: Column, candidates: Column) -> Colu
                 feature_reasoning=F.coalesce(reasoning, F.lit("")), candidates_block=candidate_block(candidates))
 
 
-def parse_choice(raw: Column, n_candidates: Column, legacy: bool = False, most: int = 26) -> Column:
+def parse_choice(raw: Column, n_candidates: Column, legacy: bool = False) -> Column:
     """Answer text to a 0-based candidate index, NULL for "none" or no match.
 
-    Strict: the first letter that stands alone, "I" and "a" in a sentence aside
-    only when outside the candidate range. Legacy: the alphabetically first
-    candidate letter that occurs anywhere, even inside a word.
+    Strict: the first letter of a candidate that stands alone; other letters, such
+    as "I" in a sentence with five candidates, are passed over. Legacy: the
+    alphabetically first candidate letter that occurs anywhere, even inside a word.
     """
     text = F.upper(strip(raw))
     if legacy:
-        index = F.get(F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (
+        index = F.get(F.filter(F.sequence(F.lit(0), F.lit(25)), lambda i: (
             (i < n_candidates) & F.contains(text, F.char((i + 65).cast("bigint"))))), F.lit(0))
     else:
-        last = chr(64 + most)
-        letter = F.regexp_extract(text, rf"(?:^|\W)([A-{last}])(?:\W|$)", 1)
-        index = F.when(letter != "", F.ascii(letter) - 65)
-        index = F.when(index < n_candidates, index)
+        letters = F.regexp_extract_all(text, F.lit(r"(?:^|\W)([A-Z])(?=\W|$)"), F.lit(1))
+        index = F.get(F.filter(F.transform(letters, lambda c: F.ascii(c) - 65), lambda i: i < n_candidates), F.lit(0))
     return F.when(~F.contains(text, F.lit("NONE")), index)
 
 

@@ -124,12 +124,20 @@ def compare(model: BayesModel, requests: DataFrame, importances: DataFrame,
     )
 
 
-def flatten(comparison: DataFrame) -> DataFrame:
-    """Nested comparison to flat summary rows; missing parts give NULL."""
+def flatten(comparison: DataFrame, country_codes: DataFrame | None = None) -> DataFrame:
+    """Nested comparison to flat summary rows; missing parts give NULL.
+
+    ``country_codes`` is (country_name, country_code). A country it doesn't
+    know, and any country without it, stands for itself.
+    """
+    code = F.col("country")
+    if country_codes is not None:
+        codes = country_codes.groupBy(F.col("country_name").alias("country")).agg(F.max("country_code").alias("_code"))
+        comparison, code = comparison.join(codes, "country", "left"), F.coalesce("_code", "country")
     oracle_acc, model_acc, random_acc = (
         F.col(f"{k}.accuracy_mean") for k in ("oracle", "model", "random"))
     return comparison.select(
-        *CELL, "condition", "k_requested", "k_mapped",
+        *CELL, code.alias("country_code"), "condition", "k_requested", "k_mapped",
         F.col("oracle.majority_baseline").alias("majority_baseline"),
         oracle_acc.alias("oracle_acc"), F.col("oracle.accuracy_std").alias("oracle_std"),
         model_acc.alias("model_acc"), F.col("model.accuracy_std").alias("model_std"),

@@ -76,10 +76,11 @@ def build_profiles(clean: DataFrame, id_col: str, country_col: str, targets: lis
     labeled = classes.join_into(
         answers.select(*CELL, id_col, "answer"), [*CELL, "answer"], "left", spread=id_col,
     ).select(*CELL, id_col, "y")
-    labeled = labeled.withColumn("_rare", F.col("y").isNull())
-    dealt = assign_folds(labeled, [*CELL, "_rare"], id_col, n_folds, seed, largest or 0)
-    for c in ("fold", "pos"):
-        dealt = dealt.withColumn(c, F.when(~F.col("_rare"), F.col(c)))
+    labeled = materialize(labeled).df
+    dealt = assign_folds(labeled.where("y IS NOT NULL"), CELL, id_col, n_folds, seed, largest or 0)
+    # Rare answers get no fold and need no order.
+    rare = labeled.where("y IS NULL").withColumns({c: F.lit(None).cast(dealt.schema[c].dataType) for c in ("fold", "pos")})
+    dealt = dealt.unionByName(rare, allowMissingColumns=True)
     wide = clean.select(id_col, feature_array(clean, features).alias("x"))
     rows = dealt.join(wide, id_col)
     rows = rows.select(*CELL, id_col, "y", "fold", "pos", "x")

@@ -70,12 +70,11 @@ def choice_requests(mappings: DataFrame) -> DataFrame:
         "request", choice_request(F.col("feature_label"), F.col("feature_reasoning"), F.col("candidates")))
 
 
-def resolve_choices(mappings: DataFrame, raw: str = "raw_choice", legacy: bool = False,
-                    most: int = TOP_K) -> DataFrame:
+def resolve_choices(mappings: DataFrame, raw: str = "raw_choice", legacy: bool = False) -> DataFrame:
     """Attach the chosen candidate. No candidates, "none" or no match give NULLs."""
     n = F.size("candidates")
     answer = F.when(n == 0, F.lit("no candidates")).otherwise(strip(F.col(raw)))
-    index = F.when(n > 0, parse_choice(F.col(raw), n, legacy, most))
+    index = F.when(n > 0, parse_choice(F.col(raw), n, legacy))
     picked = F.when(F.col("selected_rank").isNotNull(), F.get("candidates", F.col("selected_rank")))
     return (mappings.withColumn("selected_rank", index.cast("int"))
             .withColumn("selected_code", picked["var_code"])

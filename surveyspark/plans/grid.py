@@ -65,16 +65,13 @@ def map_responses(responses: DataFrame, feature_vectors: DataFrame, variable_vec
 
     ``responses``: response_id, target, country, raw_response.
     ``feature_vectors``: response_id, feature_rank, label_vector,
-    combined_vector. ``target_vectors``: target, target_vector.
+    combined_vector. ``target_vectors``: target, target_vector. A feature
+    without a vector keeps its record, with no candidates.
     """
     listed = requested_features(parse_responses(responses), ["response_id", "target", "country", "condition"])
-    requests = (
-        listed.join(feature_vectors, ["response_id", "feature_rank"])
-        .join(target_vectors, "target", "left")
-        .withColumn("request_id", F.concat_ws(":", "response_id", "feature_rank"))
-    )
+    records = listed.withColumn("request_id", F.concat_ws(":", "response_id", "feature_rank"))
+    requests = records.join(feature_vectors, ["response_id", "feature_rank"]).join(target_vectors, "target", "left")
     nearest = nearest_variables(requests, variable_vectors, k, min_similarity, leakage)
-    records = requests.drop("label_vector", "combined_vector", "target_vector")
     return candidate_lists(nearest, records, variable_texts)
 
 

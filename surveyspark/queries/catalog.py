@@ -95,7 +95,7 @@ def nested_results(spark, sf):
     """The whole nested result as one JSON record per cell and condition."""
     path = scratch_path(spark, "results")
     nested = nested_comparison(V.grid_summary(spark, sf))
-    tables.write_json(nested, path)
+    tables.write_json(nested, path, ("target", "country", "condition"))
     return flatten(spark.read.schema(nested.schema).json(path))
 
 
@@ -115,6 +115,24 @@ def grid_summary_sink(spark, sf):
     return tables.read_summary(spark, path).select(*SUMMARY_COLUMNS, "cell")
 
 
+def summary_roundtrip(spark, sf):
+    """What a comparison gives, written as a summary and read back."""
+    path = scratch_path(spark, "summary")
+    codes = V.table(spark, sf, "nation").select(F.col("n_name").alias("country_name"), F.col("n_nationkey").cast("string").alias("country_code"))
+    tables.write_summary(flatten(nested_comparison(V.grid_summary(spark, sf)), codes), path)
+    return tables.read_summary(spark, path)
+
+
+def importance_resume(spark, sf):
+    """A second run over one country replaces its cells and keeps all others."""
+    path = scratch_path(spark, "importances")
+    df = V.importances(spark, sf)
+    tables.write_importances(df, path)
+    again = df.where("country = 'C1'").withColumn("importance_mean", F.lit(0.5))
+    tables.write_importances(again, path)
+    return tables.read_importances(spark, path)
+
+
 def batch_results(spark, sf):
     path = scratch_path(spark, "responses")
     parsed = parse_responses(V.responses(spark, sf)).select(
@@ -178,6 +196,7 @@ QUERIES = {
     "admin_vars": admin_vars, "oracle_scan": oracle_scan, "oracle_scan_target": oracle_scan_target,
     "mapping_json": mapping_json, "evaluation_json": evaluation_json, "nested_results": nested_results,
     "grid_summary_scan": grid_summary_scan, "grid_summary_sink": grid_summary_sink,
+    "summary_roundtrip": summary_roundtrip, "importance_resume": importance_resume,
     "batch_results": batch_results, "stale_variables": stale_variables, "pending_cells": pending_cells,
     "country_map_codes": country_map_codes, "country_map_names": country_map_names,
     "list_countries": list_countries, "unknown_countries": unknown_countries,
@@ -198,7 +217,7 @@ PARSED = {"parsed": (["responses"], r"""
       FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw_response, '^\s+|\s+$', '', 'g'),
               '^```(?:json)?\s*', ''), '\s*```$', '') AS body FROM responses))""")}
 
-FLAT = f"""SELECT target, country, condition, k_requested, k_mapped,
+FLAT = f"""SELECT target, country, country AS country_code, condition, k_requested, k_mapped,
     majority_baseline, oracle_acc, oracle_std, model_acc, CASE WHEN model_acc IS NOT NULL THEN model_std END AS model_std,
     random_acc, random_std, {s4('oracle_acc - model_acc')} AS cost_of_imperfect,
     {s4('model_acc - random_acc')} AS value_over_random, error FROM grid_summary"""
@@ -225,6 +244,10 @@ SQL = {
     "grid_summary_scan": with_views(f"SELECT {_COLS}, target || '_' || country AS cell FROM grid_summary", "grid_summary"),
     "grid_summary_sink": with_views(f"""SELECT * REPLACE (CASE WHEN target = 'BUILDING' THEN 0 ELSE k_mapped END AS k_mapped),
         target || '_' || country AS cell FROM (SELECT {_COLS} FROM grid_summary)""", "grid_summary"),
+    "summary_roundtrip": with_views(f"""SELECT *, target || '_' || country AS cell FROM (
+        {FLAT.replace('country AS country_code', 'country_code')})""", "grid_summary"),
+    "importance_resume": with_views("""SELECT * REPLACE (CASE WHEN country = 'C1' THEN 0.5 ELSE importance_mean END AS importance_mean)
+        FROM importances""", "importances"),
     "batch_results": with_views("""SELECT 'doc ' || response_id AS question_text, target, country, condition,
         CAST(n_features AS BIGINT) AS n_features, NOT is_list AS failed, true AS stamped, md5(raw_response) AS raw_md5 FROM parsed""",
                                 "parsed", extra=PARSED),

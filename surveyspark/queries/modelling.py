@@ -308,7 +308,7 @@ SQL = {
     "eval_feature_sets": with_views("SELECT * FROM set_result", "set_result", extra={
         **_M, "ask_sets": (["survey_requests"], _ASK_SETS), **_set_views("ask_sets")}),
     "compare_sets": with_views(f"""
-        SELECT a.target, a.country, a.condition, k_requested, k_mapped, o.majority_baseline,
+        SELECT a.target, a.country, a.country AS country_code, a.condition, k_requested, k_mapped, o.majority_baseline,
                o.accuracy_mean AS oracle_acc, o.accuracy_std AS oracle_std, m.accuracy_mean AS model_acc,
                m.accuracy_std AS model_std, random_acc, random_std,
                {s4('o.accuracy_mean - m.accuracy_mean')} AS cost_of_imperfect,

@@ -136,7 +136,7 @@ def resolve_choice(spark, sf):
 
 def parse_choice(spark, sf):
     return V.choices(spark, sf).select("conv_id", "turn", "n_candidates",
-                                       X.parse_choice(F.col("raw"), F.col("n_candidates"), most=5).cast("int").alias("choice"))
+                                       X.parse_choice(F.col("raw"), F.col("n_candidates")).cast("int").alias("choice"))
 
 
 def parse_choice_legacy(spark, sf):
@@ -226,7 +226,9 @@ _SIMS = {
           FROM near LEFT JOIN documents ON 'V' || doc_id = var_code GROUP BY 1) n ON n.request_id = r.request_id"""),
 }
 _CHOICE = X.CHOICE_REQUEST
-_LETTER = "nullif(regexp_extract({t}, '(?:^|\\W)([A-E])(?:\\W|$)', 1), '')"
+# separators are doubled because this engine has no lookahead
+_LETTER = (r"list_filter(regexp_extract_all(regexp_replace({t}, '\W', '  ', 'g'), '(?:^|\W)([A-Z])(?:\W|$)', 1), "
+           "lambda c: ascii(c) - 65 < n_candidates)[1]")
 _UP = r"upper(regexp_replace(raw, '^\s+|\s+$', '', 'g'))"
 _TERMS = "[" + ", ".join(_q(t) for t in X.DEMOGRAPHIC_TERMS) + "]"
 

@@ -85,11 +85,21 @@ def question_texts(variables: DataFrame, codes: DataFrame) -> DataFrame:
     return codes.select("var_code").distinct().join(texts, "var_code", "left")
 
 
+# Names shown in an error message.
+SHOWN = 20
+
+
+def missing_texts(texts: DataFrame) -> DataFrame:
+    """All asked codes that the metadata do not have."""
+    return texts.where(F.col("question_text").isNull()).select("var_code").distinct()
+
+
 def require_texts(texts: DataFrame) -> DataFrame:
-    """Fail when an asked code is not in the metadata."""
-    missing = [r[0] for r in texts.where(F.col("question_text").isNull()).select("var_code").limit(20).collect()]
-    if missing:
-        raise KeyError(f"not in the metadata: {missing}")
+    """Fail when an asked code is not in the metadata; the message counts all and shows some."""
+    missing = missing_texts(texts)
+    n = missing.count()
+    if n:
+        raise KeyError(f"{n} codes not in the metadata (missing_texts lists all): {[r[0] for r in missing.orderBy('var_code').take(SHOWN)]}")
     return texts
 
 
@@ -102,11 +112,10 @@ def admin_variables(variables: DataFrame, country_col: str) -> DataFrame:
 
 
 def country_values(variables: DataFrame, country_col: str) -> DataFrame:
-    """``(country_name, code, ordinal)`` from the country variable's value labels."""
-    return (
-        variables.where(F.col("var_code") == country_col)
-        .select("ordinal", F.explode("values").alias("code", "country_name"))
-    )
+    """``(country_name, code, ordinal)`` from the country variable's value labels, in the first section that has it."""
+    first = variables.where(F.col("var_code") == country_col).agg(
+        F.min("ordinal").alias("ordinal"), F.min_by("values", "ordinal").alias("values"))
+    return first.select("ordinal", F.explode("values").alias("code", "country_name"))
 
 
 def country_map(values: DataFrame, data: DataFrame, country_col: str) -> DataFrame:
@@ -145,9 +154,10 @@ def unknown_countries(requested: DataFrame, country_codes: DataFrame) -> DataFra
 
 
 def require_countries(requested: DataFrame, country_codes: DataFrame) -> None:
-    unknown = [r[0] for r in unknown_countries(requested, country_codes).limit(20).collect()]
-    if unknown:
-        raise ValueError(f"unknown countries: {unknown}")
+    unknown = unknown_countries(requested, country_codes)
+    n = unknown.count()
+    if n:
+        raise ValueError(f"{n} unknown countries (unknown_countries lists all): {[r[0] for r in unknown.orderBy('country_name').take(SHOWN)]}")
 
 
 def stale_variables(index: DataFrame, cached: DataFrame, model: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Schemas of the stored tables; reads never infer.
 IMPORTANCE_SCHEMA = """target_variable string, country string, feature_variable string,
@@ -29,16 +30,20 @@ RESPONSE_SCHEMA = """target string, question_text string, country string, condit
     parse_error string, timestamp timestamp"""
 
 
+def _names(schema: str) -> list[str]:
+    return T.StructType.fromDDL(schema).fieldNames()
+
+
 def write_importances(df: DataFrame, path: str) -> None:
-    """Only the targets in ``df`` are replaced."""
+    """Only the cells (target and country) in ``df`` are replaced."""
     (df.repartition("target_variable", "country").write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
-       .partitionBy("target_variable").parquet(path))
+       .partitionBy("target_variable", "country").parquet(path))
 
 
 def read_importances(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
     """All features of all cells, or of one target (partition pruned)."""
-    df = spark.read.schema(IMPORTANCE_SCHEMA).parquet(path)
+    df = spark.read.schema(IMPORTANCE_SCHEMA).parquet(path).select(*_names(IMPORTANCE_SCHEMA))
     return df if target is None else df.where(F.col("target_variable") == target)
 
 
@@ -47,17 +52,24 @@ def read_importances_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(IMPORTANCE_SCHEMA).option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str, keys: tuple[str, ...] = ("target", "country")) -> None:
+    """Records by cell. Cells not in ``df`` keep their records; a NULL country is a cell of its own."""
+    (df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .option("ignoreNullFields", False).partitionBy(*keys).json(path))
+
+
+def read_json(spark: SparkSession, path: str, schema: str, whole_array: bool = False) -> DataFrame:
+    """Records in the columns of ``schema``, whatever their order in the files."""
+    return spark.read.schema(schema).option("multiLine", whole_array).json(path).select(*_names(schema))
 
 
 def read_mappings(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
     """Mapping records, one per line; ``whole_array`` for files that are one JSON array."""
-    return spark.read.schema(MAPPING_SCHEMA).option("multiLine", whole_array).json(path)
+    return read_json(spark, path, MAPPING_SCHEMA, whole_array)
 
 
 def read_responses(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
-    return spark.read.schema(RESPONSE_SCHEMA).option("multiLine", whole_array).json(path)
+    return read_json(spark, path, RESPONSE_SCHEMA, whole_array)
 
 
 def write_evaluations(comparison: DataFrame, path: str) -> None:
@@ -72,37 +84,53 @@ def write_evaluations(comparison: DataFrame, path: str) -> None:
 
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
     """Back to one nested comparison per cell and condition."""
-    df = spark.read.schema(EVALUATION_SCHEMA).json(path)
+    df = read_json(spark, path, EVALUATION_SCHEMA)
     return df.select(F.explode("results").alias("condition", "r")).select("condition", "r.*")
 
 
 def write_summary(df: DataFrame, path: str) -> None:
     """Summary rows by cell. Cells not in ``df`` keep their rows."""
-    (df.repartition("target", "country").write.mode("overwrite").option("header", True)
+    (df.select(*_names(SUMMARY_SCHEMA)).repartition("target", "country").write.mode("overwrite").option("header", True)
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy("target", "country").csv(path))
 
 
-def _summary_schema(skip: tuple[str, ...] = ()) -> str:
-    fields = [f.strip() for f in SUMMARY_SCHEMA.split(",")]
-    return ", ".join(f for f in fields if f.split()[0] not in skip)
-
-
 def read_summary(spark: SparkSession, path: str, partitioned: bool = True) -> DataFrame:
-    """Summary rows with the derived ``cell`` name."""
-    schema = SUMMARY_SCHEMA if not partitioned else (
-        _summary_schema(("target", "country")) + ", target string, country string")
-    df = spark.read.schema(schema).option("header", True).csv(path)
-    return with_cell(df)
+    """Summary rows with the derived ``cell`` name.
+
+    Columns go by the names in the header; a file whose header differs fails.
+    """
+    fields = T.StructType.fromDDL(SUMMARY_SCHEMA).fields
+    if partitioned:
+        cell = ("target", "country")
+        fields = [f for f in fields if f.name not in cell] + [f for f in fields if f.name in cell]
+    df = spark.read.schema(T.StructType(fields)).option("header", True).option("enforceSchema", False).csv(path)
+    return with_cell(df.select(*_names(SUMMARY_SCHEMA)))
 
 
 def with_cell(summary: DataFrame) -> DataFrame:
     return summary.withColumn("cell", F.concat_ws("_", "target", "country"))
 
 
+VECTOR_SCHEMA = "var_code string, text_md5 string, vector array<float>, model string"
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
-    """Vector cache keyed by code, text hash and model."""
-    df.write.mode("overwrite").parquet(path)
+    """Vector cache keyed by code, text hash and model; models not in ``df`` keep their vectors."""
+    (df.select(*_names(VECTOR_SCHEMA)).repartition("model").write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path))
+
+
+def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """The vector cache, or the part of one model (partition pruned)."""
+    df = spark.read.schema(VECTOR_SCHEMA).parquet(path)
+    return df if model is None else df.where(F.col("model") == model)
+
+
+def merge_vectors(cached: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache after an update: fresh vectors replace those of the same code and model."""
+    kept = cached.join(fresh.select("var_code", "model").distinct(), ["var_code", "model"], "left_anti")
+    return kept.select(*_names(VECTOR_SCHEMA)).unionByName(fresh.select(*_names(VECTOR_SCHEMA)))
 
 
 def stamp(df: DataFrame) -> DataFrame:

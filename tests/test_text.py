@@ -17,6 +17,8 @@ def one(spark, value, fn, kind="string"):
     ('{"feature": "a"}', None),
     ('["a", "b"]', None),
     ("prose", None), ("", None), (None, None),
+    ('[{"feature": "a"}] see [1]', None), ("[] or []", None), ("[{'feature': 'a'}]", None), ('[{"feature": "a [b] \\"c\\" ]"}]', 1),
+    ('[], "x": []', None), ('[]} {"r": []', None), ('[{"feature": "a"', None),
 ])
 def test_feature_lists(spark, raw, n):
     got = one(spark, raw, X.parse_feature_list)
@@ -26,10 +28,11 @@ def test_feature_lists(spark, raw, n):
 @pytest.mark.parametrize("raw,n,strict,legacy", [
     ("B", 3, 1, 1), (" b ", 3, 1, 1), ("none", 3, None, None), ("None of these", 3, None, None),
     ("Answer: B", 3, 1, 0), ("C because A is off", 3, 2, 0), ("Z", 3, None, None), ("", 3, None, None),
-    ("(D)", 4, 3, 3), ("(D)", 3, None, None), ("I think B", 3, 1, 1), (None, 3, None, None),
+    ("(D)", 4, 3, 3), ("(D)", 3, None, None), ("I think B", 3, 1, 1), ("I choose B", 5, 1, 1), ("F", 8, 5, 5), ("H or A", 8, 7, 0),
+    ("D, no: B", 3, 1, 1), (None, 3, None, None),
 ])
 def test_choices(spark, raw, n, strict, legacy):
-    assert one(spark, raw, lambda c: X.parse_choice(c, F.lit(n), most=5)) == strict
+    assert one(spark, raw, lambda c: X.parse_choice(c, F.lit(n))) == strict
     assert one(spark, raw, lambda c: X.parse_choice(c, F.lit(n), legacy=True)) == legacy
 
 
