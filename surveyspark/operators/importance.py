@@ -50,31 +50,31 @@ def _fold_hits_exact(model: BayesModel) -> DataFrame:
 
     A random permutation puts each answer of the fold on each row equally
     often. So it is enough to count, per possible answer, the rows it would
-    leave right, and to weigh that with how often the answer was given. No row
+    leave right, and to weigh that with how often the answer was given. Answers
+    with the same likelihoods are one: those that occur in one row of the
+    training folds, or in none, as most of a free-text feature do, fall together
+    by class, so rows grow with the classes and not with the answers. No row
     moves after scoring.
     """
     p = model.profiles
-    kept = ["_place", "pos", "y", *score_columns(p)]
+    kept = ["_place", "pos", "y", "right", *score_columns(p)]
     rows = (
         scored_rows(model).select(*kept, "target", F.posexplode("keys").alias("i", "key"))
         .where(p.feature_name("i") != F.col("target")).drop("target"))
     rows = model.ll.narrow("key", F.col("ll").alias("old_ll")).join_into(rows, ["key"], spread="pos")
-    options = materialize(model.ll.df.groupBy("_place", "i").agg(
-        F.collect_list(F.struct("key", "ll")).alias("options")))
-    rows = options.join_into(rows, ["_place", "i"], spread="pos").select(
-        *kept, "i", "key", "old_ll", F.explode("options").alias("o"))
-    swaps = with_best_class(rows, _swapped(model, F.col("old_ll"), F.col("o.ll")), "_pred")
-    right = F.col("_pred") == F.col("y")
-    receivers = swaps.groupBy("_place", "i", F.col("o.key").alias("new_key")).agg(
-        F.count_if(right).alias("n_ok"), F.count_if(right & (F.col("o.key") == F.col("key"))).alias("n_own"))
     answers = [*CELL, "fold", "feature", "val"]
-    given = (model.counts.df.where(F.col("y").isNotNull()).groupBy(*answers).agg(F.sum("n").alias("n_given"))
-             .join(model.ll.df.select(*answers, F.col("key").alias("new_key")), answers)
-             .select("new_key", "n_given"))
-    hits = receivers.join(given, "new_key", "left").groupBy("_place", "i").agg(
-        F.sum("n_own").alias("hits"),
+    given = model.counts.df.where(F.col("y").isNotNull()).groupBy(*answers).agg(F.sum("n").alias("n_given"))
+    merged = (model.ll.df.select(*answers, "_place", "i", "ll").join(given, answers)
+              .groupBy("_place", "i", "ll").agg(F.sum("n_given").alias("n_given")))
+    options = materialize(merged.groupBy("_place", "i").agg(
+        F.collect_list(F.struct("ll", "n_given")).alias("options")))
+    swaps = options.join_into(rows, ["_place", "i"], spread="pos").select(
+        *kept, "i", "old_ll", F.posexplode("options").alias("_nth", "o"))
+    swaps = with_best_class(swaps, _swapped(model, F.col("old_ll"), F.col("o.ll")), "_pred")
+    hits = swaps.groupBy("_place", "i").agg(
+        F.count_if(F.col("right") & (F.col("_nth") == 0)).alias("hits"),
         # whole numbers, so the sum is exact in any order
-        F.sum(F.col("n_ok") * F.coalesce("n_given", F.lit(0))).alias("pairs"))
+        F.sum(F.when(F.col("_pred") == F.col("y"), F.col("o.n_given")).otherwise(0)).alias("pairs"))
     return _named(model, hits)
 
 
