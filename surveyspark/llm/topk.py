@@ -11,7 +11,8 @@ to many. Candidates come in blocks: at each level those whose bound is below the
 k-th best score known so far go, and the survivors are scored exactly, in whole numbers.
 
 Queries and candidates are packed into blocks of bounded size; every pair of blocks is
-one row of a join, and gives at most k rows per query.
+one row of a join. A task takes one block of queries past several blocks of candidates,
+carries the k best along and returns k rows per query.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from surveyspark.llm.texts import stored
 
 K = 20
 SCALE = 64
-BLOCK_BYTES = 1 << 18
-# Pairs of blocks in a task.
+BLOCK_BYTES = 1 << 19
+# Blocks of candidates in a task, and pairs of vectors scored at once.
 PAIRS = 16
+PRODUCTS = 50_000
 LEVELS = (1, 4, 16)
 
 
@@ -58,40 +60,82 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in c] for x in q], object).reshape(len(q), len(c))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of each query in this block, smaller ids first on ties."""
-    stats = {s: (segment_statistics(q, s), segment_statistics(c, s)) for s in LEVELS}
-    # Half a unit covers rounding: scores are whole numbers.
-    slack = 0.5 + 1e-9 * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    coarse = stats[LEVELS[0]][0] @ stats[LEVELS[0]][1].T
-    out = []
-    for i in range(len(q)):
-        own = np.flatnonzero(c_ids != q_ids[i])
-        if not len(own):
-            continue
-        # A first threshold from the candidates with the largest coarse bounds.
-        first = own[np.argsort(-coarse[i, own], kind="stable")[: 2 * k]]
-        known = np.sort(exact(q[i: i + 1], c[first])[0])[::-1]
-        floor = known[k - 1] if len(known) >= k else None
-        left = own
-        for s in LEVELS if floor is not None else ():
-            bound = coarse[i, left] if s == LEVELS[0] else stats[s][1][left] @ stats[s][0][i]
-            left = left[bound + slack >= float(floor)]
-        score = exact(q[i: i + 1], c[left])[0]
-        order = sorted(range(len(left)), key=lambda j: (-int(score[j]), int(c_ids[left[j]])))[:k] if score.dtype == object else np.lexsort(
-            (c_ids[left], -score))[:k]
-        out += [(int(q_ids[i]), int(c_ids[left[j]]), int(score[j])) for j in order]
-    return out
+class Best:
+    """The k best candidates of each query of a block, smaller ids first on ties."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
+        self.stats = {s: segment_statistics(q, s) for s in LEVELS}
+        self.floor = np.full(len(q), -np.inf)
+        self.query = self.cand = np.empty(0, np.int64)
+        self.score = np.empty(0, np.int64)
+
+    def see(self, ids: np.ndarray, c: np.ndarray) -> None:
+        """Takes one block of candidates into account."""
+        open_ = ids[None, :] != self.ids[:, None]
+        if np.isfinite(self.floor).any():
+            # Scores are whole numbers, so half a unit covers rounding of the bounds.
+            slack = 0.5 + 1e-9 * float(np.abs(self.q).max()) * float(np.abs(c).max()) * c.shape[1]
+            for s in LEVELS:
+                open_ &= self.stats[s] @ segment_statistics(c, s).T + slack >= self.floor[:, None]
+        query, cand = np.nonzero(open_)
+        if not len(query):
+            return
+        if len(query) > open_.size // 8:
+            score = exact(self.q, c)
+            if score.dtype != object and len(ids) > self.k:
+                worst = np.where(open_, score, np.iinfo(np.int64).min)
+                query, cand = np.nonzero(open_ & (score >= np.partition(worst, len(ids) - self.k, axis=1)[:, [len(ids) - self.k]]))
+            score = score[query, cand]
+        else:
+            parts = [pairwise(self.q[query[i: i + PRODUCTS]], c[cand[i: i + PRODUCTS]]) for i in range(0, len(query), PRODUCTS)]
+            score = np.concatenate(parts)
+        self._merge(query, ids[cand], score)
+
+    def _merge(self, query: np.ndarray, cand: np.ndarray, score: np.ndarray) -> None:
+        query, cand = np.concatenate((self.query, query)), np.concatenate((self.cand, cand))
+        score = np.concatenate((self.score, score))
+        if score.dtype == object:
+            by = np.array(sorted(range(len(score)), key=lambda j: (query[j], -score[j], cand[j])))
+        else:
+            by = np.lexsort((cand, -score, query))
+        query = query[by]
+        first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        keep = rank < self.k
+        self.query, self.cand, self.score = query[keep], cand[by][keep], score[by][keep]
+        last = rank[keep] == self.k - 1
+        self.floor[self.query[last]] = self.score[last].astype(float)
+
+
+def pairwise(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of row pairs in whole numbers."""
+    if np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2.0 ** 53:
+        return np.einsum("ij,ij->i", q, c).astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c)], object)
 
 
 def _search(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, None
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(best.ids[best.query]), pa.array(best.cand), pa.array([int(x) for x in best.score], pa.int64())],
+                                   names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["qv"], np.float64).reshape(len(row["q"]), -1)
-                c = np.frombuffer(row["cv"], np.float64).reshape(len(row["c"]), -1)
-                got = best(np.array(row["q"]), q, np.array(row["c"]), c, k)
-                yield pa.record_batch([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                ids, c = row["c"].values.to_numpy(), np.frombuffer(row["cv"].as_buffer(), np.float64)
+                here = (row["qa"].as_py(), row["part"].as_py())
+                if here != at:
+                    if best:
+                        yield rows()
+                    q = row["q"].values.to_numpy()
+                    at, best = here, Best(q, np.frombuffer(row["qv"].as_buffer(), np.float64).reshape(len(q), -1), k)
+                best.see(ids, c.reshape(len(ids), -1))
+        if best:
+            yield rows()
     return run
 
 
@@ -123,7 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Both tables hold vec_id and embedding. Vectors that are null, empty or hold null or
     non-finite components, and rows without vec_id, take no part; vectors are only
     compared with vectors of the same length. A repeated vec_id gives a row each
-    time; ties go to the smaller vec_id. Fewer vectors give fewer rows, empty tables none.
+    time, and queries of one vec_id share their k rows; ties go to the smaller vec_id. Fewer vectors give fewer rows, empty tables none.
     """
     pack = lambda df, name: stored(quantised(df).mapInArrow(_pack, BLOCKS).withColumn(
         "at", F.monotonically_increasing_id()), name)
@@ -131,7 +175,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     pairs = q.select("size", F.col("at").alias("qa")).join(c.select("size", F.col("at").alias("ca")), "size")
     pairs = pairs.join(q.select(F.col("at").alias("qa"), F.col("ids").alias("q"), F.col("block").alias("qv")), "qa").join(
         c.select(F.col("at").alias("ca"), F.col("ids").alias("c"), F.col("block").alias("cv")), "ca")
-    n = -(-max(1, q.count() * c.count()) // PAIRS)
-    got = pairs.repartition(n, "qa", "ca").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    parts = -(-max(1, c.count()) // PAIRS)
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("ca"), F.lit(parts)))
+    dealt = pairs.repartition(max(1, q.count() * parts), "qa", "part").sortWithinPartitions("qa", "part")
+    got = dealt.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
