@@ -90,11 +90,11 @@ def country_rows(df: DataFrame, country_col: str, code: str) -> DataFrame:
 
 
 def require_rows(df: DataFrame, source: DataFrame, country_col: str, code: str) -> DataFrame:
-    """Fail with the list of known countries when ``df`` is empty."""
+    """Fail, naming some known countries, when ``df`` is empty."""
     if df.isEmpty():
-        known = [r[0] for r in source.select(country_col).where(F.col(country_col).isNotNull())
-                 .distinct().orderBy(country_col).collect()]
-        raise ValueError(f"no rows for {country_col}={code!r}; values in data: {known}")
+        known = source.select(country_col).where(F.col(country_col).isNotNull()).distinct()
+        first = [r[0] for r in known.orderBy(country_col).take(20)]
+        raise ValueError(f"no rows for {country_col}={code!r}; {known.count()} values in data, such as {first}")
     return df
 
 

@@ -1,15 +1,16 @@
 """Vector similarity between requests and survey variables.
 
 A variable index of checked size goes to every executor, and requests are
-matched where they are read. Larger indexes are cut into blocks, as are the
-requests, and each pair of blocks is one matrix product. Either way all pairs
-are examined, and only those that pass the threshold (or the best k) leave the
-task.
+matched where they are read. A larger index goes out in chunks of that size,
+one pass over the requests for each. All pairs are examined, and only
+those that pass the threshold (or the best k) leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
+from surveyspark.session import materialize
 
 INDEX_BYTES = 128 << 20  # variable vectors up to this size are sent to every executor
-BLOCK_ROWS = 4096  # rows per side of a block pair
 PRODUCT_CELLS = 4_000_000  # similarities held at once, 32 MB
 TOP_K = 5
 MIN_SIMILARITY = 0.3     # kept from here on (inclusive)
@@ -30,49 +31,55 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _slices(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Row slices of ``a`` small enough for one product with ``b``."""
-    step = max(1, PRODUCT_CELLS // max(1, len(b)))
+def _slices(a: pd.DataFrame, n: int) -> Iterator[pd.DataFrame]:
+    """Row slices of ``a`` small enough for one product with ``n`` vectors."""
+    step = max(1, PRODUCT_CELLS // max(1, n))
     for start in range(0, len(a), step):
         yield a.iloc[start:start + step].reset_index(drop=True)
 
 
-def _match(left: DataFrame, left_id: str, right: DataFrame, right_id: str, right_vector: str,
-           product: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> tuple[DataFrame, bool]:
-    """``product`` over all of ``left`` × ``right``, and whether each left row met all of ``right`` at once.
-
-    ``right`` within ``INDEX_BYTES`` is broadcast and ``left`` stays in place.
-    Beyond, each row is copied once per block of the other side, so the shuffle
-    carries rows × blocks, not pairs.
-    """
-    columns = [f.strip().split()[0].strip("`") for f in schema.split(",")]
-
-    def parts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [product(s, b) for s in _slices(a, b)] if len(b) else []
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in columns})
+@dataclass(frozen=True)
+class Index:
+    """Ids in order, and their vectors as the columns of one matrix."""
 
-    n_right, width = right.agg(F.count(F.lit(1)), F.max(F.size(right_vector))).first()
-    if n_right * (width or 1) * 8 <= INDEX_BYTES:
-        index = left.sparkSession.sparkContext.broadcast(right.toPandas())
+    ids: np.ndarray
+    vectors: np.ndarray
 
-        def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield parts(batch, index.value)
 
-        return left.mapInPandas(in_place, schema), True
+def build_index(right: DataFrame, right_id: str, right_vector: str) -> Index:
+    """Collects at most ``INDEX_BYTES`` of vectors and lays them out once for all products."""
+    rows = right.select(right_id, right_vector).toArrow()
+    ids = rows.column(right_id).to_pandas().to_numpy()
+    vectors = rows.column(right_vector).combine_chunks()
+    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    return Index(ids[order], np.ascontiguousarray(flat[order].T))
 
-    def blocks(n: int) -> int:
-        return max(1, -(-n // BLOCK_ROWS))
 
-    n_lb, n_rb = blocks(left.count()), blocks(n_right)
+def _match(left: DataFrame, right: DataFrame, right_id: str, right_vector: str,
+           product: Callable[[pd.DataFrame, Index], pd.DataFrame], schema: str) -> tuple[DataFrame, bool]:
+    """``product`` over all of ``left`` × ``right``, and whether each left row met all of ``right`` at once.
 
-    def numbered(df: DataFrame, id_col: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return (df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<bigint>"))))
+    ``right`` is broadcast in chunks of at most ``INDEX_BYTES``, one pass over
+    ``left`` for each; ``left`` stays in place and no vector is shuffled.
+    """
+    columns = [f.strip().split()[0].strip("`") for f in schema.split(",")]
+    n_right, width = right.agg(F.count(F.lit(1)), F.max(F.size(right_vector))).first()
+    chunks = max(1, -(-n_right * (width or 1) * 8 // INDEX_BYTES))
+    if chunks > 1:
+        left, right = materialize(left).df, materialize(right).df
+    spark, found = left.sparkSession, []
+    for chunk in range(chunks):
+        own = right if chunks == 1 else right.where(F.pmod(F.xxhash64(right_id), F.lit(chunks)) == chunk)
+        index = spark.sparkContext.broadcast(build_index(own, right_id, right_vector))
+
+        def in_place(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                got = [product(s, index.value) for s in _slices(batch, len(index.value.ids))] if len(index.value.ids) else []
+                yield pd.concat(got) if got else pd.DataFrame({c: [] for c in columns})
 
-    a = numbered(left, left_id, "_lb", n_lb, "_rb", n_rb)
-    b = numbered(right, right_id, "_rb", n_rb, "_lb", n_lb)
-    return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(parts, schema), False
+        found.append(left.mapInPandas(in_place, schema))
+    return reduce(DataFrame.unionByName, found), chunks == 1
 
 
 def similar_pairs(left: DataFrame, left_id: str, left_vectors: list[str], right: DataFrame,
@@ -81,17 +88,15 @@ def similar_pairs(left: DataFrame, left_id: str, left_vectors: list[str], right:
 
     With several left vectors the highest of their similarities counts.
     """
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        target = _matrix(b[right_vector]).T
-        sims = np.maximum.reduce([_matrix(a[v]) @ target for v in left_vectors])
+    def product(a: pd.DataFrame, index: Index) -> pd.DataFrame:
+        sims = np.maximum.reduce([_matrix(a[v]) @ index.vectors for v in left_vectors])
         i, j = np.nonzero(sims > threshold if strict else sims >= threshold)
-        return pd.DataFrame({left_id: a[left_id].to_numpy()[i], right_id: b[right_id].to_numpy()[j],
+        return pd.DataFrame({left_id: a[left_id].to_numpy()[i], right_id: index.ids[j],
                              "similarity": sims[i, j]})
 
     types = dict(left.dtypes) | dict(right.dtypes)
     schema = f"`{left_id}` {types[left_id]}, `{right_id}` {types[right_id]}, similarity double"
-    return _match(left.select(left_id, *left_vectors), left_id, right.select(right_id, right_vector),
-                  right_id, right_vector, product, schema)[0]
+    return _match(left.select(left_id, *left_vectors), right, right_id, right_vector, product, schema)[0]
 
 
 def excluded_variables(targets: DataFrame, variables: DataFrame,
@@ -118,15 +123,12 @@ def nearest_variables(requests: DataFrame, variables: DataFrame, k: int = TOP_K,
     ``requests``: request_id, target, label_vector, combined_vector,
     target_vector (NULL when the target has no vector). The higher of the two
     request similarities counts. Excluded variables are dropped before ranking.
-    Each block pair yields its own k best; the merge sees k rows per block.
+    Each chunk of the index yields its own k best; the merge sees k rows per chunk.
     """
     columns = ["request_id", "target", "label_vector", "combined_vector", "target_vector"]
 
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        vectors = _matrix(b["vector"]).T
-        codes = b["var_code"].to_numpy()
-        by_code = np.argsort(codes, kind="stable")
-        codes, vectors = codes[by_code], vectors[:, by_code]
+    def product(a: pd.DataFrame, index: Index) -> pd.DataFrame:
+        codes, vectors = index.ids, index.vectors
         sims = np.maximum(_matrix(a["label_vector"]) @ vectors, _matrix(a["combined_vector"]) @ vectors)
         open_ = sims >= min_similarity
         # few targets, many requests: one leak row per target
@@ -153,8 +155,7 @@ def nearest_variables(requests: DataFrame, variables: DataFrame, k: int = TOP_K,
 
     id_type = dict(requests.dtypes)["request_id"]
     best, complete = _match(
-        requests.select(*columns), "request_id", variables.select("var_code", "vector"), "var_code", "vector",
-        product, f"request_id {id_type}, var_code string, similarity double, cand_rank bigint")
+        requests.select(*columns), variables, "var_code", "vector", product, f"request_id {id_type}, var_code string, similarity double, cand_rank bigint")
     if not complete:
         order = Window.partitionBy("request_id").orderBy(
             F.floor(F.col("similarity") * 1e6 + F.lit(0.5)).desc(), "var_code")

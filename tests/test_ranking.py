@@ -72,3 +72,10 @@ def test_value_order_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(ranking, "RANGE_ROWS", 10)
     got = ranking.ordered_row_number(values, ["g"], "v")
     assert rows(got.select("g", "v", "rn")) == want
+
+
+def test_average_rank_over_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i * 7 % 50)) for i in range(200)] + [(999, None)], "id int, v double")
+    want = sorted(map(str, ranking.average_rank(df, "v", "r").collect()))
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 10)
+    assert sorted(map(str, ranking.average_rank(df, "v", "r").collect())) == want

@@ -44,15 +44,18 @@ def brute(v, leak, exclude=True, k=5, low=0.3):
 @pytest.mark.parametrize("block", [0, 7, 4096])
 @pytest.mark.parametrize("leak,exclude", [(0.5, True), (None, True), (None, False)])
 def test_topk_equals_brute_force(spark, vectors, monkeypatch, block, leak, exclude):
-    if block:  # otherwise the index is broadcast
-        monkeypatch.setattr(S, "INDEX_BYTES", 0)
-        monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    if block:  # otherwise the index goes out at once
+        monkeypatch.setattr(S, "INDEX_BYTES", block * variables_bytes(vectors))
     monkeypatch.setattr(S, "PRODUCT_CELLS", 200)
     requests, variables = frames(spark, vectors)
     out = S.nearest_variables(requests, variables, leakage=leak, exclude_targets=exclude)
     assert {(r["request_id"], r["var_code"], r["cand_rank"]) for r in out.collect()} == brute(vectors, leak, exclude)
 
 
+def variables_bytes(vectors):
+    return vectors.shape[1] * 8
+
+
 def test_threshold_bounds(spark):
     left = spark.createDataFrame([("a", [1.0, 0.0])], "l string, v array<double>")
     right = spark.createDataFrame([("x", [0.5, 0.0]), ("y", [0.4999, 0.0])], "r string, w array<double>")
