@@ -18,8 +18,12 @@ What keeps it small:
 * Combinations are built inside small hash classes whose number follows the size of the set,
   so their number grows with the prefix, not with its square. Sets index under their own
   class of sizes and the next one, so that sets of similar size share the hash classes.
-* Pairs are verified star by star: each index entry is compared with its most typical
-  set first. Later rounds only take pairs of one entry that are not connected yet.
+* Pairs are verified star by star: each index entry is compared with its most typical set first,
+  which connects what belongs together with one comparison per set.
+* What is still open, entries whose sets lie in several components, is compared inside clusters
+  of sets that share open entries. A cluster is cut into blocks; each pair of blocks is a task, unless both
+  lie in the cluster's largest component, and finds its links by counting common tokens. It returns
+  the links that join components, not all of them.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ from surveyspark.llm.texts import Rolling, WordHash, keyed, mixed, stored
 FREQUENT = 32
 # Frequent tokens of one hash class, on average, in a prefix of such tokens only.
 CLASS_TOKENS = 4
-# Rounds of stars before the remaining pairs are taken.
-STARS = 2
+# Sets, and tokens, of one block of a cluster.
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -210,6 +214,79 @@ def _links(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(_verify(p), T.StructType([T.StructField("a", node), T.StructField("b", node)]))
 
 
+def _join_blocks(p: Params):
+    """Links that join components inside each group of rows (sorted by ``task``)."""
+    def solve(nodes: list, roots: list, texts: list, known: WordHash, rolling: Rolling) -> Iterator[tuple[int, int]]:
+        label = np.unique([repr(r) for r in roots], return_inverse=True)[1]
+        if label.max() == 0:
+            return
+        sets = [shingles(t, p.words, known, rolling) for t in texts]
+        sizes = np.array([len(s) for s in sets])
+        names, token = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        holders = owner[np.argsort(token, kind="stable")]
+        df = np.bincount(token, minlength=len(names))
+        first = np.cumsum(df) - df
+        begin = np.cumsum(sizes) - sizes
+        for i in range(len(sets)):
+            own = token[begin[i]: begin[i] + sizes[i]]
+            times = df[own]
+            at = np.repeat(first[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            both = np.bincount(holders[at], minlength=len(sets))
+            close = (100 * both >= p.percent * (sizes + sizes[i] - both)) & (label != label[i])
+            for j in np.flatnonzero(close).tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield i, j
+            if (label == label[0]).all():
+                return
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rolling = _tools()
+        task, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                nodes = pa.concat_arrays([h[0] for h in held])
+                pairs = list(solve(nodes, [r for h in held for r in h[1]], [t for h in held for t in h[2]], known, rolling))
+                if pairs:
+                    yield pa.record_batch([nodes.take(pa.array([x[k] for x in pairs])) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            tasks = batch.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if tasks[lo] != task:
+                        yield from flush()
+                        task, held = tasks[lo], []
+                    part = batch.slice(lo, hi - lo)
+                    held.append((part.column("node"), part.column("root").to_pylist(), part.column("text").to_pylist()))
+        yield from flush()
+    return run
+
+
+def _block_links(left: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between components among sets that share an open entry (hub, node, n, root)."""
+    node = left.schema["node"].dataType
+    clusters = components(left.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    members = stored(left.select("node", "n", "root").distinct().join(clusters, "node"), "members")
+    parts = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    blocks = lambda c, t: F.ceil(F.greatest(c / BLOCK_SETS, t / BLOCK_TOKENS)).cast("int")
+    plan = parts.groupBy("cluster").agg(F.max(F.struct("c", "t", "root")).alias("main"), F.sum("c").alias("c"), F.sum("t").alias("t"))
+    plan = stored(plan.select("cluster", F.col("main.root").alias("main"), blocks(F.col("main.c"), F.col("main.t")).alias("q"),
+                              blocks(F.col("c") - F.col("main.c"), F.col("t") - F.col("main.t")).alias("p")), "plan")
+    draw = F.xxhash64(F.lit("block"), "node")
+    rows = members.join(plan, "cluster").filter("p > 0").withColumn("k", F.when(F.col("root") == F.col("main"), F.col("p") + F.pmod(draw, F.col("q")))
+                                                                    .otherwise(F.pmod(draw, F.col("p"))).cast("int"))
+    # A block meets the others; blocks of the largest component don't meet each other.
+    meets = F.when(F.col("k") < F.col("p"), F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") - 1))
+    rows = rows.withColumn("j", F.explode(meets)).filter("j <> k").select(
+        F.xxhash64("cluster", F.least("j", "k"), F.greatest("j", "k")).alias("task"), "node", "root")
+    rows = rows.join(texts, "node").repartition("task").sortWithinPartitions("task")
+    return rows.mapInArrow(_join_blocks(p), T.StructType([T.StructField("a", node), T.StructField("b", node)]))
+
+
 def join(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -244,27 +321,16 @@ def _classes(docs: DataFrame, p: Params) -> DataFrame:
     index = stored(index.join(crowded, "sig", "left_semi"), "crowded")
     nodes = index.select("node").distinct().withColumn("_doc", F.col("node.doc_id")).withColumn("_th", F.col("node.th"))
     wanted = stored(texts.join(nodes, F.expr("doc_id <=> _doc AND th = _th")).select("node", "text"), "wanted")
-    edges, roots = None, None
-    close = F.expr(f"100 * least(n, n2) >= {p.percent} * greatest(n, n2)")
-    for turn in range(STARS + 1):
-        entries = index.withColumn("root", F.col("node"))
-        if roots is not None:
-            entries = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed_roots = stored(entries.groupBy("sig").agg((F.min("root") < F.max("root")).alias("_open")).filter("_open").select("sig"), "mixed")
-            entries = stored(entries.join(mixed_roots, "sig", "left_semi"), "open")
-            if entries.isEmpty():
-                break
-        if turn < STARS:
-            rank = F.col("typical") if turn == 0 else F.xxhash64("node")
-            hub = stored(entries.groupBy("sig").agg(F.max(F.struct(rank.alias("r"), "node", "n", "root")).alias("h")), "hubs")
-            pairs = entries.join(hub, "sig").withColumn("n2", F.col("h.n")).filter("root <> h.root").filter(close).select(
-                F.col("node").alias("a"), F.col("h.node").alias("b"))
-        else:
-            other = entries.select("sig", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = entries.join(other, "sig").filter("node < b AND root <> root2").filter(close).select(F.col("node").alias("a"), "b")
-        links = _links(_unordered(pairs), wanted, p)
-        edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = stored(components(edges), "roots")
+    hubs = stored(index.groupBy("sig").agg(F.max(F.struct("typical", "node", "n")).alias("h")), "hubs")
+    stars = index.join(hubs, "sig").filter(f"100 * least(n, h.n) >= {p.percent} * greatest(n, h.n)").select(
+        F.col("node").alias("a"), F.col("h.node").alias("b"))
+    roots = stored(components(_links(_unordered(stars), wanted, p)), "roots")
+    entries = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = stored(entries.groupBy("sig").agg(F.min("node").alias("hub"), (F.min("root") < F.max("root")).alias("_open"))
+                     .filter("_open").select("sig", "hub"), "several")
+    left = stored(entries.join(several, "sig").select("hub", "node", "n", "root").distinct(), "open")
+    joined = _block_links(left, wanted, p).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = stored(components(joined), "roots")
     member = profiles.select("doc_id", "th", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left").join(roots, "node", "left")
     return member.select("doc_id", "th", "n", F.coalesce("root", "node").alias("root"))
 
