@@ -56,12 +56,12 @@ def cv_summary(spark, sf):
 
 
 def permute_column(spark, sf):
-    """The status column permuted inside the folds of one target, twice."""
-    p = profiles(spark, sf, ["q_segment"])
+    """The status column permuted inside the folds of the other targets, as often as importance does."""
+    p = profiles(spark, sf, [t for t in V.SURVEY_TARGETS if t != "q_status"])
     at = [*CELL, "fold", "pos"]
     i = p.features.index("q_status")
     rows = p.df.where(F.col("y").isNotNull()).withColumn("val", F.get("x", F.lit(i)))
-    donors = permuted_donors(rows.select(*CELL, "fold", V.SURVEY_ID, "val"), [*CELL, "fold"], V.SURVEY_ID, 2)
+    donors = permuted_donors(rows.select(*CELL, "fold", V.SURVEY_ID, "val"), [*CELL, "fold"], V.SURVEY_ID)
     return rows.select(*at, V.SURVEY_ID, "val").join(
         donors.select(*at, "rep", F.col("val").alias("permuted")), at).select(
         *at, V.SURVEY_ID, "rep", "val", "permuted")
@@ -272,11 +272,11 @@ SQL = {
                              "acc", extra=_M),
     "permute_column": with_views("""
         SELECT f.target, f.country, f.fold, f.pos, f.respondent_id, d.rep, f.val, d.val AS permuted
-        FROM (SELECT * FROM prof WHERE feature = 'q_status' AND target = 'q_segment') f
+        FROM (SELECT * FROM prof WHERE feature = 'q_status' AND target <> 'q_status') f
         JOIN (SELECT *, row_number() OVER (PARTITION BY target, country, fold, rep
                 ORDER BY md5('42|' || rep || '|' || respondent_id), respondent_id) - 1 AS new_pos
-              FROM prof CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range(2))
-              WHERE feature = 'q_status' AND target = 'q_segment') d
+              FROM prof CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range(10))
+              WHERE feature = 'q_status' AND target <> 'q_status') d
           ON d.target = f.target AND d.country = f.country AND d.fold = f.fold AND d.new_pos = f.pos""", "prof", extra=_M),
     "permutation_importance": with_views(f"SELECT {_IMP} FROM imp_sampled", "imp_sampled", extra=_M),
     "permutation_importance_exact": with_views(f"SELECT {_IMP} FROM imp_exact", "imp_exact", extra=_M),
