@@ -50,7 +50,10 @@ BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 18
 
 @dataclass(frozen=True)
 class Params:
-    """Words of a shingle; sets link at ``percent`` % similarity; part of the hash range that comes first (of 1000)."""
+    """Words of a shingle; sets link at ``percent`` % similarity; part of the hash range that comes first (of 1000).
+
+    Below 67 %, sets of two or three frequent shingles can have no combination to be indexed by.
+    """
 
     words: int = 5
     percent: int = 80
@@ -60,6 +63,10 @@ class Params:
         """Tokens that a similar set may lack."""
         return n - -(-n * self.percent // 100)
 
+    def alone(self, n: int) -> bool:
+        """Is a set of this size similar to equal sets only? Without slack it may still lie in a larger one."""
+        return not self.slack(n) and n * 100 // self.percent <= n
+
     def bounds(self) -> list[int]:
         """Smallest size of each class of sizes; similar sets are at most one class apart."""
         out = [1]
@@ -108,7 +115,7 @@ def _profiles(p: Params):
                 h = shingles(text.as_buffer().to_pybytes(), p.words, known, rolling)
                 n, e = len(h), p.slack(len(h))
                 zone, inside = h[:0], 0
-                if e:
+                if n and not p.alone(n):
                     inside = int(np.searchsorted(h, edge))
                     c = int(np.searchsorted(bounds, n, "right")) - 1
                     enough = all(_reach(h[:inside], p.classes(bounds[i])) > e for i in (c, c + 1))

@@ -156,6 +156,22 @@ def test_jaccard_components(spark, monkeypatch, k, percent, part):
     assert sorted(repr(tuple(r)) for r in got) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("k, percent, part, words", [(3, 90, 200, 11), (5, 80, 330, 8)])
+@pytest.mark.parametrize("frequent", [0, 32])
+def test_set_without_slack_links_to_a_larger_one(spark, monkeypatch, k, percent, part, words, frequent):
+    """9 shingles inside 10 are 90 %, 4 inside 5 are 80 %, though the smaller set may lack none."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rows = []
+    for i in range(8):
+        short = " ".join("g%dw%d" % (i, j) for j in range(words))
+        rows += [(4 * i, short + " after"), (4 * i + 1, short), (4 * i + 2, "before " + short), (4 * i + 3, short + " a b")]
+    docs, p = table(spark, rows), jaccard.Params(k, percent, part)
+    got = jaccard.join(docs, p).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_components(rows, k, percent)
+    assert {r.component_id for r in got if r.doc_id % 4 < 3} == {4 * i for i in range(8)}
+    assert {r.doc_id for r in jaccard.deduplicate(docs, p).collect()} == {r.component_id for r in got}
+
+
 def test_prefixes_of_similar_sets_meet(monkeypatch):
     """Any two similar sets share an index entry, however frequent their tokens are."""
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
