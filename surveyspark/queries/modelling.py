@@ -8,7 +8,7 @@ from surveyspark.functions.numbers import r4, r6
 from surveyspark.operators import bayes, evaluation, importance
 from surveyspark.operators.cleaning import clean_survey
 from surveyspark.operators.encoding import class_distribution
-from surveyspark.operators.forest import forest_accuracy
+from surveyspark.operators.forest import forest_grid
 from surveyspark.operators.mapping import selected_features
 from surveyspark.operators.profiles import CELL, build_profiles
 from surveyspark.operators.resampling import assign_folds, permuted_donors, random_draws
@@ -148,9 +148,8 @@ def class_distribution_query(spark, sf):
 
 
 def forest_cv(spark, sf):
-    """Cross-check of one cell with tree ensembles."""
-    p = profiles(spark, sf, ["q_status"])
-    return forest_accuracy(p, "q_status", "NATION_7", ["q_mixed", "q_month", "q_price"], trees=10, depth=4)
+    """Cross-check of every cell with tree ensembles, all features."""
+    return forest_grid(profiles(spark, sf))
 
 
 QUERIES = {
