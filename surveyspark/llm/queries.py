@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import automata, jaccard, language, mixing, quality, secrets, sharding, suffix_array, tiling, topk
+from surveyspark.llm import (
+    alignment, automata, conversations, jaccard, language, mixing, quality, secrets, sharding, suffix_array, tiling, topk, url_sql, urls)
 from surveyspark.llm.texts import table
 
 COUNT = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', chr(1), 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
@@ -69,9 +70,27 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_units").alias("n_words"), _removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_mixing, op3_quality, op4_top_k, op5_language, op6_jaccard_join, op7_sharding, op8_secrets, op9_decontamination, op10_suffix_automata)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages allowed or blocked, by rules or by the ratio of two character models."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents under two public tokenizers, aligned, and how common their links are."""
+    return alignment.align_corpus(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by a checksum and repaired at the least cost."""
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_array, op2_mixing, op3_quality, op4_top_k, op5_language, op6_jaccard_join, op7_sharding, op8_secrets, op9_decontamination,
+    op10_suffix_automata, op11_url_filter, op12_alignment, op13_conversations)}
 
 SQL = {
+    "op11_url_filter": url_sql.twin(),
     "op4_top_k": """
 WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
