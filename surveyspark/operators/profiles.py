@@ -61,15 +61,22 @@ def feature_array(clean: DataFrame, features: list[str]) -> Column:
 
 
 def build_profiles(clean: DataFrame, id_col: str, country_col: str, targets: list[str],
-                   features: list[str], n_folds: int = N_FOLDS, seed: int = SEED) -> Profiles:
+                   features: list[str], n_folds: int = N_FOLDS, seed: int = SEED,
+                   cells: DataFrame | None = None) -> Profiles:
     """Encode targets, deal folds and attach the answers.
 
+    ``cells`` (target, country, place) sends the rows of a country to another cell, as
+    ``screening.region_cells`` decides for small countries; each row is keyed once.
+
     Fold dealing moves narrow rows only (cell, respondent, class). The wide
     side is shuffled once, on the respondent, and the result is written, so the
     count and score passes start from it.
     """
     features = sorted(features)
     answers = target_answers(clean, targets, [id_col], country_col)
+    if cells is not None:
+        moved = materialize(cells.select(*CELL, "place"))
+        answers = moved.join_into(answers, CELL, spread=id_col).drop("country").withColumnRenamed("place", "country")
     classes = materialize(class_table(answers, CELL))
     n_classes, largest = (classes.df.groupBy(*CELL).agg(F.max("y").alias("y"), F.sum("n").alias("n"))
                           .agg(F.max("y"), F.max("n")).first())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from surveyspark.queries import catalog, cleaning, modelling, reporting, requesting
+from surveyspark.queries import catalog, cleaning, modelling, reporting, requesting, structure
 
-MODULES = (catalog, cleaning, requesting, modelling, reporting)
+MODULES = (catalog, cleaning, requesting, modelling, reporting, structure)
 
 
 def queries() -> dict:
