@@ -59,6 +59,10 @@ class Params:
     percent: int = 80
     part: int = 330
 
+    def __post_init__(self) -> None:
+        if not 67 <= self.percent <= 100:
+            raise ValueError("sets below 67 % similarity may share no index entry")
+
     def slack(self, n: int) -> int:
         """Tokens that a similar set may lack."""
         return n - -(-n * self.percent // 100)
@@ -222,8 +226,8 @@ def _links(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 
 def _join_blocks(p: Params):
-    """Links that join components inside each group of rows (sorted by ``task``)."""
-    def solve(nodes: list, roots: list, texts: list, known: WordHash, rolling: Rolling) -> Iterator[tuple[int, int]]:
+    """Links between the roots of components inside each group of rows (sorted by ``task``)."""
+    def solve(roots: list, texts: list, known: WordHash, rolling: Rolling) -> Iterator[tuple[int, int]]:
         label = np.unique([repr(r) for r in roots], return_inverse=True)[1]
         if label.max() == 0:
             return
@@ -254,10 +258,10 @@ def _join_blocks(p: Params):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                nodes = pa.concat_arrays([h[0] for h in held])
-                pairs = list(solve(nodes, [r for h in held for r in h[1]], [t for h in held for t in h[2]], known, rolling))
+                roots = pa.concat_arrays([h[0] for h in held])
+                pairs = list(solve([r for h in held for r in h[1]], [t for h in held for t in h[2]], known, rolling))
                 if pairs:
-                    yield pa.record_batch([nodes.take(pa.array([x[k] for x in pairs])) for k in (0, 1)], names=["a", "b"])
+                    yield pa.record_batch([roots.take(pa.array([x[k] for x in pairs])) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             tasks = batch.column("task").to_numpy()
@@ -268,13 +272,13 @@ def _join_blocks(p: Params):
                         yield from flush()
                         task, held = tasks[lo], []
                     part = batch.slice(lo, hi - lo)
-                    held.append((part.column("node"), part.column("root").to_pylist(), part.column("text").to_pylist()))
+                    held.append((part.column("root"), part.column("root").to_pylist(), part.column("text").to_pylist()))
         yield from flush()
     return run
 
 
 def _block_links(left: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) between components among sets that share an open entry (hub, node, n, root)."""
+    """Links (a, b) between roots of components among sets that share an open entry (hub, node, n, root)."""
     node = left.schema["node"].dataType
     clusters = components(left.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
     members = stored(left.select("node", "n", "root").distinct().join(clusters, "node"), "members")
@@ -336,10 +340,11 @@ def _classes(docs: DataFrame, p: Params) -> DataFrame:
     several = stored(entries.groupBy("sig").agg(F.min("node").alias("hub"), (F.min("root") < F.max("root")).alias("_open"))
                      .filter("_open").select("sig", "hub"), "several")
     left = stored(entries.join(several, "sig").select("hub", "node", "n", "root").distinct(), "open")
-    joined = _block_links(left, wanted, p).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = stored(components(joined), "roots")
+    # Only roots that a link joins to others change.
+    joined = components(_block_links(left, wanted, p)).select(F.col("node").alias("root"), F.col("root").alias("_last"))
     member = profiles.select("doc_id", "th", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left").join(roots, "node", "left")
-    return member.select("doc_id", "th", "n", F.coalesce("root", "node").alias("root"))
+    member = member.withColumn("root", F.coalesce("root", "node")).join(stored(joined, "joined"), "root", "left")
+    return member.select("doc_id", "th", "n", F.coalesce("_last", "root").alias("root"))
 
 
 def deduplicate(docs: DataFrame, params: Params | None = None) -> DataFrame:

@@ -208,12 +208,37 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5]
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("piece", [20, 250_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, piece):
+    monkeypatch.setattr(components, "PIECE", piece)
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
 
 
+def test_random_components_in_pieces(spark, monkeypatch):
+    """Nodes are structs with a null inside, as the join uses them."""
+    monkeypatch.setattr(components, "PIECE", 40)
+    rng = random.Random(8)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(170)]
+    node = lambda i: (i % 7 == 0, None if i % 7 == 0 else i, i)
+    schema = "a struct<none: boolean, id: bigint, th: bigint>, b struct<none: boolean, id: bigint, th: bigint>"
+    got = {tuple(r.node): tuple(r.root) for r in components.components(spark.createDataFrame([(node(a), node(b)) for a, b in edges], schema)).collect()}
+    key = lambda n: (n[0], n[1] or 0, n[2])
+    want = {node(x): node(x) for pair in edges for x in pair if pair[0] != pair[1]}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            if a != b:
+                want[node(a)] = want[node(b)] = min(want[node(a)], want[node(b)], key=key)
+    assert got == want
+    assert components.components(spark.createDataFrame([(1, 1)], "a int, b int")).count() == 0
+
+
+def test_thresholds_that_would_lose_links_are_refused():
+    with pytest.raises(ValueError):
+        jaccard.Params(percent=66)
+
+
 def brute_targets(sizes, weights, percent, cap):
     total = Fraction(sum(sizes.values()) * percent, 100)
     clamped = {}
