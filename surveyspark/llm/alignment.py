@@ -39,18 +39,25 @@ from pyspark.sql import types as T
 
 from surveyspark.llm.texts import stored
 
-# Links, and documents, after which a chunk is closed; words a task remembers; texts encoded at a time.
-CHUNK_LINKS, CHUNK_DOCS, MEMORY, BATCH_CHARS = 1 << 21, 4096, 400_000, 1 << 18
+# Links, and documents, after which a chunk is closed; words a worker remembers; characters of texts, and words, taken at a time.
+CHUNK_LINKS, CHUNK_DOCS, MEMORY, BATCH_CHARS, BLOCK_WORDS = 1 << 21, 4096, 500_000, 1 << 18, 2000
 # Pairs are one number: first id times this, plus the second id.
 WIDE = 1 << 24
 # A space where both tokenizers cut: no white space, nor what one of them may take for it, on either side.
-_OTHER = r"[^\s᠎​⁠﻿▁]"
+_NARROW = "\u180e\u200b\u2060\ufeff\u2581"
+_OTHER = rf"[^\s{_NARROW}]"
 CUT = re.compile(rf"(?<={_OTHER}) (?={_OTHER})")
 MARK = "▁"
 DEFAULT_DIR = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def joins(word: str) -> bool:
+    """Can a word stand between others in one text, cut at its edges as in any other?"""
+    first, last = word[:1], word[-1:]
+    return word != "" and not (first.isspace() or last.isspace() or first in _NARROW or last in _NARROW)
+
+
 def byte_alphabet() -> dict[str, int]:
     """Byte of each character of a byte-level vocabulary: printable bytes stand for themselves, the others follow from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,6 +74,17 @@ class Coder:
         self.names = np.array([str(i) for i in range(len(tokens))], object)
         self.bars = self.names + "|"
 
+    def encode_words(self, words: list[str]) -> list[bytes] | None:
+        """Ids of each word as bytes, from all words as one text; none if its tokens don't spell it."""
+        text = " ".join(words)
+        ids = self.encode([text])[0]
+        if not self.spells(ids, text):
+            return None
+        ids = np.array(ids, "<i4")
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
+        edges, data = (4 * ends).tolist(), ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *edges], edges)]
+
     def spells(self, ids: Iterable[int], text: str) -> bool:
         return b"".join(map(self.tokens.__getitem__, ids)) == b" " + text.encode()
 
@@ -107,13 +125,21 @@ class Words:
         if new and len(self.known) + len(new) > MEMORY:
             self.known, self.odd = {}, set()
             new = list(set().union(*cuts))
+        inner = [w for w in new if joins(w)]
+        for lo in range(0, len(inner), BLOCK_WORDS):
+            self._learn(inner[lo: lo + BLOCK_WORDS], True)
+        if len(inner) < len(new):
+            self._learn([w for w in new if not joins(w)], False)
+
+    def _learn(self, new: list[str], together: bool) -> None:
         sides = []
         for coder in self.coders:
-            ids = coder.encode(new) if new else []
-            flat, ends = np.fromiter(chain.from_iterable(ids), "<i4").tobytes(), np.cumsum([4 * len(x) for x in ids]).tolist()
-            sides.append(map(flat.__getitem__, map(slice, [0, *ends], ends)))
-            if not coder.spells(chain.from_iterable(ids), " ".join(new)):
-                self.odd.update(word for word, x in zip(new, ids) if not coder.spells(x, word))
+            ids = coder.encode_words(new) if together else None
+            if ids is None:
+                each = coder.encode(new)
+                self.odd.update(word for word, x in zip(new, each) if not coder.spells(x, word))
+                ids = [np.array(x, "<i4").tobytes() for x in each]
+            sides.append(ids)
         self.known.update(zip(new, zip(*sides)))
 
     def ids(self, words: list[str], text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -130,10 +156,10 @@ def _words(first: str, second: str) -> Words:
     return Words(byte_coder(first), piece_coder(second))
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
+def align(a: list[int], b: list[int]) -> tuple[np.ndarray, list[int], list[int]]:
     """Stretches and links of two arrays of end offsets.
 
-    A stretch is (first, end) on side a and (first, end) on side b: as many groups of one token each where both have the same
+    A stretch is a row (first, end) on side a and (first, end) on side b: as many groups of one token each where both have the same
     length and ends, else one irregular group. The links of irregular groups are given as indexes of both sides.
     """
     stretches, links_a, links_b = [], [], []
@@ -171,20 +197,20 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]],
                 links_b.append(j)
             i += 1
             j += 1
-        stretches.append((begin, i, start, j))
-    return stretches, links_a, links_b
+        stretches += (begin, i, start, j)
+    return np.array(stretches, np.int64).reshape(-1, 4), links_a, links_b
 
 
-def straight(a: list[int], b: list[int], stretch: tuple[int, int, int, int]) -> bool:
-    """Is a stretch a run of one-to-one groups? Irregular ones differ in their first end or hold several tokens against one."""
-    i, p, j, q = stretch
-    return p - i == q - j and a[i] == b[j]
+def straight(a: np.ndarray, b: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+    """Which stretches are runs of one-to-one groups? Irregular ones differ in their first end or in their lengths."""
+    i, p, j, q = stretches.T
+    return (p - i == q - j) & (a[i] == b[j])
 
 
-def grouped(a: list[str], bars: list[str], b: list[str], stretches: list[tuple[int, int, int, int]], regular: list[bool]) -> str:
+def grouped(a: list[str], bars: list[str], b: list[str], stretches: np.ndarray, regular: np.ndarray) -> str:
     """Groups as ``a1,a2|b1;a3|b2,b3``; ``bars`` are side a's names with a bar behind."""
     out = []
-    for (i, p, j, q), even in zip(stretches, regular):
+    for i, p, j, q, even in zip(*stretches.T.tolist(), regular.tolist()):
         out.append(";".join(map(add, bars[i:p], b[j:q])) if even else f"{','.join(a[i:p])}|{','.join(b[j:q])}")
     return ";".join(out)
 
@@ -212,22 +238,22 @@ def _aligned(first: str, second: str, id_type: pa.DataType):
                         ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, number = _words(first, second), TaskContext.get().partitionId(), 0
-        one, two = words.coders
+        known, part, number = _words(first, second), TaskContext.get().partitionId(), 0
+        one, two = known.coders
         rows, links = [], 0
 
-        def document(doc_id, text: str | None, cut: list[str]) -> int:
+        def document(doc_id, text: str | None, words_: list[str]) -> int:
             row = {"doc_id": doc_id, **dict.fromkeys(LONGS, 0), "groups_sha256": "", "pairs": np.zeros(0, np.int64), "times": np.zeros(0, np.int64)}
             rows.append(row)
-            both = words.ids(cut, text) if text else None
+            both = known.ids(words_, text) if text else None
             if both is None:
                 return 0
             a, b = both
-            ends_a, ends_b = np.cumsum(one.lengths[a]).tolist(), np.cumsum(two.lengths[b]).tolist()
-            stretches, links_a, links_b = align(ends_a, ends_b)
-            regular = [straight(ends_a, ends_b, s) for s in stretches]
+            ends_a, ends_b = np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b])
+            stretches, links_a, links_b = align(ends_a.tolist(), ends_b.tolist())
+            regular = straight(ends_a, ends_b, stretches)
             said = grouped(one.names[a].tolist(), one.bars[a].tolist(), two.names[b].tolist(), stretches, regular)
-            runs = np.array(stretches, np.int64)[np.array(regular)]
+            runs = stretches[regular]
             sizes = runs[:, 1] - runs[:, 0]
             links_a, links_b = (np.concatenate([np.array(x, np.int64), _ranges(runs[:, k], sizes)]) for k, x in ((0, links_a), (2, links_b)))
             pairs, times = np.unique(a[links_a] * np.int64(WIDE) + b[links_b], return_counts=True)
@@ -258,7 +284,7 @@ def _aligned(first: str, second: str, id_type: pa.DataType):
                     held.append(text)
                     cuts.append(CUT.split(text) if text else [])
                     chars += len(text or "")
-                words.learn(cuts)
+                known.learn(cuts)
                 for k, text in enumerate(held):
                     links += document(ids[lo + k], text, cuts[k])
                     if links >= CHUNK_LINKS or len(rows) >= CHUNK_DOCS:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from surveyspark.llm import alignment
@@ -99,8 +100,9 @@ def test_runs_and_knots():
         a, b = (sorted({*rng.sample(range(1, size + 1), rng.randrange(size)), size}) for _ in range(2))
         stretches, links_a, links_b = alignment.align(a, b)
         got, links = [], set(zip(links_a, links_b))
-        for i, p, j, q in stretches:
-            if alignment.straight(a, b, (i, p, j, q)):
+        runs = alignment.straight(np.array(a), np.array(b), stretches).tolist()
+        for (i, p, j, q), run in zip(stretches.tolist(), runs):
+            if run:
                 got += [((k,), (k + j - i,)) for k in range(i, p)]
                 links |= {(k, k + j - i) for k in range(i, p)}
             else:
@@ -112,6 +114,5 @@ def test_runs_and_knots():
 
 
 def test_packing():
-    import numpy as np
     for numbers in ([], [0, 3], [255, 256], [70_000, 1]):
         assert alignment.unpacked(alignment.packed(np.array(numbers, np.int64))).tolist() == numbers
