@@ -127,6 +127,11 @@ def rounded(score: Column) -> Column:
     return F.floor(score * F.lit(1e9) + F.lit(0.5))
 
 
+def best_class(scores: Column) -> Column:
+    """Class with the highest of an array of scores, the later one on a tie."""
+    return F.array_max(F.transform(scores, lambda s, c: F.struct(rounded(s).alias("s"), c.alias("c"))))["c"]
+
+
 def with_best_class(df: DataFrame, scores: list[Column], out: str) -> DataFrame:
     """Add ``out``: the class with the highest score, the later one on a tie.
 
@@ -146,11 +151,11 @@ def with_best_class(df: DataFrame, scores: list[Column], out: str) -> DataFrame:
 def test_rows(model: BayesModel) -> DataFrame:
     """Exploded answers of the rows that are scored, with their likelihoods.
 
-    Adds ``ll`` per class and ``key``.
+    Adds ``i`` (place of the feature), ``ll`` per class and ``key``.
     """
     p = model.profiles
     rows = p.answers(p.by_respondent().withColumn("_place", model.place()))
-    rows = rows.withColumn("key", answer_key("_place", F.col("i"), F.col("val"))).drop("_place", "i")
+    rows = rows.withColumn("key", answer_key("_place", F.col("i"), F.col("val"))).drop("_place")
     return model.ll.narrow("key", "ll").join_into(rows, ["key"], spread=p.id_col)
 
 
@@ -187,6 +192,37 @@ def predict_sets(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
     return with_best_class(scores, [F.col(n) for n in names], "pred").drop("pos", *names)
 
 
+def _set_arrays(profiles: Profiles, sets: DataFrame) -> Materialized:
+    """Per cell the sets (set_id, places of their features among the cell's scored ones); as many entries as the cell has sets."""
+    names = F.array(*[F.lit(f) for f in profiles.features])
+    place_of = lambda c: F.array_position(names, F.col(c)) - 1
+    # the target itself is not scored, which moves the features behind it
+    at = place_of("feature") - F.when((place_of("target") >= 0) & (place_of("feature") > place_of("target")), 1).otherwise(0)
+    places = sets.select(*CELL, "set_id", at.cast("int").alias("at")).groupBy(*CELL, "set_id").agg(
+        F.array_sort(F.collect_list("at")).alias("ats"))
+    return materialize(places.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("set_id", "ats"))).alias("sets")))
+
+
+def set_accuracy(model: BayesModel, sets: DataFrame) -> DataFrame:
+    """Held-out accuracy of every feature set: cell, set_id, fold, n_test, n_right, accuracy.
+
+    ``sets`` is ``(cell, set_id, feature)``. A respondent's likelihoods are one array and the cell's sets another, so nothing is
+    expanded by set but the hits, which are counted where they arise.
+    """
+    p = model.profiles
+    lists = _set_arrays(p, sets)
+    terms = test_rows(model).groupBy(*CELL, p.id_col, "fold", "pos", "y").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "ll"))), lambda t: t["ll"]).alias("_terms"))
+    rows = model.priors.narrow(*CELL, "fold", "prior").join_into(terms, [*CELL, "fold"], spread=p.id_col)
+    rows = lists.join_into(rows, CELL, spread=p.id_col)
+    add = lambda scores, at: F.zip_with(scores, F.get("_terms", at), lambda a, b: a + b)
+    hit = lambda s: (best_class(F.aggregate(s["ats"], F.col("prior"), add)) == F.col("y")).cast("int")
+    hits = rows.select(*CELL, "fold", F.posexplode(F.transform("sets", hit)).alias("_nth", "hit"))
+    counts = hits.groupBy(*CELL, "fold", "_nth").agg(F.count(F.lit(1)).alias("n_test"), F.sum("hit").alias("n_right"))
+    names = lists.df.select(*CELL, F.posexplode("sets").alias("_nth", "s")).select(*CELL, "_nth", "s.set_id")
+    return counts.join(names, [*CELL, "_nth"]).drop("_nth").withColumn("accuracy", F.col("n_right") / F.col("n_test"))
+
+
 def fold_accuracy(predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Share of right predictions per held-out fold."""
     return predicted.groupBy(*keys, "fold").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
-from surveyspark.operators.bayes import BayesModel, fold_accuracy, predict_sets
+from surveyspark.operators.bayes import BayesModel, set_accuracy
 from surveyspark.operators.encoding import majority_baseline
 from surveyspark.operators.importance import top_k
 from surveyspark.operators.mapping import requested_counts, selected_features
@@ -46,8 +46,7 @@ def evaluate_feature_sets(model: BayesModel, sets: DataFrame) -> DataFrame:
     usable = materialize(sets.select(*CELL, "set_id", "feature").distinct()
                          .join(known, [*CELL, "feature"], "left_semi")).df
     n_usable = usable.groupBy(*CELL, "set_id").agg(F.count(F.lit(1)).alias("n_features"))
-    scores = cv_summary(fold_accuracy(predict_sets(model, usable), [*CELL, "set_id"]),
-                        [*CELL, "set_id"]).drop("n_samples")
+    scores = cv_summary(set_accuracy(model, usable), [*CELL, "set_id"]).drop("n_samples")
     base = majority_baseline(model.profiles.classes.df, CELL)
     rows = (asked.join(n_usable, [*CELL, "set_id"], "left")
             .join(scores, [*CELL, "set_id"], "left").join(base, CELL, "left")

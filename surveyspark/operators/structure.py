@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4, r6
-from surveyspark.operators.bayes import BayesModel, rounded, test_rows
+from surveyspark.operators.bayes import BayesModel, best_class, test_rows
 from surveyspark.operators.importance import importance_rank, top_k
 from surveyspark.operators.mapping import selected_features
 from surveyspark.operators.profiles import CELL
@@ -23,11 +23,6 @@ def as_features(importances: DataFrame, value: str = "importance_mean") -> DataF
 
 # --- ceilings ----------------------------------------------------------------
 
-def best_class(scores: Column) -> Column:
-    """Class with the highest of an array of scores, the later one on a tie."""
-    return F.array_max(F.transform(scores, lambda s, c: F.struct(rounded(s).alias("s"), c.alias("c"))))["c"]
-
-
 def prefix_hits(prior: Column, terms: Column, y: Column) -> Column:
     """For every prefix of ``terms`` (structs with ``ll``): 1 if the class it predicts is ``y``, else 0.
 

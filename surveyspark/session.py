@@ -6,13 +6,13 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows of a materialised table up to which it is sent to every executor.
-# Widest rows in use hold a short key and one double per answer class, so this
-# stays near 100 MB; above it the salted shuffle join takes over.
-BROADCAST_ROWS = 400_000
+# Rows, and measured bytes, of a materialised table up to which it is sent to
+# every executor; above either the salted shuffle join takes over.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 128 << 20
 # Copies of each small-side row in the salted join: one hot key is spread over
 # this many tasks.
 SALTS = 64
@@ -57,24 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @dataclass(frozen=True)
 class Materialized:
-    """A table written once to the checkpoint folder, with its row count."""
+    """A table written once to the checkpoint folder, with its row count and the bytes of its values."""
 
     df: DataFrame
     rows: int
+    bytes: int = 0
 
     def narrow(self, *columns) -> Materialized:
         """The same rows with fewer, renamed or derived columns."""
-        return Materialized(self.df.select(*columns), self.rows)
+        return Materialized(self.df.select(*columns), self.rows, self.bytes)
 
     def join_into(self, big: DataFrame, keys: list[str], how: str = "inner",
                   spread: str | None = None, limit: int | None = None) -> DataFrame:
         """Join this table into ``big`` on ``keys``.
 
-        Broadcast while the counted size allows it. Beyond that, ``big`` is
+        Broadcast while rows and bytes, counted when it was written, allow it. Beyond that, ``big`` is
         salted by the ``spread`` column and this side is copied once per salt,
         so a key that holds a third of ``big`` is split over many tasks.
         """
-        if self.rows <= (BROADCAST_ROWS if limit is None else limit):
+        if self.rows <= (BROADCAST_ROWS if limit is None else limit) and self.bytes <= BROADCAST_BYTES:
             return big.join(F.broadcast(self.df), keys, how)
         if spread is None:
             return big.join(self.df, keys, how)
@@ -83,9 +84,34 @@ class Materialized:
         return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value of fixed width; 16 stand for what varies inside an array."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind)
+    return 16 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a column's values: texts by length, arrays by their number of entries."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.ArrayType, T.StructType)):  # arrays inside are summed up
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda n, v: n + _bytes(v, kind.elementType)), F.lit(0))
+        size = F.size(value) * _width(kind.elementType)
+    elif isinstance(kind, T.MapType):
+        size = F.size(value) * (_width(kind.keyType) + _width(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    else:
+        return F.lit(8).cast("bigint")
+    return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint") + 8
+
+
 def materialize(df: DataFrame) -> Materialized:
-    """Checkpoint ``df`` and count it in the same pass."""
+    """Checkpoint ``df``, and count its rows and bytes in the same pass."""
     shared_dir(df.sparkSession)
     seen = Observation(f"rows-{uuid.uuid4().hex}")
-    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    return Materialized(kept, seen.get["rows"])
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("bigint"))
+    kept = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).checkpoint(eager=True)
+    return Materialized(kept, seen.get["rows"], seen.get["bytes"])
