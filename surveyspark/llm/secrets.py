@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that pass a battery of randomness tests.
 
-DataFrame functions only, in one pass over the texts; the one small shuffle
-adds up a histogram of fixed size for the false-discovery control.
+DataFrame functions only, in two passes over the texts (characters, then
+spans); what is shuffled are histograms of fixed size for the false-discovery control.
 
 Battery. Every other run of at least 20 characters of the base-64
 family is a candidate. Its encoding is inferred from its characters (hex, base
@@ -12,11 +12,15 @@ correlation of neighbours. The least of the three, corrected for three tests,
 is the candidate's p: uniform for random strings, next to zero for words, paths
 and repeats.
 
-False-discovery control. Letters-only candidates are ordinary by construction;
-they take the same tests and serve as decoys, the others are targets. Per length
-class the cut is the smallest p above which decoys are at most ``FDR`` of the
-targets (one decoy is added, so a few targets alone prove nothing). Short
-classes, whose tests tell little, thus get a stricter cut or none.
+A string counts as random if that p is not below ``FLOOR`` and it survives false-discovery control.
+
+False-discovery control. What must be ruled out is an ordinary string that
+looks even by chance. Ordinary strings draw their characters as the corpus does: one pass counts
+the characters of all texts (a fixed table of letter frequencies is added, so that a
+tiny corpus has a distribution too). Under that model the number of equal pairs of characters in a string has a known
+mean and variance for its length and alphabet; how far a string falls below it gives a second p-value. Per length class the
+candidates are taken by Benjamini and Hochberg's step-up rule at rate ``FDR``, which holds for few candidates as for many. Short
+strings can't fall far, so their classes get a stricter cut or none.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-LETTERS = "^[A-Za-z]+$"
 
-FDR = 0.05
-BINS = 50
+FDR, FLOOR = 0.05, 0.01
+# P-values of ordinary strings are binned by their logarithm: bins per factor of ten, and the last bin.
+LOG_BINS, LAST_LOG = 20, 400
+SHORTEST = 20
 # Upper length of each class; the last is open.
 CLASSES = (24, 32, 48, 64, 128)
 # Sum of the positions of a block, in two steps, keeps prefix sums near linear.
@@ -52,8 +57,13 @@ ENCODINGS = (
     ("BASE36", "^[A-Z0-9]+$", UPPER + DIGITS),
     ("base62", "^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
-    ("base64", "^", UPPER + LOWER + DIGITS + "+/"),
+    ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("mixed", "^", UPPER + LOWER + DIGITS + "+/-_"),
 )
+SYMBOLS = UPPER + LOWER + DIGITS + "+/-_"
+# Letters of ordinary text, per ten thousand.
+LETTERS = {"e": 1270, "t": 906, "a": 817, "o": 751, "i": 697, "n": 675, "s": 633, "h": 609, "r": 599, "d": 425, "l": 403, "c": 278, "u": 276,
+           "m": 241, "w": 236, "f": 223, "g": 202, "y": 197, "p": 193, "b": 149, "v": 98, "k": 77, "j": 15, "x": 15, "q": 10, "z": 7}
 
 
 def _let(value: Column, body) -> Column:
@@ -93,7 +103,7 @@ def _upper_tail(z: Column) -> Column:
 
 
 def facts(token: Column) -> Column:
-    """Codes of the characters in the inferred alphabet, its size, the length and the chi-squared p-value."""
+    """Codes of the characters in the inferred alphabet, its size, the length, the sum of squared counts and the chi-squared p-value."""
     alphabet = F.coalesce(*(F.when(F.regexp_like(token, F.lit(p)), F.lit(a)) for _, p, a in ENCODINGS))
     seen = F.struct(alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"), F.length(token).cast("double").alias("n"),
                     token.alias("token"), F.split(token, "", -1).alias("chars"))
@@ -105,7 +115,8 @@ def facts(token: Column) -> Column:
         # Exact variance of the statistic for n draws; large-sample theory fails for n below the alphabet.
         p_chi = _upper_tail((chi - free) / F.sqrt(2 * free * (s["n"] - 1) / s["n"]))
         codes = F.transform(s["chars"], lambda c: F.instr(s["alphabet"], c) - 0.5)
-        return F.struct(codes.alias("codes"), s["size"].alias("size"), s["n"].alias("n"), p_chi.alias("p_chi"))
+        return F.struct(codes.alias("codes"), s["alphabet"].alias("alphabet"), s["size"].alias("size"), s["n"].alias("n"),
+                        squares.alias("squares"), p_chi.alias("p_chi"))
     return _let(seen, tests)
 
 
@@ -132,16 +143,66 @@ def length_class(n: Column) -> Column:
     return out
 
 
+def character_counts(docs: DataFrame) -> dict[str, float]:
+    """How often each character of the candidates' alphabets occurs in all texts, and in the fixed table."""
+    text = text_or_empty()
+    counts = docs.agg(*(F.coalesce(F.sum(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))), F.lit(0)).alias(f"_{i}")
+                        for i, c in enumerate(SYMBOLS))).first()
+    return {c: float(counts[i]) + LETTERS.get(c, 0) for i, c in enumerate(SYMBOLS)}
+
+
+def moments(counts: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Per alphabet the sums of squares and cubes of its characters' shares."""
+    out = {}
+    for _, _, alphabet in ENCODINGS:
+        total = sum(counts[c] for c in alphabet) or 1.0
+        shares = [counts[c] / total for c in alphabet] if total > 1 else [1 / len(alphabet)] * len(alphabet)
+        out[alphabet] = sum(x ** 2 for x in shares), sum(x ** 3 for x in shares)
+    return out
+
+
+def ordinary(seen: Column, known: dict[str, tuple[float, float]]) -> Column:
+    """P-value of so few equal pairs of characters in an ordinary string. ``seen`` is a lambda's variable."""
+    n = seen["n"]
+    second, third = (F.element_at(F.create_map(*(F.lit(x) for a, m in known.items() for x in (a, m[k]))), seen["alphabet"]) for k in (0, 1))
+    pairs = n * (n - 1) / 2
+    variance = pairs * (second - second * second) + n * (n - 1) * (n - 2) * (third - second * second)
+    z = ((seen["squares"] - n) / 2 - pairs * second) / F.sqrt(F.greatest(F.lit(1e-9), variance))
+    return _log_tail(-z)
+
+
+def _log_tail(z: Column) -> Column:
+    """-log10 P(N > z) of a standard normal; far out by its leading term."""
+    far = F.greatest(z, F.lit(3.0))
+    return F.when(z < 3, -F.log10(_upper_tail(z))).otherwise((far * far / 2 + F.log(far * 2.5066282746)) / 2.302585093)
+
+
 def cuts(tests: DataFrame, fdr: float = FDR) -> DataFrame:
-    """Smallest accepted bin of p per length class: class, cut. At most ``len(CLASSES) + 1`` rows.
+    """Lowest accepted bin of -log10 p per length class: class, cut. At most ``len(CLASSES) + 1`` rows.
 
-    ``tests`` holds class, bin and decoy. Classes in which no cut reaches the rate are left out.
+    ``tests`` holds class and bin of all candidates. The step-up rule on bins: as many candidates must reach a bin
+    that its p-value times all of the class is at most ``fdr`` of them. Classes in which none does are left out.
     """
-    counts = tests.groupBy("class", "bin").agg(
-        F.count(F.when(F.col("decoy"), 1)).alias("d"), F.count(F.when(~F.col("decoy"), 1)).alias("t"))
-    up = Window.partitionBy("class").orderBy(F.desc("bin"))  # BINS rows at most
-    seen = counts.withColumn("d", F.sum("d").over(up) + 1).withColumn("t", F.sum("t").over(up))
-    return seen.filter(F.col("d") <= fdr * F.col("t")).groupBy("class").agg(F.min("bin").alias("cut"))
+    counts = tests.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))
+    of_class = Window.partitionBy("class")  # LAST_LOG rows at most
+    up = of_class.orderBy(F.desc("bin"))
+    seen = counts.withColumn("reach", F.sum("n").over(up)).withColumn("all", F.sum("n").over(of_class))
+    return seen.filter(F.pow(F.lit(10.0), -F.col("bin") / LOG_BINS) * F.col("all") <= fdr * F.col("reach")).groupBy("class").agg(F.min("bin").alias("cut"))
+
+
+def parts(match: Column, base: Column) -> Column:
+    """What the base spans leave of a match: array of (start, end, found), each of ``SHORTEST`` characters or more."""
+    over = lambda m: F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    def left(x: Column) -> Column:
+        begins = F.array_distinct(F.concat(F.array(x["m"]["start"]), F.transform(x["over"], lambda b: b["end"])))
+        begins = F.filter(begins, lambda s: ~F.exists(x["over"], lambda b: (b["start"] <= s) & (s < b["end"])))
+        pieces = F.transform(begins, lambda s: F.struct(s.alias("start"), F.least(x["m"]["end"], F.coalesce(F.array_min(F.transform(
+            F.filter(x["over"], lambda b: b["start"] >= s), lambda b: b["start"])), x["m"]["end"])).alias("end")))
+        return F.transform(F.filter(pieces, lambda q: q["end"] - q["start"] >= SHORTEST), lambda q: F.struct(
+            q["start"].alias("start"), q["end"].alias("end"), F.substring(
+                x["m"]["found"], (q["start"] - x["m"]["start"] + 1).cast("int"), (q["end"] - q["start"]).cast("int")).alias("found")))
+    return _let(F.struct(match.alias("m"), over(match).alias("over")), left)
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -149,11 +210,12 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start and then
     by kind; ``base_sha256`` digests the spans of the three fixed patterns.
-    Random strings that a fixed span overlaps are not reported again. A null
+    Of a random string that a fixed span overlaps, the rest is tested. A null
     text is empty and has no spans; repeated rows and null ids are scanned as
     they are; an empty table gives no rows; other columns are not read.
     """
     text = text_or_empty()
+    known = moments(character_counts(docs))
     value = lambda m: F.length(F.regexp_extract(m["found"], ASSIGN_VALUE, 1)) >= 6
     rows = docs.select("doc_id", F.filter(matches(text, ASSIGN), value).alias("assign"), matches(text, ACCESS).alias("access"),
                        matches(text, HEX).alias("hex"), matches(text, CANDIDATE).alias("other"))
@@ -161,15 +223,15 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     base = F.array_sort(F.concat(tag("assign", 0), tag("access", 1), tag("hex", 2)))
     rows = rows.select("doc_id", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), "other")
     # Quadratic in the spans of one text, which are few but for texts made of secrets.
-    free = F.filter("other", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    rows = rows.withColumn("other", F.transform(free, lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), F.regexp_like(m["found"], F.lit(LETTERS)).alias("decoy"),
-        facts(m["found"]).alias("facts"))))
+    rows = rows.withColumn("other", F.flatten(F.transform("other", lambda m: parts(m, F.col("base")))))
+    rows = rows.withColumn("other", F.transform("other", lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), facts(m["found"]).alias("facts"))))
     rows = stored(rows.withColumn("other", F.transform("other", lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), m["decoy"].alias("decoy"), length_class(m["facts"]["n"]).alias("class"),
-        F.least(F.lit(BINS - 1), F.floor(battery(m["facts"]) * BINS)).cast("int").alias("bin")))), "secrets")
+        m["start"].alias("start"), m["end"].alias("end"), length_class(m["facts"]["n"]).alias("class"),
+        (battery(m["facts"]) >= FLOOR).alias("even"),
+        F.least(F.lit(LAST_LOG), F.floor(ordinary(m["facts"], known) * LOG_BINS)).cast("int").alias("bin")))), "secrets")
     limits = {r["class"]: r["cut"] for r in cuts(rows.select(F.explode("other").alias("o")).select("o.*"), fdr).collect()}
-    passed = lambda m: ~m["decoy"] & (m["bin"] >= _cut(m["class"], limits))
+    passed = lambda m: m["even"] & (m["bin"] >= _cut(m["class"], limits))
     more = F.transform(F.filter("other", passed), lambda m: F.struct(m["start"], F.lit(3).alias("kind"), m["end"]))
     rows = rows.withColumn("more", more)
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS[:3]), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
@@ -177,7 +239,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
 
 def _cut(kind: Column, limits: dict[int, int]) -> Column:
-    out = F.lit(BINS)
+    out = F.lit(LAST_LOG + 1)
     for k, cut in limits.items():
         out = F.when(kind == k, cut).otherwise(out)
     return out

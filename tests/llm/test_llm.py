@@ -337,6 +337,48 @@ def test_secrets(spark):
     assert len(got) == len(rows) and found >= 60
 
 
+LETTERS62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def random_spans(spark, rows):
+    return {r.doc_id: [s for s in r.spans.split(",") if s.startswith("random")] for r in secrets.scan(table(spark, rows)).collect()}
+
+
+def test_strings_without_randomness_are_not_secrets(spark):
+    """No decoys are around, and there are many or few candidates of a length: still none is random."""
+    rng = random.Random(3)
+    names = ["alpha", "beta", "value", "index", "table", "count", "total", "user", "order", "price", "north", "south"]
+    rows = [(i, "so " + "z" * (40 + i) + "_" + "z" * 30) for i in range(40)]
+    rows += [(100 + i, "see " + "_".join(rng.choice(names) for _ in range(rng.randrange(5, 14))) + "/" + "/".join(rng.choice(names) for _ in range(3)))
+             for i in range(400)]
+    rows += [(600, "0123456789" * 4), (601, "abcdefghijklmnopqrstuvwxyz" * 2), (602, "-" * 60), (603, "20240101-20241231-20250101-20251231")]
+    assert not any(random_spans(spark, rows).values())
+
+
+def test_few_random_strings_are_found(spark):
+    rng = random.Random(6)
+    token = lambda n, letters=LETTERS62: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, "the key is " + token(40) + " as before") for i in range(15)] + [(20 + i, "ordinary words, nothing else to see here") for i in range(30)]
+    found = random_spans(spark, rows)
+    assert sum(found[i] == ["random:11:51"] for i in range(15)) >= 14 and not any(found[i] for i in range(20, 50))
+    long = random_spans(spark, [(1, "x " + token(200, LETTERS62 + "+/-_")), (2, "a plain text"), (3, None)])
+    assert long == {1: ["random:2:202"], 2: [], 3: []}
+
+
+def test_the_rest_of_a_touched_string_is_tested(spark):
+    """A base span covers the end of a random string; what is left of it is found."""
+    rng = random.Random(12)
+    token = lambda: "".join(rng.choice(LETTERS62) for _ in range(60))
+    rows = [(i, "at " + token() + "/secret=abcdefgh " + "deadbeef" * 4 + "/" + token()) for i in range(12)]
+    for doc_id, spans in random_spans(spark, rows).items():
+        text = dict(rows)[doc_id]
+        at = text.index("/secret")
+        end = text.index("deadbeef") + 32
+        assert set(spans) <= {f"random:3:{at + 1}", f"random:{end}:{len(text)}"}
+        assert all(int(s.split(":")[2]) - int(s.split(":")[1]) >= 20 for s in spans)
+    assert sum(map(len, random_spans(spark, rows).values())) >= 20
+
+
 def test_secrets_in_long_texts(spark):
     text = "ab12" * 9 + " "
     got = secrets.scan(table(spark, [(1, text * 3000)])).first()
