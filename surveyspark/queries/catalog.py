@@ -155,6 +155,22 @@ def stale_variables(spark, sf):
     return catalog.stale_variables(index, cached, "m1").select("var_code", "text_md5", "model")
 
 
+def vector_upsert(spark, sf):
+    """The vector cache of two models after a first write, a change of every third vector and new codes."""
+    path = scratch_path(spark, "vectors")
+    emb, i = V.table(spark, sf, "embeddings"), F.col("vec_id")
+    named = lambda letter, state: (F.concat(F.lit(letter), i).alias("var_code"), F.md5(F.concat(F.lit(state), i)).alias("text_md5"))
+    turned = F.transform("embedding", lambda x: -x).alias("vector")
+    for model in ("m0", "m1"):
+        tables.upsert_vectors(spark, emb.select(*named("V", "old"), F.col("embedding").alias("vector")), path, model)
+    fresh = emb.where(i % 3 == 0).select(*named("V", "new"), turned).unionByName(emb.where(i % 7 == 0).select(*named("W", "new"), turned))
+    tables.upsert_vectors(spark, fresh, path, "m1", live=emb.where(i % 10 != 9).select(F.explode(F.array(*(
+        F.concat(F.lit(x), i) for x in "VW"))).alias("var_code")))
+    both = tables.read_vectors(spark, path, "m0").unionByName(tables.read_vectors(spark, path, "m1"))
+    return both.select("var_code", "model", "text_md5", F.size("vector").cast("bigint").alias("n"),
+                       F.get("vector", F.lit(0)).cast("double").alias("first"))
+
+
 def pending_cells(spark, sf):
     e = V.table(spark, sf, "events").select(
         F.col("event_type").alias("target"), F.concat(F.lit("C"), "user_id").alias("country"), "value")
@@ -197,7 +213,7 @@ QUERIES = {
     "mapping_json": mapping_json, "evaluation_json": evaluation_json, "nested_results": nested_results,
     "grid_summary_scan": grid_summary_scan, "grid_summary_sink": grid_summary_sink,
     "summary_roundtrip": summary_roundtrip, "importance_resume": importance_resume,
-    "batch_results": batch_results, "stale_variables": stale_variables, "pending_cells": pending_cells,
+    "batch_results": batch_results, "stale_variables": stale_variables, "vector_upsert": vector_upsert, "pending_cells": pending_cells,
     "country_map_codes": country_map_codes, "country_map_names": country_map_names,
     "list_countries": list_countries, "unknown_countries": unknown_countries,
 }
@@ -255,6 +271,13 @@ SQL = {
         SELECT t.var_code, md5(t.question_text) AS text_md5, 'm1' AS model FROM variable_texts t
         WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE 'V' || d.doc_id = t.var_code AND d.lang <> 'de'
           AND md5(regexp_replace(d.text, '^\s+|\s+$', '', 'g')) = md5(t.question_text))""", "variable_texts", extra=INDEX),
+    "vector_upsert": """
+        WITH old AS (SELECT 'V' || vec_id AS var_code, 'm0' AS model, md5('old' || vec_id) AS text_md5, embedding AS v, vec_id FROM embeddings
+                     UNION ALL SELECT 'V' || vec_id, 'm1', md5('old' || vec_id), embedding, vec_id FROM embeddings WHERE vec_id % 3 <> 0),
+         new AS (SELECT 'V' || vec_id AS var_code, 'm1' AS model, md5('new' || vec_id) AS text_md5, [-x FOR x IN embedding] AS v, vec_id FROM embeddings WHERE vec_id % 3 = 0
+                 UNION ALL SELECT 'W' || vec_id, 'm1', md5('new' || vec_id), [-x FOR x IN embedding], vec_id FROM embeddings WHERE vec_id % 7 = 0)
+        SELECT var_code, model, text_md5, len(v) AS n, CAST(v[1] AS DOUBLE) AS first FROM (SELECT * FROM old UNION ALL SELECT * FROM new)
+        WHERE model = 'm0' OR vec_id % 10 <> 9""",
     "pending_cells": """SELECT DISTINCT event_type AS target, 'C' || user_id AS country FROM events e
         WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = e.event_type AND d.user_id = e.user_id AND d.value > 150)""",
     "country_map_codes": _CODES,

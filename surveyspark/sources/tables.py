@@ -115,22 +115,58 @@ def with_cell(summary: DataFrame) -> DataFrame:
 VECTOR_SCHEMA = "var_code string, text_md5 string, vector array<float>, model string"
 
 
-def write_vectors(df: DataFrame, path: str) -> None:
-    """Vector cache keyed by code, text hash and model; models not in ``df`` keep their vectors."""
-    (df.select(*_names(VECTOR_SCHEMA)).repartition("model").write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path))
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, on whatever store it lies; none if it doesn't exist."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(at) if s.isDirectory()] if store.exists(at) else []
 
 
-def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """The vector cache, or the part of one model (partition pruned)."""
-    df = spark.read.schema(VECTOR_SCHEMA).parquet(path)
-    return df if model is None else df.where(F.col("model") == model)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a cache, rising; a write that was cut off has left no mark and doesn't count."""
+    names = [n for n in _folders(spark, path) if n.startswith("version=")]
+    jvm = spark.sparkContext._jvm
+    done = lambda n: jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return sorted(int(n.removeprefix("version=")) for n in names if done(n).getFileSystem(conf).exists(done(n)))
+
+
+def _model_path(path: str, model: str) -> str:
+    return f"{path}/model={model.encode().hex()}"
+
+
+def read_vectors(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """The vectors of one model: var_code, text_md5, vector, model, as of its last finished version; none if there is none."""
+    folder = _model_path(path, model)
+    schema = T.StructType.fromDDL(VECTOR_SCHEMA)
+    versions = _versions(spark, folder)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/version={versions[-1]}")
 
 
 def merge_vectors(cached: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The cache after an update: fresh vectors replace those of the same code and model."""
-    kept = cached.join(fresh.select("var_code", "model").distinct(), ["var_code", "model"], "left_anti")
-    return kept.select(*_names(VECTOR_SCHEMA)).unionByName(fresh.select(*_names(VECTOR_SCHEMA)))
+    """The cache after an update: fresh vectors replace those of the same code and model; of repeated fresh ones the last by text hash stays."""
+    last = fresh.groupBy("var_code", "model").agg(F.max_by(F.struct("text_md5", "vector"), "text_md5").alias("_new"))
+    last = last.select("var_code", "_new.text_md5", "_new.vector", "model")
+    kept = cached.join(last.select("var_code", "model"), ["var_code", "model"], "left_anti")
+    return kept.select(*_names(VECTOR_SCHEMA)).unionByName(last.select(*_names(VECTOR_SCHEMA)))
+
+
+def upsert_vectors(spark: SparkSession, fresh: DataFrame, path: str, model: str, live: DataFrame | None = None) -> DataFrame:
+    """Puts fresh vectors (var_code, text_md5, vector) of one model into the cache and returns its new state.
+
+    The merged part of the model is written beside the old one and counts once it is finished, so readers see either state whole,
+    a job that fails changes nothing, and other models are not touched. With ``live`` (var_code), vectors of other codes go.
+    """
+    merged = merge_vectors(read_vectors(spark, path, model), fresh.withColumn("model", F.lit(model)))
+    if live is not None:
+        merged = merged.join(live.select("var_code").distinct(), "var_code", "left_semi")
+    folder = _model_path(path, model)
+    names = [int(n.removeprefix("version=")) for n in _folders(spark, folder) if n.startswith("version=")]
+    merged.select(*_names(VECTOR_SCHEMA)).write.parquet(f"{folder}/version={max(names, default=0) + 1}")
+    return read_vectors(spark, path, model)
 
 
 def stamp(df: DataFrame) -> DataFrame:

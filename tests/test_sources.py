@@ -93,3 +93,23 @@ def test_foreign_importances_csv(spark, tmp_path):
     path = tmp_path / "foreign.csv"
     path.write_text("target_variable,country,feature_variable,importance_mean,importance_std,majority_baseline\nq,A,f,0.25,0.0,0.5\n")
     assert tables.read_importances_csv(spark, str(path)).first()["importance_mean"] == 0.25
+
+
+def test_vector_cache_swaps_whole_versions(spark, tmp_path):
+    from surveyspark.sources import tables as tb
+    path, schema = str(tmp_path / "vectors"), "var_code string, text_md5 string, vector array<float>"
+    put = lambda rows, model, **more: tb.upsert_vectors(spark, spark.createDataFrame(rows, schema), path, model, **more)
+    state = lambda model: {r.var_code: (r.text_md5, r.vector) for r in tb.read_vectors(spark, path, model).collect()}
+    assert state("a/b") == {}
+    put([("x", "1", [1.0]), ("y", "1", [2.0])], "a/b")
+    put([("x", "9", [9.0])], "other")
+    before = tb.read_vectors(spark, path, "a/b")
+    put([("y", "2", [3.0]), ("y", "3", [4.0]), ("z", "1", [5.0])], "a/b")
+    assert state("a/b") == {"x": ("1", [1.0]), "y": ("3", [4.0]), "z": ("1", [5.0])} and state("other") == {"x": ("9", [9.0])}
+    assert {r.var_code for r in before.collect()} == {"x", "y"}  # who reads the old state sees it whole
+    # a write that was cut off leaves a folder without mark
+    cut = tmp_path / "vectors" / f"model={b'a/b'.hex()}" / "version=3"
+    cut.mkdir()
+    assert set(state("a/b")) == {"x", "y", "z"}
+    put([], "a/b", live=spark.createDataFrame([("y",)], "var_code string"))
+    assert set(state("a/b")) == {"y"}
