@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from surveyspark.llm.texts import stored
 
 # Links, and documents, after which a chunk is closed; words a worker remembers; characters of texts, and words, taken at a time.
-CHUNK_LINKS, CHUNK_DOCS, MEMORY, BATCH_CHARS, BLOCK_WORDS = 1 << 21, 4096, 500_000, 1 << 18, 2000
+CHUNK_LINKS, CHUNK_DOCS, MEMORY, BATCH_CHARS, BLOCK_WORDS = 1 << 21, 4096, 900_000, 1 << 18, 2000
 # Pairs are one number: first id times this, plus the second id.
 WIDE = 1 << 24
 # A space where both tokenizers cut: no white space, nor what one of them may take for it, on either side.
