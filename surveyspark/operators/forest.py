@@ -1,91 +1,168 @@
-"""Tree-ensemble cross-check with Spark ML.
+"""Bagged decision trees for all cells, folds and bags at once, grown level by level from histograms.
 
-One fit per fold and cell is a full distributed job, so all cells take long; the
-grid runs on ``operators.bayes``.
+The second learner: unlike ``operators.bayes`` it sees interactions. Answers become bins in answer order. Each level
+is one aggregation over all rows: class counts per (cell, fold, tree, node, feature, bin), combined before the shuffle. The
+best split of every node follows from them, and a row finds its node again by walking the splits so far, so rows are
+written once and never move. What is sent to rows per cell is one entry per split, bounded by folds x trees x nodes.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.functions.numbers import to_number
-from surveyspark.operators.encoding import label_codes
-from surveyspark.operators.profiles import MISSING, Profiles
+from surveyspark.functions.numbers import seeded_key, to_number
+from surveyspark.operators.profiles import CELL, MISSING, Profiles
+from surveyspark.operators.ranking import ordered_row_number
 from surveyspark.operators.resampling import SEED
-from surveyspark.session import materialize
+from surveyspark.session import Materialized, materialize
 
-# Ensemble settings shared by every fit.
-TREES, DEPTH, MIN_ROWS, ROW_SHARE, FEATURE_SHARE = 300, 6, 5, 0.8, "0.8"
-# Cells whose jobs run side by side.
-AT_ONCE = 8
+# Trees per fold, levels of splits, rows a child needs, and bins per feature.
+TREES, DEPTH, MIN_ROWS, BINS = 10, 4, 5, 32
+# Rows of a bag, and features tried at a node: those whose seeded key begins below this (205 of 256, 80 %).
+SHARE = "cd"
+NONE = -1  # bin of a missing answer
+LEAST_GAIN = 1e-9
 
 
-def cell_matrix(p: Profiles, target: str, country: str, features: list[str]) -> DataFrame:
-    """One row per respondent of the cell with a feature vector.
+def feature_bins(p: Profiles) -> Materialized:
+    """Bin of every answer: cell, feature, val, bin.
 
-    Number codes are used as they are, text answers by their place in text
-    order, and a missing answer as -1.
+    Answers are put in number order where all of a feature's answers in the cell are numbers, else in text order; each has a
+    bin of its own up to ``BINS``, beyond that bins hold equally many different answers.
     """
-    cell = p.df.where((F.col("target") == target) & (F.col("country") == country) & F.col("y").isNotNull())
-    flat = cell.select(p.id_col, "fold", F.col("y").cast("double").alias("label"), *[
-        F.get("x", F.lit(p.features.index(f))).alias(f) for f in features])
-    long = flat.unpivot([p.id_col], features, "var_code", "val").where(F.col("val") != MISSING)
-    codes = label_codes(long, []).select("var_code", "val", "code")
-    numeric = long.groupBy("var_code").agg(F.bool_and(to_number(F.col("val")).isNotNull()).alias("numeric"))
-    values = (long.join(codes, ["var_code", "val"]).join(numeric, "var_code")
-              .withColumn("num", F.when(F.col("numeric"), to_number(F.col("val"))).otherwise(F.col("code").cast("double"))))
-    wide = values.groupBy(p.id_col).pivot("var_code", features).agg(F.first("num"))
-    rows = flat.select(p.id_col, "fold", "label").join(wide, p.id_col, "left").fillna(-1.0, features)
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    rows = p.answers(p.df.where(F.col("y").isNotNull()).select(*CELL, "x")).where(F.col("val") != MISSING)
+    feature = [*CELL, "feature"]
+    values = rows.groupBy(*feature, "val").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    kinds = values.groupBy(*feature).agg(F.bool_and(to_number(F.col("val")).isNotNull()).alias("_number"), F.count(F.lit(1)).alias("_all"))
+    values = values.join(kinds, feature).withColumn("_order", F.struct(F.when(F.col("_number"), to_number(F.col("val"))).alias("num"), "val"))
+    numbered = ordered_row_number(materialize(values), feature, "_order")
+    at = F.col("rn") - 1
+    return materialize(numbered.select(*feature, "val", F.when(F.col("_all") <= BINS, at).otherwise(
+        F.floor(at * BINS / F.col("_all"))).cast("int").alias("bin")))
 
 
-def forest_accuracy(p: Profiles, target: str, country: str, features: list[str],
-                    trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
-    """Held-out accuracy per fold: ``(target, country, fold, n_test, n_right, accuracy)``."""
-    return _table(p, _cell_folds(p, target, country, features, trees, depth, seed))
+def binned_rows(p: Profiles) -> DataFrame:
+    """Scored rows: cell, respondent, fold, y, bins (one per feature in their order; NULL at the target's place)."""
+    rows = p.answers(p.by_respondent().select(*CELL, p.id_col, "fold", "y", "x"))
+    rows = feature_bins(p).join_into(rows, [*CELL, "feature", "val"], "left", spread=p.id_col)
+    pairs = F.collect_list(F.struct("i", F.coalesce("bin", F.lit(NONE))))
+    rows = rows.groupBy(*CELL, p.id_col, "fold", "y").agg(F.map_from_entries(pairs).alias("_bins"))
+    return materialize(rows.withColumn("bins", F.transform(F.sequence(F.lit(0), F.lit(len(p.features) - 1)), lambda i: F.try_element_at(
+        "_bins", i))).drop("_bins")).df
 
 
-def forest_grid(p: Profiles, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
-    """``forest_accuracy`` of every cell, with all features but the target.
+def _slot(fold: Column, tree: Column, node: Column, trees: int, depth: int) -> Column:
+    """Place of a node in the array of a cell's splits."""
+    return ((fold * trees + tree) * (1 << depth) + node).cast("int")
+
 
-    The driver submits the jobs of ``AT_ONCE`` cells side by side and keeps the counts only, no fitted trees.
+def placed(rows: DataFrame, p: Profiles, splits: Materialized | None, trees: int, depth: int, level: int, seed: int) -> DataFrame:
+    """One row per respondent, fold model and tree it is in: cell, respondent, fold, y, bins, f, t, node, open.
+
+    A respondent is in the bags of other folds' models, where it trains, and in all trees of its own fold's, where it is tested. ``open``
+    tells whether the node was reached by a split on every level so far.
+    """
+    if splits is None:
+        rows = rows.withColumn("splits", F.lit(None).cast("array<struct<i:int,bin:int>>"))
+    else:
+        rows = splits.join_into(rows, CELL, "left", spread=p.id_col)
+
+    def descend(f: Column, t: Column) -> Column:
+        def step(at: Column, _) -> Column:
+            split = F.when(at["open"], F.get("splits", _slot(f, t, at["node"], trees, depth)))
+            return _let(split, lambda s: F.struct(F.when(s.isNull(), at["node"]).otherwise(
+                at["node"] * 2 + F.when(F.get("bins", s["i"]) > s["bin"], 1).otherwise(0)).alias("node"), s.isNotNull().alias("open")))
+        start = F.struct(F.lit(1).alias("node"), F.lit(True).alias("open"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(level)), start, step) if level else start
+    bagged = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(seeded_key(seed, F.lit("b"), t, F.col(p.id_col)), 1, 2) < SHARE)
+    rows = rows.withColumn("_bags", bagged)
+    models = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p.n_folds - 1)), lambda f: F.transform(
+        F.when(f == F.col("fold"), F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(F.col("_bags")),
+        lambda t: F.struct(f.alias("f"), t.alias("t"), descend(f, t).alias("at")))))
+    return rows.select(*CELL, p.id_col, "fold", "y", "bins", F.explode(models).alias("m")).select(
+        *CELL, p.id_col, "fold", "y", "bins", "m.f", "m.t", "m.at.node", "m.at.open")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _best_split(bins: Column) -> Column:
+    """Best split of an array of (bin, counts per class), sorted: struct of gain and bin (the last one on the left), or NULL.
+
+    The gain is that of the Gini index times the rows: sum of squares over rows on both sides, less that of the node. One pass over
+    the bins moves their counts from the right to the left side.
     """
-    cells = p.df.where(F.col("y").isNotNull()).select("target", "country").distinct().collect()
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        found = pool.map(lambda c: _cell_folds(p, c.target, c.country, [f for f in p.features if f != c.target],
-                                               trees, depth, seed), cells)
-        return _table(p, [row for rows in found for row in rows])
+    none = F.lit(0).cast("bigint")
+    add = lambda xs, ys: F.zip_with(xs, ys, lambda x, y: x + y)
+    zeros = lambda xs: F.transform(xs, lambda x: none)
+
+    def sides(left: Column, total: Column) -> Column:
+        start = F.struct(*(none.alias(c) for c in ("nl", "sl", "nr", "sr")))
+        both = F.zip_with(left, total, lambda l, t: F.struct(l.alias("l"), (t - l).alias("r")))
+        return F.aggregate(both, start, lambda s, x: F.struct((s["nl"] + x["l"]).alias("nl"), (s["sl"] + x["l"] * x["l"]).alias("sl"),
+                                                              (s["nr"] + x["r"]).alias("nr"), (s["sr"] + x["r"] * x["r"]).alias("sr")))
+
+    def search(total: Column, whole: Column) -> Column:
+        def step(seen: Column, b: Column) -> Column:
+            def judged(left: Column) -> Column:
+                def better(s: Column) -> Column:
+                    gain = F.when((s["nl"] >= MIN_ROWS) & (s["nr"] >= MIN_ROWS), s["sl"].cast("double") / s["nl"] + s["sr"].cast("double") / s["nr"] - whole)
+                    return _let(gain, lambda g: F.struct(left.alias("left"), F.when(g > seen["gain"], g).otherwise(seen["gain"]).alias("gain"),
+                                                         F.when(g > seen["gain"], b["bin"]).otherwise(seen["bin"]).alias("bin")))
+                return _let(sides(left, total), better)
+            return _let(add(seen["left"], b["counts"]), judged)
+        start = F.struct(zeros(total).alias("left"), F.lit(LEAST_GAIN).alias("gain"), F.lit(None).cast("int").alias("bin"))
+        return F.aggregate(bins, start, step, lambda seen: F.when(seen["bin"].isNotNull(), F.struct(seen["gain"].alias("gain"), seen["bin"].alias("bin"))))
+    first = zeros(F.get(bins, F.lit(0))["counts"])
+    return _let(F.aggregate(bins, first, lambda s, b: add(s, b["counts"])), lambda total: _let(sides(total, total), lambda s: search(
+        total, s["sl"].cast("double") / s["nl"])))
+
+
+def grow(rows: DataFrame, p: Profiles, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Materialized | None:
+    """Splits of all trees: one row per cell with ``splits``, feature place and bin (or NULL) of every (fold, tree, node)."""
+    found: DataFrame | None = None
+    book: Materialized | None = None
+    node = [*CELL, "f", "t", "node"]
+    classes = F.sequence(F.lit(0), F.lit(p.n_classes - 1))
+    for level in range(depth):
+        at = placed(rows, p, book, trees, depth, level, seed).where("open AND f <> fold")
+        counts = at.select(*node, "y", F.posexplode("bins").alias("i", "bin")).where("bin IS NOT NULL").groupBy(*node, "i", "bin", "y").agg(F.count(F.lit(1)).alias("n"))
+        # at most one entry per class, then per bin
+        dense = counts.groupBy(*node, "i", "bin").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("int"), "n"))).alias("_n")).select(
+            *node, "i", F.struct("bin", F.transform(classes, lambda c: F.coalesce(F.try_element_at("_n", c), F.lit(0))).alias("counts")).alias("b"))
+        tried = dense.where(F.substring(seeded_key(seed, F.lit("f"), F.col("t"), F.col("node"), p.feature_name("i")), 1, 2) < SHARE)
+        # few bytes, much work: a fixed number of tasks, as small shuffles would be merged into one
+        tried = tried.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *node)
+        splits = tried.groupBy(*node, "i").agg(_best_split(F.array_sort(F.collect_list("b"))).alias("s")).where("s IS NOT NULL")
+        first = Window.partitionBy(*node).orderBy(F.desc("s.gain"), "i")  # features of one node
+        splits = splits.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*node, F.struct("i", "s.bin").alias("s"))
+        found = materialize(splits if found is None else found.unionByName(splits)).df
+        by_slot = found.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct(
+            _slot(F.col("f"), F.col("t"), F.col("node"), trees, depth), "s"))).alias("_splits"))
+        slots = F.sequence(F.lit(0), F.lit((p.n_folds * trees << depth) - 1))
+        book = materialize(by_slot.select(*CELL, F.transform(slots, lambda k: F.try_element_at("_splits", k)).alias("splits")))
+    return book
 
 
-def _cell_folds(p: Profiles, target: str, country: str, features: list[str], trees: int, depth: int, seed: int) -> list:
-    """(target, country, fold, n_test, n_right) of each fold; n_right is None if no other fold has rows.
+def forest_grid(p: Profiles, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
+    """Held-out accuracy of bagged trees per cell and fold: target, country, fold, n_test, n_right, accuracy.
 
-    Trees need two classes; where the training rows have one, it is the prediction.
+    All features but the target take part. A leaf votes for its most frequent class, a forest for the class with most votes; the later class
+    wins a tie. A node stays a leaf without a split that helps and leaves ``MIN_ROWS`` training rows on both sides. Where no other fold has rows
+    nothing is right.
     """
-    rows = materialize(cell_matrix(p, target, country, features)).df
-    counts = rows.groupBy("fold", "label").count().collect()
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_ROWS, subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=FEATURE_SHARE, seed=seed)
-    out = []
-    for f in sorted({c["fold"] for c in counts}):
-        test, known = [c for c in counts if c["fold"] == f], {c["label"] for c in counts if c["fold"] != f}
-        if len(known) > 1:
-            # A copy leaves the training summary behind, which holds the session and can't be sent to tasks.
-            scored = forest.fit(rows.where(F.col("fold") != f)).copy().transform(rows.where(F.col("fold") == f))
-            right = scored.where(F.col("prediction") == F.col("label")).count()
-        else:
-            right = sum(c["count"] for c in test if c["label"] in known) if known else None
-        out.append((target, country, f, sum(c["count"] for c in test), right))
-    return out
-
-
-def _table(p: Profiles, rows: list) -> DataFrame:
-    fold = p.df.schema["fold"].dataType.simpleString()
-    out = p.df.sparkSession.createDataFrame(rows, f"target string, country string, fold {fold}, n_test bigint, n_right bigint")
+    rows = binned_rows(p)
+    at = placed(rows, p, grow(rows, p, trees, depth, seed), trees, depth, depth, seed)
+    node = [*CELL, "f", "t", "node"]
+    sizes = at.where("f <> fold").groupBy(*node, "y").agg(F.count(F.lit(1)).alias("n"))
+    leaves = materialize(sizes.groupBy(*node).agg(F.max(F.struct("n", "y"))["y"].alias("vote")))
+    tested = at.where("f = fold").select(*node, p.id_col, "fold", "y")
+    votes = leaves.join_into(tested, node, "left", spread=p.id_col)
+    who = [*CELL, "fold", p.id_col, "y"]
+    counted = votes.groupBy(*who, "vote").agg(F.count("vote").alias("n"))
+    said = counted.groupBy(*who).agg(F.max(F.struct("n", "vote"))["vote"].alias("pred"))
+    out = said.groupBy(*CELL, "fold").agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("pred") == F.col("y")).alias("n_right"))
     return out.withColumn("accuracy", F.col("n_right") / F.col("n_test"))

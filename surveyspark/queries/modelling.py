@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4, r6
-from surveyspark.operators import bayes, evaluation, importance
+from surveyspark.operators import bayes, evaluation, forest, importance
 from surveyspark.operators.cleaning import clean_survey
 from surveyspark.operators.encoding import class_distribution
-from surveyspark.operators.forest import forest_grid
 from surveyspark.operators.mapping import selected_features
 from surveyspark.operators.profiles import CELL, build_profiles
 from surveyspark.operators.resampling import assign_folds, permuted_donors, random_draws
 from surveyspark.queries import views as V
-from surveyspark.queries.model_views import model_book
+from surveyspark.queries.model_views import model_book, num
 from surveyspark.queries.views import s4, s6, with_views
 
 BOOK = model_book()
@@ -148,8 +147,8 @@ def class_distribution_query(spark, sf):
 
 
 def forest_cv(spark, sf):
-    """Cross-check of every cell with tree ensembles, all features."""
-    return forest_grid(profiles(spark, sf))
+    """Cross-check of every cell with bagged trees: all features, the operator's own settings."""
+    return forest.forest_grid(profiles(spark, sf))
 
 
 QUERIES = {
@@ -255,11 +254,60 @@ _COMPARE = {
     "rand": (["part"], f"""SELECT target, country, condition, {s4('avg(accuracy_mean)')} AS random_acc,
         {s4('stddev_pop(accuracy_mean)')} AS random_std FROM part WHERE kind = 'random' GROUP BY 1, 2, 3"""),
 }
+def _tree_views() -> dict:
+    """Bagged trees level by level; see ``operators.forest``."""
+    cell = "target, country"
+    same = lambda a, b, *names: " AND ".join(f"{a}.{n} = {b}.{n}" for n in ("target", "country", *names))
+    out = {
+        "bins": (["prof"], f"""
+            SELECT {cell}, feature, val, CAST(CASE WHEN n <= {forest.BINS} THEN rn - 1 ELSE (rn - 1) * {forest.BINS} // n END AS INTEGER) AS bin FROM (
+              SELECT *, row_number() OVER (PARTITION BY {cell}, feature ORDER BY CASE WHEN number THEN num END, val) AS rn FROM (
+                SELECT *, bool_and(num IS NOT NULL) OVER w AS number, count(*) OVER w AS n FROM (
+                  SELECT DISTINCT {cell}, feature, val, {num('val')} AS num FROM prof WHERE val <> '∅') WINDOW w AS (PARTITION BY {cell}, feature)))"""),
+        "binned": (["prof", "bins"], f"""
+            SELECT p.target, p.country, p.respondent_id, p.feature, coalesce(b.bin, -1) AS bin
+            FROM prof p LEFT JOIN bins b ON {same('p', 'b', 'feature', 'val')}"""),
+        "at0": (["folds"], f"""
+            SELECT {cell}, respondent_id, fold, y, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, 1 AS node, true AS open
+            FROM folds CROSS JOIN range(5) a(f) CROSS JOIN range({forest.TREES}) b(t)
+            WHERE f = fold OR left(md5('42|b|' || t || '|' || respondent_id), 2) < '{forest.SHARE}'"""),
+    }
+    for d in range(forest.DEPTH):
+        out[f"hist{d}"] = ([f"at{d}", "binned"], f"""
+            SELECT a.target, a.country, f, t, node, feature, bin, y, count(*) AS n FROM at{d} a JOIN binned b ON {same('a', 'b', 'respondent_id')}
+            WHERE open AND f <> fold AND left(md5('42|f|' || t || '|' || node || '|' || feature), 2) < '{forest.SHARE}' GROUP BY ALL""")
+        key = f"{cell}, f, t, node, feature"
+        out[f"side{d}"] = ([f"hist{d}"], f"""
+            SELECT {key}, cut, y, coalesce(sum(n) FILTER (bin <= cut), 0)::BIGINT AS l, sum(n)::BIGINT AS a
+            FROM hist{d} JOIN (SELECT DISTINCT {key}, bin AS cut FROM hist{d}) USING ({key}) GROUP BY {key}, cut, y""")
+        out[f"split{d}"] = ([f"side{d}"], f"""
+            SELECT {cell}, f, t, node, feature, cut FROM (
+              SELECT *, row_number() OVER (PARTITION BY {cell}, f, t, node ORDER BY gain DESC, feature, cut) AS rn FROM (
+                SELECT {key}, cut, sum(l * l)::DOUBLE / sum(l) + sum((a - l) * (a - l))::DOUBLE / sum(a - l) - sum(a * a)::DOUBLE / sum(a) AS gain
+                FROM side{d} GROUP BY {key}, cut HAVING sum(l) >= {forest.MIN_ROWS} AND sum(a - l) >= {forest.MIN_ROWS})
+              WHERE gain > {forest.LEAST_GAIN}) WHERE rn = 1""")
+        out[f"at{d + 1}"] = ([f"at{d}", f"split{d}", "binned"], f"""
+            SELECT a.target, a.country, a.respondent_id, a.fold, a.y, a.f, a.t, s.cut IS NOT NULL AS open,
+                   CASE WHEN s.cut IS NULL THEN a.node ELSE a.node * 2 + CASE WHEN b.bin > s.cut THEN 1 ELSE 0 END END AS node
+            FROM at{d} a LEFT JOIN split{d} s ON a.open AND {same('a', 's', 'f', 't', 'node')}
+            LEFT JOIN binned b ON {same('a', 'b', 'respondent_id')} AND b.feature = s.feature""")
+    last = f"at{forest.DEPTH}"
+    out["voted"] = ([last], f"""
+        SELECT {cell}, fold, respondent_id, y, arg_max(vote, n * 1000 + vote) AS pred FROM (
+          SELECT x.target, x.country, x.fold, x.respondent_id, x.y, v.vote, count(*) AS n FROM {last} x
+          LEFT JOIN (SELECT {cell}, f, t, node, arg_max(y, n * 1000 + y) AS vote FROM (
+                       SELECT {cell}, f, t, node, y, count(*) AS n FROM {last} WHERE f <> fold GROUP BY ALL) GROUP BY ALL) v ON {same('x', 'v', 'f', 't', 'node')}
+          WHERE x.f = x.fold GROUP BY ALL) GROUP BY {cell}, fold, respondent_id, y""")
+    return out
+
+
 _M = {**BOOK, **_EXTRA}
 _IMP = "target_variable, country, feature_variable, {m} AS importance_mean, {s} AS importance_std, majority_baseline"
 _IMP = _IMP.format(m=s6("importance_mean"), s=s6("importance_std"))
 
 SQL = {
+    "forest_cv": with_views("""SELECT target, country, fold, count(*) AS n_test, count(*) FILTER (pred = y) AS n_right,
+        count(*) FILTER (pred = y)::DOUBLE / count(*) AS accuracy FROM voted GROUP BY 1, 2, 3""", "voted", extra={**_M, **_tree_views()}),
     "kfold": with_views("SELECT target, country, respondent_id, y, fold, pos FROM folds", "folds", extra=_M),
     "nb_model": with_views(f"SELECT target, country, fold, feature, val, y, {s6('ll')} AS ll FROM ll",
                            "ll", extra=_M),

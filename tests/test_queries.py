@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-ROWS_ONLY = {"full_report", "forest_cv"}
+ROWS_ONLY = {"full_report"}
 # each of these fits the model again; test_model.py checks the same steps
 SLOW = {"nb_model", "nb_predict", "fold_accuracy", "cv_summary", "top_features_described", "eval_guards",
         "eval_feature_sets", "permutation_importance"}
