@@ -116,3 +116,16 @@ def test_runs_and_knots():
 def test_packing():
     for numbers in ([], [0, 3], [255, 256], [70_000, 1]):
         assert alignment.unpacked(alignment.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+@needs_files
+def test_plain_words_by_rank():
+    """Ranks give the ids that the vocabulary file's own library gives."""
+    rng = random.Random(13)
+    coder = alignment.byte_coder(str(FOLDER / alignment.FIRST))
+    signs = [chr(c) for c in (*range(33, 127), *range(161, 592))]
+    words = ["".join(rng.choice(signs if rng.random() < 0.3 else "etaoin shrdlu".replace(" ", "")) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    words += ["don't", "<|endoftext|>", "x<|endoftext|>y", "we'll've", "1'st", "...", "ªº²³", "it's"]
+    assert all(map(alignment.PLAIN.fullmatch, words))
+    assert [coder.plain(w) for w in words] == coder.encode(words)
+    assert coder.plain(" ".join(words)) == coder.encode([" ".join(words)])[0]
