@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from surveyspark.llm.texts import stored
 
@@ -506,7 +507,7 @@ def repair(rows: DataFrame, key: str = "conv_id", size: int = CHUNK) -> DataFram
     order = [F.asc_nulls_first("id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("_head"), F.asc("_digest"), F.asc("_tie")]
     tied = rows.withColumns({"_head": F.left("text", F.lit(64)), "_digest": F.md5("text"), "_tie": F.monotonically_increasing_id()})
     ordered = tied.repartitionByRange(*order).sortWithinPartitions(*order)
-    arrow = _arrow_type(id_type)
+    arrow = to_arrow_type(id_type)
     cut = stored(ordered.select("id", "turn", "role", "text", "copies").mapInArrow(_cut(arrow, size), _struct(
         id_type, "id", "seq", *COUNTS, "audit", "sha", "turns", "roles", "texts")), "conversations")
     out = ["id", *COUNTS, "audit", "sha"]
@@ -531,11 +532,6 @@ def repair(rows: DataFrame, key: str = "conv_id", size: int = CHUNK) -> DataFram
     return cut.filter("seq IS NULL").select(*out).unionByName(folded).withColumnsRenamed({"id": key, "sha": "repaired_sha256"})
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(kind)
-
-
 def audit(conversations: DataFrame, size: int = CHUNK) -> DataFrame:
     """Every conversation of the table, damaged and repaired; those without rows after damage have zeros and an empty audit."""
     done = repair(damaged(conversations.select("conv_id", "turn", "role", "text")), size=size)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from surveyspark.llm.texts import Rolling, WordHash, text_or_empty
 
@@ -99,9 +100,10 @@ class Share:
         times = (hi - lo)[hit]
         at = np.repeat(lo[hit] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         places, item, other = np.repeat(hit, times), self.item[at], self.place[at]
+        by = np.argsort(item, kind="stable")
+        kinds, first = np.unique(item[by], return_index=True)
         out = []
-        for k in np.unique(item).tolist():
-            mine = item == k
+        for k, mine in zip(kinds.tolist(), np.split(by, first[1:])):
             found = tiles(places[mine], other[mine], self.tile)
             out.append((k, sum(n for _, _, n in found), found))
         return out
@@ -144,7 +146,7 @@ def tiled(docs: DataFrame, benchmark: DataFrame, tile: int = TILE) -> DataFrame:
         T.StructField("tiles", T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "item_start", "length")])))]))
     rows = docs.withColumn("__tiling_text", text_or_empty().cast("binary"))
     keep, found = docs.columns, None
-    id_type = pa.int64() if isinstance(items.schema["item_id"].dataType, T.LongType) else pa.string()
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
     for k in range(shares):
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(shares)) == k).collect()  # about SHARE_BYTES
         share = spark.sparkContext.broadcast(Share.of([(r["item_id"], bytes(r["text"])) for r in own], tile))

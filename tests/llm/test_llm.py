@@ -410,6 +410,13 @@ def test_tiling_in_several_shares(spark, monkeypatch):
     assert got == {**{k: (k, True) for k in range(6)}, 9: (None, False)}
 
 
+@pytest.mark.parametrize("kind, ids", [("int", (3, 4)), ("string", ("a", "b")), ("smallint", (3, 4))])
+def test_tiling_keeps_the_type_of_items(spark, kind, ids):
+    bench = table(spark, [(ids[0], "one two three four five six"), (ids[1], "q w e r t y u")], f"item_id {kind}, text string")
+    got = tiling.judge(table(spark, [(1, "so one two three four five six"), (2, "none of it")]), bench)
+    assert {r.doc_id: r.item_id for r in got.collect()} == {1: ids[0], 2: None} and dict(got.dtypes)["item_id"] == kind
+
+
 def test_greedy_tiles_do_not_overlap():
     rng = np.random.default_rng(3)
     for _ in range(40):
