@@ -51,6 +51,8 @@ DEMOGRAPHIC_TERMS = [
 ]
 UNPROMPTED, COUNTRY_PROVIDED = "unprompted", "country_provided"
 
+# A letter or digit of any script next to a letter makes it part of a word.
+APART = r"[^\p{L}\p{M}\p{N}_]"
 FEATURE_LIST = "array<struct<feature:string,reasoning:string>>"
 
 
@@ -130,7 +132,7 @@ def parse_choice(raw: Column, n_candidates: Column, legacy: bool = False) -> Col
     """Answer text to a 0-based candidate index, NULL for "none" or no match.
 
     Strict: the first letter of a candidate that stands alone; other letters, such
-    as "I" in a sentence with five candidates, are passed over. Legacy: the
+    as "I" in a sentence with five candidates, are passed over, and so is the "A" of "Ah\u00e9" or "\u00e9a". Legacy: the
     alphabetically first candidate letter that occurs anywhere, even inside a word.
     """
     text = F.upper(strip(raw))
@@ -138,7 +140,7 @@ def parse_choice(raw: Column, n_candidates: Column, legacy: bool = False) -> Col
         index = F.get(F.filter(F.sequence(F.lit(0), F.lit(25)), lambda i: (
             (i < n_candidates) & F.contains(text, F.char((i + 65).cast("bigint"))))), F.lit(0))
     else:
-        letters = F.regexp_extract_all(text, F.lit(r"(?:^|\W)([A-Z])(?=\W|$)"), F.lit(1))
+        letters = F.regexp_extract_all(text, F.lit(rf"(?:^|{APART})([A-Z])(?={APART}|$)"), F.lit(1))
         index = F.get(F.filter(F.transform(letters, lambda c: F.ascii(c) - 65), lambda i: i < n_candidates), F.lit(0))
     return F.when(~F.contains(text, F.lit("NONE")), index)
 

@@ -226,8 +226,9 @@ _SIMS = {
           FROM near LEFT JOIN documents ON 'V' || doc_id = var_code GROUP BY 1) n ON n.request_id = r.request_id"""),
 }
 _CHOICE = X.CHOICE_REQUEST
+_APART = X.APART.replace("{", "{{").replace("}", "}}")
 # separators are doubled because this engine has no lookahead
-_LETTER = (r"list_filter(regexp_extract_all(regexp_replace({t}, '\W', '  ', 'g'), '(?:^|\W)([A-Z])(?:\W|$)', 1), "
+_LETTER = ("list_filter(regexp_extract_all(regexp_replace({t}, '" + _APART + "', '  ', 'g'), '(?:^|" + _APART + ")([A-Z])(?:" + _APART + "|$)', 1), "
            "lambda c: ascii(c) - 65 < n_candidates)[1]")
 _UP = r"upper(regexp_replace(raw, '^\s+|\s+$', '', 'g'))"
 _TERMS = "[" + ", ".join(_q(t) for t in X.DEMOGRAPHIC_TERMS) + "]"

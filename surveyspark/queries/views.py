@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import half_up, r4, r6
+from surveyspark.functions.text import strip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,23 +108,44 @@ def request_vectors(spark, sf_dir) -> DataFrame:
     )
 
 
+# Letters that one kind of response writes as JSON escapes.
+ESCAPED = [("\u00e9", "\\u00e9"), ("\u00fc", "\\u00FC"), ("\u00e4", "\\u00e4")]
+
+
 # --- responses, mappings, importances, summary ------------------------------
 
 def responses(spark, sf_dir) -> DataFrame:
-    """Raw response texts from documents: whole text, one feature per sentence."""
+    """Raw response texts from documents: whole text as it is, one feature per sentence.
+
+    Twelve kinds: lists behind a fence, padded, with escaped letters, cut off, in single
+    quotes, followed by words, by a second list or by words after the fence, an empty
+    list, an object, and prose.
+    """
     doc = F.col("doc_id")
-    clean = F.regexp_replace("text", "[^A-Za-z. ]+", " ")
-    sentences = F.filter(F.transform(F.split(clean, r"\."), lambda s: F.trim(s)), lambda s: s != "")
-    items = F.transform(sentences, lambda s: F.concat(
-        F.lit('{"feature": "'), s, F.lit('", "reasoning": "'), "lang", F.lit('"}')))
-    body = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    kind = doc % 6
-    raw = (F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-           .when(kind == 1, F.concat(F.lit("  "), body, F.lit("\n")))
-           .when(kind == 2, clean)
-           .when(kind == 3, F.lit("[]"))
-           .when(kind == 4, F.concat(body, F.lit(" and more")))
-           .otherwise(F.concat(F.lit('{"feature": "'), "source", F.lit('", "reasoning": ""}'))))
+    text = F.col("text")
+    sentences = F.filter(F.transform(F.split(text, r"\."), strip), lambda s: s != "")
+    body = F.to_json(F.transform(sentences, lambda s: F.struct(
+        s.alias("feature"), F.coalesce("lang", F.lit("")).alias("reasoning"))))
+    escaped = body
+    for letter, code in ESCAPED:
+        escaped = F.replace(escaped, F.lit(letter), F.lit(code))
+    kinds = [
+        F.concat(F.lit("```json\n"), body, F.lit("\n```")),
+        F.concat(F.lit("  "), body, F.lit("\n")),
+        text,
+        F.lit("[]"),
+        F.concat(body, F.lit(" and more")),
+        F.to_json(F.struct(F.coalesce("source", F.lit("")).alias("feature"), text.alias("reasoning")), {"ignoreNullFields": "false"}),
+        F.concat(F.lit("```\n\t"), body, F.lit("```\n")),
+        F.concat(body, F.lit("\n"), body),
+        F.replace(body, F.lit('"'), F.lit("'")),
+        F.substring(body, F.lit(1), F.char_length(body) - 1 - F.char_length(body) % 7),
+        escaped,
+        F.concat(F.lit("```json\n"), body, F.lit("\n```\nThat is all.")),
+    ]
+    raw = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        raw = F.when(doc % len(kinds) == i, kind).otherwise(raw)
     return table(spark, sf_dir, "documents").select(
         doc.alias("response_id"),
         F.concat(F.lit("T"), doc % 5).alias("target"),
@@ -132,20 +154,26 @@ def responses(spark, sf_dir) -> DataFrame:
 
 
 def choices(spark, sf_dir) -> DataFrame:
-    """Choice answers from conversations: bare letters, phrases, whole turns."""
+    """Choice answers from conversations: bare letters, phrases, whole turns as they are, alone or after a letter."""
     n = F.col("conv_id") + F.col("turn")
     letter = F.substring(F.lit("ABCDEZ"), ((n % 6) + 1).cast("int"), F.lit(1))
-    kind = F.col("conv_id") % 8
-    raw = (F.when(kind == 0, letter)
-           .when(kind == 1, F.concat(F.lit(" "), F.lower(letter), F.lit(" ")))
-           .when(kind == 2, F.lit("None of these"))
-           .when(kind == 3, F.concat(F.lit("Answer: "), letter))
-           .when(kind == 4, F.concat(letter, F.lit(" because A is off")))
-           .when(kind == 5, F.concat(F.lit("("), letter, F.lit(")")))
-           .when(kind == 6, F.lit(""))
-           .otherwise(F.regexp_replace("text", "[^A-Za-z. ]+", " ")))
+    kinds = [
+        letter,
+        F.concat(F.lit(" "), F.lower(letter), F.lit(" ")),
+        F.lit("None of these"),
+        F.concat(F.lit("Answer: "), letter),
+        F.concat(letter, F.lit(" because A is off")),
+        F.concat(F.lit("("), letter, F.lit(")")),
+        F.lit(""),
+        F.col("text"),
+        F.concat(F.col("text"), F.lit('\n"'), letter, F.lit('"')),
+        F.concat(F.lit("\u00e9"), letter, F.lit(" \u00fc"), F.lower(letter), F.lit("\u00df, 1. "), letter, F.lit(".")),
+    ]
+    raw = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        raw = F.when(F.col("conv_id") % len(kinds) == i, kind).otherwise(raw)
     return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", (1 + F.col("conv_id") % 5).cast("int").alias("n_candidates"), raw.alias("raw"))
+        "conv_id", "turn", (1 + F.col("conv_id") % 7 % 5).cast("int").alias("n_candidates"), raw.alias("raw"))
 
 
 # Feature labels of the mapping view, by position.
@@ -269,11 +297,12 @@ def _pick(values: list[str], index: str) -> str:
     return "list_extract([" + ", ".join(f"'{v}'" for v in values) + f"], CAST({index} AS INTEGER) + 1)"
 
 
-_CLEAN_TEXT = "regexp_replace(text, '[^A-Za-z. ]+', ' ', 'g')"
-_SENTENCES = (f"list_filter(list_transform(string_split({_CLEAN_TEXT}, '.'), lambda s: trim(s)), "
-              "lambda s: s <> '')")
-_BODY = ("'[' || array_to_string(list_transform(" + _SENTENCES + ", lambda s: "
-         "'{\"feature\": \"' || s || '\", \"reasoning\": \"' || lang || '\"}'), ', ') || ']'")
+_SPACES = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+_SENTENCES = f"list_filter([trim(s, {_SPACES}) FOR s IN string_split(text, '.')], lambda s: s <> '')"
+_BODY = (f"CAST(to_json([{{'feature': s, 'reasoning': coalesce(lang, '')}} FOR s IN {_SENTENCES}]) AS VARCHAR)")
+_ESCAPED = "body"
+for _letter, _code in ESCAPED:
+    _ESCAPED = f"replace({_ESCAPED}, '{_letter}', '{_code}')"
 _MONTH = "CAST(month(o_orderdate) AS VARCHAR)"
 
 
@@ -315,20 +344,27 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "responses": ([], f"""
         SELECT doc_id AS response_id, 'T' || (doc_id % 5) AS target,
                CASE WHEN doc_id % 2 = 1 THEN 'C' || (doc_id % 3) END AS country,
-               CASE doc_id % 6
-                 WHEN 0 THEN '```json' || chr(10) || {_BODY} || chr(10) || '```'
-                 WHEN 1 THEN '  ' || {_BODY} || chr(10)
-                 WHEN 2 THEN {_CLEAN_TEXT}
+               CASE doc_id % 12
+                 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```'
+                 WHEN 1 THEN '  ' || body || chr(10)
+                 WHEN 2 THEN text
                  WHEN 3 THEN '[]'
-                 WHEN 4 THEN {_BODY} || ' and more'
-                 ELSE '{{"feature": "' || source || '", "reasoning": ""}}' END AS raw_response
-        FROM documents"""),
-    "choices": ([], f"""
-        SELECT conv_id, turn, CAST(1 + conv_id % 5 AS INTEGER) AS n_candidates,
-               CASE conv_id % 8 WHEN 0 THEN letter WHEN 1 THEN ' ' || lower(letter) || ' '
+                 WHEN 4 THEN body || ' and more'
+                 WHEN 5 THEN CAST(to_json({{'feature': coalesce(source, ''), 'reasoning': text}}) AS VARCHAR)
+                 WHEN 6 THEN '```' || chr(10) || chr(9) || body || '```' || chr(10)
+                 WHEN 7 THEN body || chr(10) || body
+                 WHEN 8 THEN replace(body, '"', chr(39))
+                 WHEN 9 THEN substring(body, 1, length(body) - 1 - length(body) % 7)
+                 WHEN 10 THEN {_ESCAPED}
+                 ELSE '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'That is all.' END AS raw_response
+        FROM (SELECT *, CASE WHEN text IS NOT NULL THEN {_BODY} END AS body FROM documents)"""),
+    "choices": ([], """
+        SELECT conv_id, turn, CAST(1 + conv_id % 7 % 5 AS INTEGER) AS n_candidates,
+               CASE conv_id % 10 WHEN 0 THEN letter WHEN 1 THEN ' ' || lower(letter) || ' '
                  WHEN 2 THEN 'None of these' WHEN 3 THEN 'Answer: ' || letter
                  WHEN 4 THEN letter || ' because A is off' WHEN 5 THEN '(' || letter || ')'
-                 WHEN 6 THEN '' ELSE {_CLEAN_TEXT} END AS raw
+                 WHEN 6 THEN '' WHEN 7 THEN text WHEN 8 THEN text || chr(10) || '"' || letter || '"'
+                 ELSE '\u00e9' || letter || ' \u00fc' || lower(letter) || '\u00df, 1. ' || letter || '.' END AS raw
         FROM (SELECT *, substr('ABCDEZ', CAST((conv_id + turn) % 6 AS INTEGER) + 1, 1) AS letter FROM conversations)"""),
     "event_keys": ([], """
         SELECT event_type AS target, 'C' || (user_id % 5) AS country,

@@ -30,12 +30,24 @@ def test_feature_lists(spark, raw, n):
     ("Answer: B", 3, 1, 0), ("C because A is off", 3, 2, 0), ("Z", 3, None, None), ("", 3, None, None),
     ("(D)", 4, 3, 3), ("(D)", 3, None, None), ("I think B", 3, 1, 1), ("I choose B", 5, 1, 1), ("F", 8, 5, 5), ("H or A", 8, 7, 0),
     ("D, no: B", 3, 1, 1), (None, 3, None, None),
+    ("\u00e9A, B", 3, 1, 0), ("A\u00df", 3, None, 0), ("A\u0301 C", 3, 2, 0), ("Ö: c\n", 3, 2, 2), ("1A 2", 3, None, 0), ('"b"', 3, 1, 1),
 ])
 def test_choices(spark, raw, n, strict, legacy):
     assert one(spark, raw, lambda c: X.parse_choice(c, F.lit(n))) == strict
     assert one(spark, raw, lambda c: X.parse_choice(c, F.lit(n), legacy=True)) == legacy
 
 
+def test_raw_texts_survive_the_list(spark):
+    texts = ['say "x" [1]', "it's {a}, [b]", "back\\slash \\n", "tab\tline\nend", "\u00e9\u00fc\u00e4 \u00df 42 %", "```"]
+    body = F.to_json(F.transform(F.col("v"), lambda s: F.struct(s.alias("feature"), s.alias("reasoning"))))
+    for raw in (body, F.concat(F.lit("```json\n"), body, F.lit("\n```"))):
+        got = spark.createDataFrame([(texts,)], "v array<string>").select(X.parse_feature_list(raw)).first()[0]
+        assert [(x.feature, x.reasoning) for x in got] == [(t, t) for t in texts]
+    escaped = F.lit('[{"f\\u0065ature": "\\u00e9\\/\\"", "reasoning": null}]')
+    got = spark.range(1).select(X.parse_feature_list(escaped)).first()[0]
+    assert [(x.feature, x.reasoning) for x in got] == [('\u00e9/"', None)]
+
+
 def test_demographic_flag(spark):
     assert one(spark, "Language use", X.is_demographic) is True
     assert one(spark, "Language use", lambda c: X.is_demographic(c, whole_word=True)) is False
