@@ -34,9 +34,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every vector whose id is divisible by 20: its 20 best inner products with all others."""
+    """Of every vector whose id is divisible by 20: its 20 best inner products with all other rows."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+    return topk.top_k(vectors, F.expr("vec_id % 20 = 0"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +92,11 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "op11_url_filter": url_sql.twin(),
     "op4_top_k": """
-WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
- s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
- r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op6_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -21,9 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from surveyspark.llm.texts import stored
 
@@ -36,12 +35,13 @@ PRODUCTS = 50_000
 LEVELS = (1, 4, 16)
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and v = floor(64 x) as doubles; vectors that are null, empty or hold a null or non-finite component go."""
+def quantised(vectors: DataFrame, key: Column, asked: Column) -> DataFrame:
+    """vec_id, key, asked and v = floor(64 x) as doubles; vectors that are null, empty or hold a null or non-finite component go."""
     good = (F.col("embedding").isNotNull() & (F.size("embedding") > 0)
             & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     return vectors.filter(good & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
+        F.col("vec_id").cast("long"), key.alias("key"), F.coalesce(asked, F.lit(False)).alias("asked"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
 
 
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -61,18 +61,18 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best candidates of each query of a block, smaller ids first on ties."""
+    """The k best candidates of each query of a block but those of its own key, smaller ids first on ties."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.keys, self.q, self.k = ids, keys, q, k
         self.stats = {s: segment_statistics(q, s) for s in LEVELS}
         self.floor = np.full(len(q), -np.inf)
         self.query = self.cand = np.empty(0, np.int64)
         self.score = np.empty(0, np.int64)
 
-    def see(self, ids: np.ndarray, c: np.ndarray) -> None:
+    def see(self, ids: np.ndarray, keys: np.ndarray, c: np.ndarray) -> None:
         """Takes one block of candidates into account."""
-        open_ = ids[None, :] != self.ids[:, None]
+        open_ = keys[None, :] != self.keys[:, None]
         if np.isfinite(self.floor).any():
             # Scores are whole numbers, so half a unit covers rounding of the bounds.
             slack = 0.5 + 1e-9 * float(np.abs(self.q).max()) * float(np.abs(c).max()) * c.shape[1]
@@ -120,20 +120,20 @@ def _search(k: int):
         at, best = None, None
 
         def rows() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(best.ids[best.query]), pa.array(best.cand), pa.array([int(x) for x in best.score], pa.int64())],
-                                   names=["query_id", "vec_id", "score"])
+            return pa.record_batch([pa.array(best.keys[best.query]), pa.array(best.ids[best.query]), pa.array(best.cand),
+                                    pa.array([int(x) for x in best.score], pa.int64())], names=["key", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                ids, c = row["c"].values.to_numpy(), np.frombuffer(row["cv"].as_buffer(), np.float64)
+                ids, keys, c = row["c"].values.to_numpy(), row["ck"].values.to_numpy(), np.frombuffer(row["cv"].as_buffer(), np.float64)
                 here = (row["qa"].as_py(), row["part"].as_py())
                 if here != at:
                     if best:
                         yield rows()
                     q = row["q"].values.to_numpy()
-                    at, best = here, Best(q, np.frombuffer(row["qv"].as_buffer(), np.float64).reshape(len(q), -1), k)
-                best.see(ids, c.reshape(len(ids), -1))
+                    at, best = here, Best(q, row["qk"].values.to_numpy(), np.frombuffer(row["qv"].as_buffer(), np.float64).reshape(len(q), -1), k)
+                best.see(ids, keys, c.reshape(len(ids), -1))
         if best:
             yield rows()
     return run
@@ -144,40 +144,64 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
 
     def block(size: int) -> pa.RecordBatch:
-        rows = held.pop(size)
-        return pa.record_batch([pa.array([size], pa.int32()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
-                                pa.array([np.concatenate([r[1] for r in rows]).tobytes()], pa.binary())], names=["size", "ids", "block"])
+        ids, keys, asked, v = zip(*held.pop(size))
+        return pa.record_batch([pa.array([size], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64())),
+                                pa.array([asked], pa.list_(pa.bool_())), pa.array([np.concatenate(v).tobytes()], pa.binary())],
+                               names=["size", "ids", "keys", "asked", "block"])
 
     for batch in batches:
-        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v")):
+        for i, key, asked, v in zip(batch.column("vec_id").to_pylist(), batch.column("key").to_pylist(),
+                                    batch.column("asked").to_pylist(), batch.column("v")):
             v = v.values.to_numpy()
-            held.setdefault(len(v), []).append((i, v))
+            held.setdefault(len(v), []).append((i, key, asked, v))
             if len(held[len(v)]) * len(v) * 8 >= BLOCK_BYTES:
                 yield block(len(v))
     for size in list(held):
         yield block(size)
 
 
-BLOCKS = "size int, ids array<bigint>, block binary"
+def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of blocks that are asked about."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, keys, asked = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "keys", "asked"))
+            v = np.frombuffer(batch.column("block")[row].as_buffer(), np.float64).reshape(len(ids), -1)[asked]
+            yield pa.record_batch([pa.array(ids[asked]), pa.array(keys[asked]), pa.array(asked[asked]),
+                                   pa.array(list(v), pa.list_(pa.float64()))], names=["vec_id", "key", "asked", "v"])
+
+
+VECTORS = "vec_id bigint, key bigint, asked boolean, v array<double>"
+BLOCKS = "size int, ids array<bigint>, keys array<bigint>, asked array<boolean>, block binary"
+
 
+def top_k(vectors: DataFrame, queries: DataFrame | Column, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest inner products of each query.
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but those of its own id.
+    Tables hold vec_id and embedding; other columns are passed over. ``queries`` is a condition that
+    tells which rows of ``vectors`` are queries (null: not): each such row gets k rows of its own, from all
+    rows but itself, also where vec_ids repeat. Or it is another table: then vectors of
+    the query's vec_id are left out, and queries of one vec_id share their k rows.
 
-    Both tables hold vec_id and embedding. Vectors that are null, empty or hold null or
-    non-finite components, and rows without vec_id, take no part; vectors are only
-    compared with vectors of the same length. A repeated vec_id gives a row each
-    time, and queries of one vec_id share their k rows; ties go to the smaller vec_id. Fewer vectors give fewer rows, empty tables none.
+    Vectors that are null, empty or hold null or non-finite components, and rows without
+    vec_id, take no part; vectors are only compared with vectors of the same length. A repeated vec_id
+    gives a row each time; ties go to the smaller vec_id. Fewer vectors give fewer rows, empty tables none.
     """
-    pack = lambda df, name: stored(quantised(df).mapInArrow(_pack, BLOCKS).withColumn(
-        "at", F.monotonically_increasing_id()), name)
-    c, q = pack(vectors, "candidates"), pack(queries, "queries")
+    def pack(df: DataFrame, name: str) -> DataFrame:
+        return stored(df.mapInArrow(_pack, BLOCKS).withColumn("at", F.monotonically_increasing_id()), name)
+
+    if isinstance(queries, DataFrame):
+        c = pack(quantised(vectors, F.col("vec_id").cast("long"), F.lit(False)), "candidates")
+        q = pack(quantised(queries, F.col("vec_id").cast("long"), F.lit(True)), "queries")
+    else:
+        # Row numbers hold once they are written; queries are taken from what was written.
+        c = pack(quantised(vectors, F.monotonically_increasing_id(), queries), "candidates")
+        q = pack(c.filter(F.exists("asked", lambda x: x)).mapInArrow(_unpack, VECTORS), "queries")
     pairs = q.select("size", F.col("at").alias("qa")).join(c.select("size", F.col("at").alias("ca")), "size")
-    pairs = pairs.join(q.select(F.col("at").alias("qa"), F.col("ids").alias("q"), F.col("block").alias("qv")), "qa").join(
-        c.select(F.col("at").alias("ca"), F.col("ids").alias("c"), F.col("block").alias("cv")), "ca")
+    pairs = pairs.join(q.select(F.col("at").alias("qa"), F.col("ids").alias("q"), F.col("keys").alias("qk"), F.col("block").alias("qv")), "qa").join(
+        c.select(F.col("at").alias("ca"), F.col("ids").alias("c"), F.col("keys").alias("ck"), F.col("block").alias("cv")), "ca")
     parts = -(-max(1, c.count()) // PAIRS)
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("ca"), F.lit(parts)))
     dealt = pairs.repartition(max(1, q.count() * parts), "qa", "part").sortWithinPartitions("qa", "part")
-    got = dealt.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    got = dealt.mapInArrow(_search(k), "key bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
