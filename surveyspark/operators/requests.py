@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.text import (
-    COUNTRY_PROVIDED, UNPROMPTED, choice_request, combined_text,
+    COUNTRY_PROVIDED, SYSTEM_TEXT, UNPROMPTED, choice_request, combined_text,
     parse_choice, parse_list_body, request_condition, request_text, strip, strip_fence)
 from surveyspark.operators.similarity import TOP_K
 
@@ -37,8 +37,9 @@ def request_grid(targets: DataFrame, countries: DataFrame, key: str = "survey",
 
 
 def build_requests(grid: DataFrame) -> DataFrame:
-    """Add the request text to ``(…, question_text, country)``."""
-    return grid.withColumn("request", request_text(F.col("question_text"), F.col("country")))
+    """Add both messages of a request, ``system`` and ``request``, to ``(…, question_text, country)``."""
+    return grid.withColumns({"system": F.lit(SYSTEM_TEXT),
+                             "request": request_text(F.col("question_text"), F.col("country"))})
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from surveyspark.operators import requests as R
 from surveyspark.operators import similarity as S
 from surveyspark.operators.importance import top_k
 from surveyspark.operators.mapping import flag_hits, selected_features
+from surveyspark.plans.grid import choose, map_responses
 from surveyspark.queries import views as V
 from surveyspark.queries.catalog import INDEX, PARSED
 from surveyspark.queries.views import s4, with_views
@@ -47,7 +48,8 @@ def build_requests(spark, sf):
     texts = question_texts(V.variables(spark, sf), targets.select(F.col("target").alias("var_code")))
     asked = targets.join(texts.withColumnRenamed("var_code", "target"), "target")
     out = R.build_requests(R.request_grid(asked, _countries(spark, sf)))
-    return out.select("survey", "target", "country", "condition", md5(F.col("request")).alias("request_md5"))
+    return out.select("survey", "target", "country", "condition", F.col("system").alias("system_text"),
+                      md5(F.col("request")).alias("request_md5"))
 
 
 def strip_fence(spark, sf):
@@ -134,6 +136,30 @@ def resolve_choice(spark, sf):
                       "choice_response")
 
 
+def mapping_records(spark, sf):
+    """Raw responses all the way: parsed, matched with the variables by vectors, chosen from and resolved."""
+    rank, vec = F.col("feature_rank"), V.variable_vectors(spark, sf)
+    n = V.table(spark, sf, "embeddings").count()
+    place = (F.col("response_id") * 7 + rank) % n
+    named = lambda column, name: vec.select(F.col("var_code").alias(f"_{name}"), F.col("vector").alias(column))
+    asked = _features(spark, sf).select("response_id", "feature_rank", F.concat(F.lit("V"), place).alias("_label"),
+                                        F.concat(F.lit("V"), (place + 1) % n).alias("_combined"))
+    vectors = (asked.join(named("label_vector", "label"), "_label").join(named("combined_vector", "combined"), "_combined")
+               .drop("_label", "_combined"))
+    targets = vec.select(F.regexp_replace("var_code", "^V", "T").alias("target"), F.col("vector").alias("target_vector"))
+    texts = V.table(spark, sf, "documents").select(F.concat(F.lit("V"), "doc_id").alias("var_code"), F.col("text").alias("question_text"))
+    records = map_responses(V.responses(spark, sf), vectors, vec, texts, targets, leakage=LEAKAGE)
+    i = F.col("response_id") + rank
+    letter = F.substring(F.lit("ABCDEZ"), ((i % 6) + 1).cast("int"), F.lit(1))
+    answers = asked.where(i % 11 != 0).select(
+        F.concat_ws(":", "response_id", "feature_rank").alias("request_id"),
+        F.when(i % 7 == 0, "none").when(i % 2 == 0, letter).otherwise(F.concat(F.lit("Answer: "), letter)).alias("raw_choice"))
+    return choose(records, answers).select(
+        "response_id", rank.cast("bigint").alias("feature_rank"), "target", "condition", "feature_label",
+        F.size("candidates").cast("bigint").alias("n_candidates"), "top_match_code", "top_match_score",
+        F.col("selected_rank").cast("int").alias("selected_rank"), "selected_code", md5(F.col("selected_text")).alias("text_md5"), "choice_response")
+
+
 def parse_choice(spark, sf):
     return V.choices(spark, sf).select("conv_id", "turn", "n_candidates",
                                        X.parse_choice(F.col("raw"), F.col("n_candidates")).cast("int").alias("choice"))
@@ -174,7 +200,7 @@ QUERIES = {
     "combined_text": combined_text, "similarity_pairs": similarity_pairs, "max_similarity": max_similarity,
     "leakage_exclusion": leakage_exclusion, "similarity_topk": similarity_topk, "top_match": top_match,
     "format_candidates": format_candidates, "build_choice_requests": build_choice_requests,
-    "resolve_choice": resolve_choice, "parse_choice": parse_choice, "parse_choice_legacy": parse_choice_legacy,
+    "resolve_choice": resolve_choice, "mapping_records": mapping_records, "parse_choice": parse_choice, "parse_choice_legacy": parse_choice_legacy,
     "demographic_flag": demographic_flag, "hits": hits, "set_ops": set_ops,
 }
 
@@ -225,6 +251,30 @@ _SIMS = {
                  list(similarity ORDER BY cand_rank) AS sims
           FROM near LEFT JOIN documents ON 'V' || doc_id = var_code GROUP BY 1) n ON n.request_id = r.request_id"""),
 }
+# the same steps from raw responses on; features that share vector and target share their candidates
+_RECORDS = {
+    **PARSED, **_UNNEST,
+    "asked": (["listed", "parsed"], """
+        SELECT l.*, p.target, p.condition, l.response_id + l.feature_rank AS i,
+               (l.response_id * 7 + l.feature_rank) % (SELECT count(*) FROM embeddings) AS place
+        FROM listed l JOIN parsed p ON p.response_id = l.response_id"""),
+    "best": (["asked", "variable_vectors"], f"""
+        SELECT target, place, count(*) AS n, list(var_code ORDER BY rn) AS codes, list({s4('s')} ORDER BY rn) AS sims,
+               list(text ORDER BY rn) AS texts
+        FROM (SELECT *, row_number() OVER (PARTITION BY target, place ORDER BY floor(s * 1e6::DOUBLE + 0.5::DOUBLE) DESC, var_code) AS rn
+              FROM (SELECT r.target, r.place, v.var_code,
+                           greatest(list_dot_product(a.vector, v.vector), list_dot_product(b.vector, v.vector)) AS s
+                    FROM (SELECT DISTINCT target, place FROM asked) r
+                    JOIN variable_vectors a ON a.var_code = 'V' || r.place
+                    JOIN variable_vectors b ON b.var_code = 'V' || ((r.place + 1) % (SELECT count(*) FROM embeddings))
+                    JOIN variable_vectors t ON 'T' || substr(t.var_code, 2) = r.target
+                    JOIN variable_vectors v ON list_dot_product(t.vector, v.vector) <= {LEAKAGE}) WHERE s >= 0.3)
+        LEFT JOIN documents ON 'V' || doc_id = var_code WHERE rn <= 5 GROUP BY target, place"""),
+    "answered": (["asked", "best"], """
+        SELECT q.*, coalesce(n, 0) AS n_candidates, codes, sims, texts, substr('ABCDEZ', CAST(i % 6 AS INTEGER) + 1, 1) AS letter,
+               CASE WHEN i % 11 = 0 THEN NULL WHEN i % 7 = 0 THEN 'none' WHEN i % 2 = 0 THEN letter ELSE 'Answer: ' || letter END AS raw
+        FROM asked q LEFT JOIN best b ON b.target = q.target AND b.place = q.place"""),
+}
 _CHOICE = X.CHOICE_REQUEST
 _APART = X.APART.replace("{", "{{").replace("}", "}}")
 # separators are doubled because this engine has no lookahead
@@ -237,7 +287,7 @@ SQL = {
     "grid_cells": with_views("SELECT survey, target, country FROM grid WHERE country IS NOT NULL", "grid", extra=_CELLS),
     "request_grid": with_views("SELECT * FROM grid", "grid", extra=_CELLS),
     "build_requests": with_views(f"""
-        SELECT survey, target, country, condition, md5(CASE WHEN country IS NULL THEN {sql_fill(X.REQUEST_UNPROMPTED, question='q.text')}
+        SELECT survey, target, country, condition, {_q(X.SYSTEM_TEXT)} AS system_text, md5(CASE WHEN country IS NULL THEN {sql_fill(X.REQUEST_UNPROMPTED, question='q.text')}
                ELSE {sql_fill(X.REQUEST_COUNTRY, question='q.text', country='country')} END) AS request_md5
         FROM grid JOIN question q ON q.var_code = target""", "grid", "question", extra=_CELLS),
     "strip_fence": with_views("SELECT response_id, length(body) AS n_chars, md5(body) AS body_md5 FROM parsed", "parsed", extra=PARSED),
@@ -268,6 +318,13 @@ SQL = {
                 WHEN request_id % 2 = 0 THEN substr('ABCDEZ', CAST(request_id % 6 AS INTEGER) + 1, 1)
                 ELSE 'Answer: ' || substr('ABCDEZ', CAST(request_id % 6 AS INTEGER) + 1, 1) END AS raw FROM mapped)))""",
                                 "mapped", extra=_SIMS),
+    "mapping_records": with_views("""
+        SELECT response_id, feature_rank, target, condition, feature_label, n_candidates, codes[1] AS top_match_code, sims[1] AS top_match_score,
+               CASE WHEN ok THEN CAST(pos AS INTEGER) END AS selected_rank, CASE WHEN ok THEN codes[pos + 1] END AS selected_code,
+               CASE WHEN ok THEN md5(texts[pos + 1]) END AS text_md5,
+               CASE WHEN n_candidates = 0 THEN 'no candidates' ELSE raw END AS choice_response
+        FROM (SELECT *, ascii(letter) - 65 AS pos, coalesce(raw <> 'none' AND ascii(letter) - 65 < n_candidates, false) AS ok FROM answered)""",
+                                  "answered", extra=_RECORDS),
     "parse_choice": with_views(f"""
         SELECT conv_id, turn, n_candidates, CAST(CASE WHEN NOT contains(t, 'NONE') AND ascii(l) - 65 < n_candidates THEN ascii(l) - 65 END AS INTEGER) AS choice
         FROM (SELECT *, {_LETTER.format(t='t')} AS l FROM (SELECT *, {_UP} AS t FROM choices))""", "choices"),

@@ -84,6 +84,7 @@ def test_grid_and_conditions(spark):
     assert R.grid_cells(targets, lands).count() == 4
     grid = R.build_requests(R.request_grid(targets, lands))
     assert grid.where("condition = 'unprompted'").count() == 2 and grid.count() == 6
+    assert {r.system for r in grid.collect()} == {X.SYSTEM_TEXT}
     assert R.request_grid(targets, lands, condition="unprompted").count() == 2
     with pytest.raises(ValueError):
         R.request_grid(targets, lands, condition="x")
