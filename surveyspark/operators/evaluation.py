@@ -89,7 +89,7 @@ def comparison_sets(requests: DataFrame, importances: DataFrame, pool: DataFrame
     random_sets = random_draws(pool, wanted, CELL, n_draws, seed).select(
         *CELL, "condition", F.lit("random").alias("kind"), "draw", "feature")
     return model_sets.unionByName(oracle_sets).unionByName(random_sets).withColumn(
-        "set_id", F.concat_ws("|", "condition", "kind", "draw"))
+        "set_id", F.concat_ws("|", "kind", F.coalesce(F.col("draw").cast("string"), F.lit("")), "condition"))
 
 
 def compare(model: BayesModel, requests: DataFrame, importances: DataFrame,
@@ -103,7 +103,7 @@ def compare(model: BayesModel, requests: DataFrame, importances: DataFrame,
     keys = [*CELL, "condition"]
     sets = materialize(comparison_sets(requests, importances, model.pool.df, n_draws, seed)).df
     results = evaluate_feature_sets(model, sets).withColumns({
-        "condition": F.split("set_id", r"\|")[0], "kind": F.split("set_id", r"\|")[1]})
+        "kind": F.split("set_id", r"\|", 3)[0], "condition": F.get(F.split("set_id", r"\|", 3), F.lit(2))})
     results = materialize(results).df
     part = F.struct("accuracy_mean", "accuracy_std", "majority_baseline", "n_features",
                     "n_features_requested", "n_samples", "error")

@@ -148,3 +148,16 @@ def test_top_k_varies_by_cell(spark):
 
 def test_cells_are_the_keys():
     assert CELL == ["target", "country"]
+
+
+def test_conditions_may_hold_the_separator(spark, model):
+    asked = [(c, f) for c in ("plain", "a|b", "a|b|model|3", "|") for f in ("copy", "noise")]
+    requests = spark.createDataFrame([("q", "hot", c, i, f) for i, (c, f) in enumerate(asked)],
+                                     "target string, country string, condition string, feature_rank int, selected_code string")
+    imp = spark.createDataFrame([("q", "hot", f, m) for m, f in enumerate(["void", "flat", "noise", "copy"])],
+                                "target_variable string, country string, feature_variable string, importance_mean int")
+    rows = {r["condition"]: r.asDict(recursive=True) for r in evaluation.compare(model, requests, imp, n_draws=3).collect()}
+    assert set(rows) == {c for c, _ in asked}
+    for r in rows.values():
+        assert r["model"] == r["oracle"] == rows["plain"]["model"] and r["model"]["accuracy_mean"] > 0.8
+        assert r["random"]["n_draws"] == 3
