@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.functions.numbers import r4, r6
+from surveyspark.functions.numbers import pearson, r4, r6
 from surveyspark.operators.bayes import BayesModel, best_class, test_rows
 from surveyspark.operators.importance import importance_rank, top_k
 from surveyspark.operators.mapping import selected_features
@@ -112,8 +112,7 @@ def complexity_calibration(requests: DataFrame, cells: DataFrame) -> DataFrame:
     rows = chosen.join(cells, CELL).select("condition", *CELL, "k", F.explode(measures).alias("m")).select("condition", "k", "m.*")
     group = ["condition", "measure"]
     rows = grouped_average_rank(grouped_average_rank(rows, group, "k", "_k"), group, "value", "_v")
-    spread = (F.stddev_pop("k") > 1e-9) & (F.stddev_pop("value") > 1e-9)
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells"), F.when(spread, r4(F.corr("k", "value"))).alias("pearson"),
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells"), r4(pearson("k", "value")).alias("pearson"),
                                     r4(correlation("_k", "_v")).alias("spearman"))
 
 

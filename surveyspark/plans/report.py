@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.functions.numbers import r3, r4, share
+from surveyspark.functions.numbers import pearson, r3, r4, share
 from surveyspark.functions.text import COUNTRY_PROVIDED, UNPROMPTED, is_demographic
 from surveyspark.operators.importance import importance_rank
 from surveyspark.operators.mapping import coverage, flag_hits, selected_features
@@ -100,12 +100,12 @@ def signal_gap(summary: DataFrame) -> DataFrame:
 
 
 def signal_gap_pearson(rows: DataFrame) -> DataFrame:
-    return rows.agg(r3(F.corr("signal", "gap")).alias("pearson"), F.count(F.lit(1)).alias("n"))
+    return rows.agg(r3(pearson("signal", "gap")).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
 def signal_gap_spearman(rows: DataFrame) -> DataFrame:
     ranked = average_rank(average_rank(rows, "signal", "signal_rank"), "gap", "gap_rank")
-    return ranked.agg(r3(F.corr("signal_rank", "gap_rank")).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.agg(r3(pearson("signal_rank", "gap_rank")).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def hit_rates(summary: DataFrame, mappings: DataFrame, importances: DataFrame) -> DataFrame:

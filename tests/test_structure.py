@@ -181,3 +181,13 @@ def test_list_classes(spark):
         ("t", "F"): "both empty", ("u", "A"): "same"}
     words = {r.target: r.taxonomy for r in screening.context_taxonomy(table, out).collect()}
     assert words == {"t": "context-aware and rigid", "u": "context-unaware and rigid"}
+
+
+def test_calibration_without_spread(spark):
+    """Every cell asks for equally many features: no correlation, and no division by zero."""
+    requests = spark.createDataFrame([("t", c, "bare", code) for c in "PQR" for code in "xy"], "target string, country string, condition string, selected_code string")
+    requests = requests.selectExpr("*", "1L as feature_rank")
+    cells = spark.createDataFrame([("t", c, k, k / 7, 0.5) for c, k in zip("PQR", (1, 2, 4))],
+                                  "target string, country string, k90 bigint, entropy double, ceiling double")
+    got = structure.complexity_calibration(requests, cells).collect()
+    assert {(r.measure, r.n_cells, r.pearson, r.spearman) for r in got} == {(m, 3, None, None) for m in ("k90", "entropy", "ceiling")}
