@@ -78,3 +78,31 @@ def test_exclusion_without_vector(spark, vectors):
     targets = spark.createDataFrame([("V03", vectors[3].tolist()), ("gone", None)], "target string, target_vector array<float>")
     got = {tuple(r) for r in S.excluded_variables(targets, variables, 0.99).select("target", "var_code").collect()}
     assert got == {("V03", "V03"), ("V03", "V07"), ("gone", "gone")}
+
+
+def test_work_is_dealt_by_pairs_and_handed_on_in_pieces(spark, vectors, monkeypatch):
+    """Few bytes, many pairs: one input partition becomes many tasks, whatever the bytes."""
+    monkeypatch.setattr(S, "TASK_CELLS", 200)
+    requests, variables = frames(spark, vectors)
+    requests = requests.coalesce(1)
+    pairs = S.similar_pairs(requests, "request_id", ["label_vector", "combined_vector"], variables, "var_code", "vector", 0.3)
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    near = S.nearest_variables(requests, variables, leakage=0.5)
+    assert near.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert {(r["request_id"], r["var_code"], r["cand_rank"]) for r in near.collect()} == brute(vectors, 0.5)
+
+
+def test_exclusion_pairs_are_compared_only_where_names_repeat(spark, vectors):
+    _, variables = frames(spark, vectors)
+    targets = variables.select(F.col("var_code").alias("target"), F.col("vector").alias("target_vector"))
+    once = S.excluded_variables(targets, variables, 0.3)
+    assert "Exchange" not in once._jdf.queryExecution().optimizedPlan().toString() and once.count() == once.distinct().count()
+    twice = S.excluded_variables(targets.unionByName(targets), variables.unionByName(variables), 0.3)
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_rows_without_vector_have_no_pairs(spark):
+    left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "l string, v array<double>")
+    right = spark.createDataFrame([("x", [0.5, 0.0]), ("y", None)], "r string, w array<double>")
+    assert [tuple(r) for r in S.similar_pairs(left, "l", ["v"], right, "r", "w", 0.1).collect()] == [("a", "x", 0.5)]
