@@ -60,16 +60,30 @@ def run_grid(wide: DataFrame, id_col: str, country_col: str, targets: list[str],
 def map_responses(responses: DataFrame, feature_vectors: DataFrame, variable_vectors: DataFrame,
                   variable_texts: DataFrame, target_vectors: DataFrame, k: int = TOP_K,
                   min_similarity: float = MIN_SIMILARITY,
-                  leakage: float | None = LEAKAGE_SIMILARITY) -> DataFrame:
+                  leakage: float | None = LEAKAGE_SIMILARITY, feature_ids: DataFrame | None = None) -> DataFrame:
     """Raw responses to mapping records with candidates, one per requested feature.
 
     ``responses``: response_id, target, country, raw_response.
     ``feature_vectors``: response_id, feature_rank, label_vector,
     combined_vector. ``target_vectors``: target, target_vector. A feature
     without a vector keeps its record, with no candidates.
+
+    Where features share vectors, ``feature_ids`` (response_id, feature_rank, vector_id) names them and ``feature_vectors`` has
+    vector_id in place of the two. Each different (target, vector_id) is matched once, and records move without vectors.
     """
     listed = requested_features(parse_responses(responses), ["response_id", "target", "country", "condition"])
     records = listed.withColumn("request_id", F.concat_ws(":", "response_id", "feature_rank"))
+    if feature_ids is not None:
+        records = materialize(records.join(feature_ids, ["response_id", "feature_rank"], "left")).df
+        pairs = records.where(F.col("vector_id").isNotNull()).select("target", "vector_id").distinct()
+        pairs = materialize(pairs.withColumn("request_id", F.monotonically_increasing_id())).df
+        asked = pairs.join(feature_vectors, "vector_id").join(target_vectors, "target", "left")
+        nearest = nearest_variables(asked, variable_vectors, k, min_similarity, leakage)
+        found = candidate_lists(nearest, pairs, variable_texts).drop("request_id")
+        # (target, vector_id) is a row of ``found`` unless the feature has no vector_id
+        out = records.join(found.withColumnRenamed("target", "_target"), F.col("target").eqNullSafe(F.col("_target")) & (
+            records["vector_id"] == found["vector_id"]), "left").drop(found["vector_id"]).drop("vector_id", "_target")
+        return out.withColumn("candidates", F.coalesce("candidates", F.array().cast(found.schema["candidates"].dataType)))
     requests = records.join(feature_vectors, ["response_id", "feature_rank"]).join(target_vectors, "target", "left")
     nearest = nearest_variables(requests, variable_vectors, k, min_similarity, leakage)
     return candidate_lists(nearest, records, variable_texts)

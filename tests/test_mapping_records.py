@@ -25,3 +25,29 @@ def test_responses_to_chosen_variables(spark):
     assert got["1:0"]["feature_label"] == 'a "x"' and got["3:0"]["selected_text"] == "two"
     assert {k: r["choice_response"] for k, r in got.items()} == {
         "1:0": "A", "1:1": "Answer: B", "1:2": "no candidates", "1:3": "no candidates", "3:0": "c"}
+
+
+def test_shared_vectors_are_matched_once(spark, monkeypatch):
+    """Features that name the same vectors give one request per target, and the records they would get alone."""
+    from surveyspark.plans import grid
+
+    raw = '[{"feature": "a"}, {"feature": "b"}, {"feature": "c"}, {"feature": "d"}]'
+    responses = spark.createDataFrame([(i, "T" if i % 2 else None, None, raw) for i in range(6)],
+                                      "response_id bigint, target string, country string, raw_response string")
+    shared = {0: ([1.0, 0.0], [0.6, 0.8]), 1: ([0.0, 1.0], [0.0, 1.0])}
+    ids = [(i, r, r % 3 if r % 3 < 2 else None) for i in range(6) for r in range(4)]
+    vectors = spark.createDataFrame([(i, r, *shared[v]) for i, r, v in ids if v is not None],
+                                    "response_id bigint, feature_rank int, label_vector array<double>, combined_vector array<double>")
+    few = spark.createDataFrame([(v, *x) for v, x in shared.items()], "vector_id bigint, label_vector array<double>, combined_vector array<double>")
+    variables = spark.createDataFrame([("T", [1.0, 0.0]), ("V1", [0.8, 0.6]), ("V2", [0.0, 1.0])], "var_code string, vector array<double>")
+    texts = spark.createDataFrame([("V1", "one")], "var_code string, question_text string")
+    targets = spark.createDataFrame([("T", [1.0, 0.0])], "target string, target_vector array<double>")
+    asked = []
+    nearest = grid.nearest_variables
+    monkeypatch.setattr(grid, "nearest_variables", lambda requests, *rest: asked.append(requests.count()) or nearest(requests, *rest))
+    alone = map_responses(responses, vectors, variables, texts, targets, leakage=0.97)
+    together = map_responses(responses, few, variables, texts, targets, leakage=0.97,
+                             feature_ids=spark.createDataFrame(ids, "response_id bigint, feature_rank int, vector_id bigint"))
+    assert asked == [18, 4] and together.count() == 24
+    columns = ["request_id", "target", "feature_label", "candidates", "top_match_code", "top_match_score"]
+    assert sorted(map(str, together.select(columns).collect())) == sorted(map(str, alone.select(columns).collect()))
