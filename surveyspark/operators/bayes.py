@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.operators.profiles import CELL, MISSING, Profiles
-from surveyspark.session import Materialized, materialize
+from surveyspark.session import BROADCAST_BYTES, BROADCAST_ROWS, Materialized, materialize
 
 ALPHA = 1.0  # additive smoothing
+MOST_LOOKUPS = 24  # features looked up by one small join each
 
 
 @dataclass(frozen=True)
@@ -159,6 +160,31 @@ def test_rows(model: BayesModel) -> DataFrame:
     return model.ll.narrow("key", "ll").join_into(rows, ["key"], spread=p.id_col)
 
 
+def term_rows(model: BayesModel) -> DataFrame:
+    """Scored rows with the likelihoods of their answers: cell, respondent, fold, pos, y, x, _place, lls.
+
+    ``lls`` has one array per feature in their order, NULL at the target's place. Answers are looked up where
+    the rows are, one small table per feature, so no row is expanded or moved. With many features, or more answers than
+    can be sent to every executor, rows are expanded by feature and summed up by respondent.
+    """
+    p = model.profiles
+    own = [*CELL, p.id_col, "fold", "pos", "y", "x"]
+    places = range(len(p.features))
+    if len(p.features) <= MOST_LOOKUPS and model.ll.rows <= BROADCAST_ROWS and model.ll.bytes <= BROADCAST_BYTES:
+        rows = p.df.where(F.col("y").isNotNull()).select(*own).withColumn("_place", model.place())
+        for i in places:
+            # the target's own answers have no likelihoods, so nothing is found at its place
+            answers = model.ll.df.where(F.col("i") == i).select(F.col("key").alias("_key"), F.col("ll").alias(f"_l{i}"))
+            rows = rows.withColumn("_key", answer_key("_place", F.lit(i), F.get("x", F.lit(i)))).join(
+                F.broadcast(answers), "_key", "left").drop("_key")
+        return rows.select(*own, "_place", F.array(*[f"_l{i}" for i in places]).alias("lls"))
+    terms = test_rows(model).groupBy(*CELL, p.id_col, "fold", "pos", "y").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "ll"))).alias("_lls"))
+    terms = terms.withColumn("lls", F.transform(F.sequence(F.lit(0), F.lit(len(p.features) - 1)), lambda i: F.try_element_at("_lls", i)))
+    at = [*CELL, p.id_col]
+    return terms.drop("_lls").join(p.by_respondent().select(*at, "x"), at).withColumn("_place", model.place())
+
+
 def score_columns(profiles: Profiles) -> list[str]:
     return [f"_s{c}" for c in range(profiles.n_classes)]
 
@@ -173,18 +199,32 @@ def class_scores(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
     """
     p = model.profiles
     group = [*CELL, p.id_col, "fold", "pos", "y"]
-    scored = test_rows(model)
-    if sets is not None:
-        group.append("set_id")
-        lists = materialize(sets.groupBy(*CELL, "feature").agg(F.collect_list("set_id").alias("set_ids")))
-        scored = (lists.join_into(scored, [*CELL, "feature"], spread=p.id_col)
-                  .withColumn("set_id", F.explode("set_ids")))
+    if sets is None:
+        return with_scores(model, term_rows(model)).select(*group, *score_columns(p))
+    group.append("set_id")
+    lists = materialize(sets.groupBy(*CELL, "feature").agg(F.collect_list("set_id").alias("set_ids")))
+    scored = lists.join_into(test_rows(model), [*CELL, "feature"], spread=p.id_col).withColumn("set_id", F.explode("set_ids"))
     names = score_columns(p)
     sums = scored.groupBy(*group).agg(*[F.sum(F.get("ll", F.lit(c))).alias(n) for c, n in enumerate(names)])
     return model.priors.join_into(sums, [*CELL, "fold"], spread=p.id_col).select(
         *group, *[(F.col(n) + F.get("prior", F.lit(c))).alias(n) for c, n in enumerate(names)])
 
 
+def with_scores(model: BayesModel, rows: DataFrame) -> DataFrame:
+    """Add one column per class to rows with ``lls``: the score over all features. Classes a cell lacks are NULL."""
+    p = model.profiles
+    total = F.aggregate("lls", F.col("prior"), added)
+    rows = model.priors.narrow(*CELL, "fold", "prior").join_into(rows, [*CELL, "fold"], spread=p.id_col)
+    # generated, so that the sum is made once and not per class
+    rows = rows.withColumn("_scores", F.explode(F.array(total)))
+    return rows.withColumns({n: F.get("_scores", F.lit(c)) for c, n in enumerate(score_columns(p))}).drop("_scores", "prior")
+
+
+def added(scores: Column, ll: Column) -> Column:
+    """Scores with one feature's likelihoods added; the target has none."""
+    return F.when(ll.isNull(), scores).otherwise(F.zip_with(scores, ll, lambda a, b: a + b))
+
+
 def predict_sets(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
     """Held-out class per respondent: cell, respondent, fold, y, [set_id,] pred."""
     names = score_columns(model.profiles)
@@ -193,11 +233,8 @@ def predict_sets(model: BayesModel, sets: DataFrame | None = None) -> DataFrame:
 
 
 def _set_arrays(profiles: Profiles, sets: DataFrame) -> Materialized:
-    """Per cell the sets (set_id, places of their features among the cell's scored ones); as many entries as the cell has sets."""
-    names = F.array(*[F.lit(f) for f in profiles.features])
-    place_of = lambda c: F.array_position(names, F.col(c)) - 1
-    # the target itself is not scored, which moves the features behind it
-    at = place_of("feature") - F.when((place_of("target") >= 0) & (place_of("feature") > place_of("target")), 1).otherwise(0)
+    """Per cell the sets (set_id, places of their features); as many entries as the cell has sets."""
+    at = F.array_position(F.array(*[F.lit(f) for f in profiles.features]), F.col("feature")) - 1
     places = sets.select(*CELL, "set_id", at.cast("int").alias("at")).groupBy(*CELL, "set_id").agg(
         F.array_sort(F.collect_list("at")).alias("ats"))
     return materialize(places.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("set_id", "ats"))).alias("sets")))
@@ -211,11 +248,9 @@ def set_accuracy(model: BayesModel, sets: DataFrame) -> DataFrame:
     """
     p = model.profiles
     lists = _set_arrays(p, sets)
-    terms = test_rows(model).groupBy(*CELL, p.id_col, "fold", "pos", "y").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "ll"))), lambda t: t["ll"]).alias("_terms"))
-    rows = model.priors.narrow(*CELL, "fold", "prior").join_into(terms, [*CELL, "fold"], spread=p.id_col)
+    rows = model.priors.narrow(*CELL, "fold", "prior").join_into(term_rows(model), [*CELL, "fold"], spread=p.id_col)
     rows = lists.join_into(rows, CELL, spread=p.id_col)
-    add = lambda scores, at: F.zip_with(scores, F.get("_terms", at), lambda a, b: a + b)
+    add = lambda scores, at: added(scores, F.get("lls", at))
     hit = lambda s: (best_class(F.aggregate(s["ats"], F.col("prior"), add)) == F.col("y")).cast("int")
     hits = rows.select(*CELL, "fold", F.posexplode(F.transform("sets", hit)).alias("_nth", "hit"))
     counts = hits.groupBy(*CELL, "fold", "_nth").agg(F.count(F.lit(1)).alias("n_test"), F.sum("hit").alias("n_right"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
 from surveyspark.operators.bayes import (
-    BayesModel, class_scores, score_columns, with_best_class)
+    BayesModel, score_columns, term_rows, with_best_class, with_scores)
 from surveyspark.operators.encoding import majority_baseline
 from surveyspark.operators.profiles import CELL
 from surveyspark.operators.resampling import N_REPEATS, SEED, permuted_donors
@@ -15,17 +15,16 @@ from surveyspark.session import Materialized, materialize
 
 
 def scored_rows(model: BayesModel) -> DataFrame:
-    """One row per held-out respondent: _place, pos, target, y, right, keys, scores.
+    """One row per held-out respondent: _place, pos, target, y, right, keys, lls, scores.
 
     ``right`` tells whether the prediction over all features is right, ``keys``
-    are the lookup keys of the given answers.
+    are the lookup keys of the given answers and ``lls`` their likelihoods.
     """
     p = model.profiles
     classes = score_columns(p)
-    scores = with_best_class(class_scores(model), [F.col(s) for s in classes], "_pred")
-    scores = scores.withColumn("_place", model.place()).select(
-        "_place", "pos", "target", "y", *classes, (F.col("_pred") == F.col("y")).alias("right"))
-    return _answer_keys(model).drop(p.id_col).join(scores, ["_place", "pos"])
+    scores = with_best_class(with_scores(model, term_rows(model)), [F.col(s) for s in classes], "_pred")
+    return scores.select("_place", "pos", "target", "y", *classes, (F.col("_pred") == F.col("y")).alias("right"),
+                         model.answer_keys().alias("keys"), "lls")
 
 
 def _answer_keys(model: BayesModel) -> DataFrame:
@@ -59,9 +58,8 @@ def _fold_hits_exact(model: BayesModel) -> DataFrame:
     p = model.profiles
     kept = ["_place", "pos", "y", "right", *score_columns(p)]
     rows = (
-        scored_rows(model).select(*kept, "target", F.posexplode("keys").alias("i", "key"))
+        scored_rows(model).select(*kept, "target", F.posexplode("lls").alias("i", "old_ll"))
         .where(p.feature_name("i") != F.col("target")).drop("target"))
-    rows = model.ll.narrow("key", F.col("ll").alias("old_ll")).join_into(rows, ["key"], spread="pos")
     answers = [*CELL, "fold", "feature", "val"]
     given = model.counts.df.where(F.col("y").isNotNull()).groupBy(*answers).agg(F.sum("n").alias("n_given"))
     merged = (model.ll.df.select(*answers, "_place", "i", "ll").join(given, answers)
@@ -90,7 +88,7 @@ def _fold_hits_sampled(model: BayesModel, n_repeats: int, seed: int) -> DataFram
     classes = score_columns(p)
     largest = model.priors.df.agg(F.max("n_test")).first()[0]
     donors = permuted_donors(_answer_keys(model).drop("pos"), ["_place"], p.id_col, n_repeats, seed, largest or 0)
-    pairs = scored_rows(model).join(donors.select(*at, "rep", F.col("keys").alias("new_keys")), at)
+    pairs = scored_rows(model).drop("lls").join(donors.select(*at, "rep", F.col("keys").alias("new_keys")), at)
     swaps = (
         pairs.select(*at, "target", "rep", "y", "right", *classes,
                      F.posexplode(F.arrays_zip("keys", "new_keys")).alias("i", "_k"))

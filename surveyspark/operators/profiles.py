@@ -14,6 +14,7 @@ from surveyspark.session import Materialized, materialize
 
 CELL = ["target", "country"]
 MISSING = "∅"  # a missing answer is an answer of its own
+ROWS_PER_TASK = 100_000  # profiles of one task
 
 
 @dataclass(frozen=True)
@@ -83,12 +84,15 @@ def build_profiles(clean: DataFrame, id_col: str, country_col: str, targets: lis
     labeled = classes.join_into(
         answers.select(*CELL, id_col, "answer"), [*CELL, "answer"], "left", spread=id_col,
     ).select(*CELL, id_col, "y")
-    labeled = materialize(labeled).df
+    written = materialize(labeled)
+    labeled = written.df
     dealt = assign_folds(labeled.where("y IS NOT NULL"), CELL, id_col, n_folds, seed, largest or 0)
     # Rare answers get no fold and need no order.
     rare = labeled.where("y IS NULL").withColumns({c: F.lit(None).cast(dealt.schema[c].dataType) for c in ("fold", "pos")})
     dealt = dealt.unionByName(rare, allowMissingColumns=True)
     wide = clean.select(id_col, feature_array(clean, features).alias("x"))
-    rows = dealt.join(wide, id_col)
+    # few bytes, much work: a number of tasks by rows, as small shuffles would be merged into one
+    tasks = max(int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")), written.rows // ROWS_PER_TASK)
+    rows = dealt.repartition(tasks, id_col).join(wide.repartition(tasks, id_col), id_col)
     rows = rows.select(*CELL, id_col, "y", "fold", "pos", "x")
     return Profiles(materialize(rows).df, classes, features, id_col, n_folds, (n_classes or 0) + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import pearson, r4, r6
-from surveyspark.operators.bayes import BayesModel, best_class, test_rows
+from surveyspark.operators.bayes import BayesModel, best_class, term_rows
 from surveyspark.operators.importance import importance_rank, top_k
 from surveyspark.operators.mapping import selected_features
 from surveyspark.operators.profiles import CELL
@@ -40,15 +40,17 @@ def ceiling_curve(model: BayesModel, importances: DataFrame) -> DataFrame:
 
     Result: target, country, k, feature (the k-th), accuracy_mean, accuracy_std (population, over
     folds). Nothing is fitted per k: each respondent's likelihoods are put in the order
-    of importance and summed once. A respondent's rows stay where they were placed, and an
+    of importance and summed once. Rows stay where they are, and an
     array holds one cell's features.
     """
     p = model.profiles
     order = materialize(importance_rank(importances).select(
         F.col("target_variable").alias("target"), "country", F.col("feature_variable").alias("feature"), "rank"))
-    rows = order.join_into(test_rows(model), FEATURE, spread=p.id_col)
-    terms = rows.groupBy(*CELL, p.id_col, "fold", "pos", "y").agg(F.array_sort(F.collect_list(F.struct("rank", "ll"))).alias("_terms"))
-    scored = model.priors.join_into(terms, [*CELL, "fold"], spread=p.id_col)
+    place = F.array_position(F.array(*[F.lit(f) for f in p.features]), F.col("feature")) - 1
+    places = materialize(order.df.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("rank", place.cast("int").alias("at")))).alias("_order")))
+    rows = places.join_into(term_rows(model), CELL, spread=p.id_col)
+    terms = rows.withColumn("_terms", F.transform("_order", lambda o: F.struct(F.get("lls", o["at"]).alias("ll"))))
+    scored = model.priors.join_into(terms.drop("lls", "x", "_order"), [*CELL, "fold"], spread=p.id_col)
     hits = scored.select(*CELL, "fold", F.posexplode(prefix_hits(F.col("prior"), F.col("_terms"), F.col("y"))).alias("_at", "hit"))
     folds = hits.groupBy(*CELL, "fold", (F.col("_at") + 1).cast("bigint").alias("k")).agg((F.sum("hit") / F.count(F.lit(1))).alias("accuracy"))
     curve = folds.groupBy(*CELL, "k").agg(r4(F.avg("accuracy")).alias("accuracy_mean"), r4(F.stddev_pop("accuracy")).alias("accuracy_std"))

@@ -191,3 +191,14 @@ def test_calibration_without_spread(spark):
                                   "target string, country string, k90 bigint, entropy double, ceiling double")
     got = structure.complexity_calibration(requests, cells).collect()
     assert {(r.measure, r.n_cells, r.pearson, r.spearman) for r in got} == {(m, 3, None, None) for m in ("k90", "entropy", "ceiling")}
+
+
+def test_scores_move_no_rows(spark, model, monkeypatch):
+    """Likelihoods are looked up where the rows are; the way for many features gives the same scores."""
+    rows = bayes.with_scores(model, bayes.term_rows(model)).drop("x")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in plan and "RepartitionByExpression" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(bayes, "MOST_LOOKUPS", 0)
+    again = bayes.with_scores(model, bayes.term_rows(model)).drop("x")
+    shown = lambda df: {(r.id, r.target): (r.lls, [r[c] and round(r[c], 9) for c in bayes.score_columns(model.profiles)]) for r in df.collect()}
+    assert shown(rows) == shown(again) and len(shown(rows)) == 240
