@@ -89,3 +89,14 @@ def test_many_answers_share_bins(spark, monkeypatch):
     p = build_profiles(spark.createDataFrame(rows, "id bigint, land string, q string, word string"), "id", "land", ["q"], ["word"])
     bins = {r.val: r.bin for r in forest.feature_bins(p).df.collect()}
     assert bins == {f"w{i:03d}": i * forest.BINS // 80 for i in range(80)}
+
+
+def test_rows_lie_in_blocks(survey, monkeypatch):
+    p = build_profiles(survey, "id", "land", ["q"], ["copy", "noise", "q"])
+    want = sorted(map(tuple, forest.forest_grid(p, trees=2, depth=1).collect()))
+    assert forest.packed_blocks(p, 2).count() == 2  # one record per cell
+    monkeypatch.setattr(forest, "BLOCK_ANSWERS", 60)
+    monkeypatch.setattr(forest, "MOST_LOOKUPS", 0)  # rows expanded by feature
+    blocks = forest.packed_blocks(p, 2).collect()
+    assert len(blocks) > 2 and sum(len(b.fold) // 2 for b in blocks) == 120
+    assert sorted(map(tuple, forest.forest_grid(p, trees=2, depth=1).collect())) == want
