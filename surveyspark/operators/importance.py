@@ -10,12 +10,12 @@ from surveyspark.operators.bayes import (
     BayesModel, score_columns, term_rows, with_best_class, with_scores)
 from surveyspark.operators.encoding import majority_baseline
 from surveyspark.operators.profiles import CELL
-from surveyspark.operators.resampling import N_REPEATS, SEED, permuted_donors
+from surveyspark.operators.resampling import N_REPEATS, SEED, permuted
 from surveyspark.session import Materialized, materialize
 
 
 def scored_rows(model: BayesModel) -> DataFrame:
-    """One row per held-out respondent: _place, pos, target, y, right, keys, lls, scores.
+    """One row per held-out respondent: _place, pos, respondent, target, y, right, keys, lls, scores.
 
     ``right`` tells whether the prediction over all features is right, ``keys``
     are the lookup keys of the given answers and ``lls`` their likelihoods.
@@ -23,16 +23,10 @@ def scored_rows(model: BayesModel) -> DataFrame:
     p = model.profiles
     classes = score_columns(p)
     scores = with_best_class(with_scores(model, term_rows(model)), [F.col(s) for s in classes], "_pred")
-    return scores.select("_place", "pos", "target", "y", *classes, (F.col("_pred") == F.col("y")).alias("right"),
+    return scores.select("_place", "pos", p.id_col, "target", "y", *classes, (F.col("_pred") == F.col("y")).alias("right"),
                          model.answer_keys().alias("keys"), "lls")
 
 
-def _answer_keys(model: BayesModel) -> DataFrame:
-    p = model.profiles
-    rows = p.df.where(F.col("y").isNotNull()).withColumn("_place", model.place())
-    return rows.select("_place", "pos", p.id_col, model.answer_keys().alias("keys"))
-
-
 def _swapped(model: BayesModel, old: Column, new: Column) -> list[Column]:
     """Scores with one answer replaced: only one term of the sum changes."""
     return [F.col(s) - F.get(old, F.lit(c)) + F.get(new, F.lit(c))
@@ -80,18 +74,18 @@ def _fold_hits_sampled(model: BayesModel, n_repeats: int, seed: int) -> DataFram
     """Hits before, and summed over ``n_repeats`` random permutations.
 
     The rows of a fold are permuted once per repeat and every feature is read
-    through that permutation. Rows move with their answer keys only, donors once
-    per repeat; the pairs are expanded by feature, scored and counted in place.
+    through that permutation. Scored rows move once, with their answer keys; the
+    pairs are expanded by repeat and feature, scored and counted in place.
     """
     p = model.profiles
     at = ["_place", "pos"]
     classes = score_columns(p)
-    largest = model.priors.df.agg(F.max("n_test")).first()[0]
-    donors = permuted_donors(_answer_keys(model).drop("pos"), ["_place"], p.id_col, n_repeats, seed, largest or 0)
-    pairs = scored_rows(model).drop("lls").join(donors.select(*at, "rep", F.col("keys").alias("new_keys")), at)
+    sizes = model.priors.narrow(model.place().alias("_place"), F.col("n_test").alias("n"))
+    pairs = permuted(scored_rows(model).drop("lls"), sizes, ["_place"], p.id_col, "keys", n_repeats, seed)
     swaps = (
-        pairs.select(*at, "target", "rep", "y", "right", *classes,
-                     F.posexplode(F.arrays_zip("keys", "new_keys")).alias("i", "_k"))
+        pairs.select(*at, "target", "y", "right", *classes, "keys", F.posexplode("donors").alias("rep", "new_keys"))
+        .select(*at, "target", "rep", "y", "right", *classes,
+                F.posexplode(F.arrays_zip("keys", "new_keys")).alias("i", "_k"))
         .where(p.feature_name("i") != F.col("target"))
         .select(*at, "rep", "y", "right", *classes, "i",
                 F.col("_k.keys").alias("old_key"), F.col("_k.new_keys").alias("new_key"))

@@ -10,10 +10,11 @@ from surveyspark.operators.cleaning import clean_survey
 from surveyspark.operators.encoding import class_distribution
 from surveyspark.operators.mapping import selected_features
 from surveyspark.operators.profiles import CELL, build_profiles
-from surveyspark.operators.resampling import assign_folds, permuted_donors, random_draws
+from surveyspark.operators.resampling import assign_folds, permuted, random_draws
 from surveyspark.queries import views as V
 from surveyspark.queries.model_views import model_book, num
 from surveyspark.queries.views import s4, s6, with_views
+from surveyspark.session import materialize
 
 BOOK = model_book()
 
@@ -59,10 +60,10 @@ def permute_column(spark, sf):
     p = profiles(spark, sf, [t for t in V.SURVEY_TARGETS if t != "q_status"])
     at = [*CELL, "fold", "pos"]
     i = p.features.index("q_status")
-    rows = p.df.where(F.col("y").isNotNull()).withColumn("val", F.get("x", F.lit(i)))
-    donors = permuted_donors(rows.select(*CELL, "fold", V.SURVEY_ID, "val"), [*CELL, "fold"], V.SURVEY_ID)
-    return rows.select(*at, V.SURVEY_ID, "val").join(
-        donors.select(*at, "rep", F.col("val").alias("permuted")), at).select(
+    rows = p.df.where(F.col("y").isNotNull()).select(*at, V.SURVEY_ID, F.get("x", F.lit(i)).alias("val"))
+    sizes = materialize(p.df.where(F.col("y").isNotNull()).groupBy(*CELL, "fold").agg(F.count(F.lit(1)).alias("n")))
+    donors = permuted(rows, sizes, [*CELL, "fold"], V.SURVEY_ID, "val")
+    return donors.select(*at, V.SURVEY_ID, "val", F.posexplode("donors").alias("rep", "permuted")).select(
         *at, V.SURVEY_ID, "rep", "val", "permuted")
 
 

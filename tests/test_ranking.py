@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import seeded_key
 from surveyspark.operators import ranking
-from surveyspark.operators.resampling import assign_folds, permuted_donors, random_draws
+from surveyspark.operators.resampling import assign_folds, permuted, permuted_donors, random_draws
 from surveyspark.session import materialize
 
 from conftest import rows
@@ -79,3 +79,20 @@ def test_average_rank_over_ranges(spark, monkeypatch):
     want = sorted(map(str, ranking.average_rank(df, "v", "r").collect()))
     monkeypatch.setattr(ranking, "RANGE_ROWS", 10)
     assert sorted(map(str, ranking.average_rank(df, "v", "r").collect())) == want
+
+
+def test_permuted_is_the_join_with_donors(spark):
+    df = spark.createDataFrame([(i % 2, i, i // 2, f"v{i}" if i % 5 else None) for i in range(60)], "cell int, id bigint, pos int, v string")
+    sizes = materialize(df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    donors = permuted_donors(df.drop("pos"), ["cell"], "id", 3)
+    want = rows(df.join(donors.select("cell", "pos", "rep", F.col("v").alias("new")), ["cell", "pos"]).select("cell", "id", "rep", "new").na.fill("-"))
+    for largest in (60, 10):  # in one task per group, and by ranges
+        got = permuted(df, sizes, ["cell"], "id", "v", 3, largest_group=largest)
+        assert rows(got.select("cell", "id", F.posexplode("donors").alias("rep", "new")).na.fill("-")) == want
+
+
+def test_rows_move_once_whatever_the_repeats(spark):
+    df = spark.createDataFrame([(1, i, i, "a") for i in range(9)], "cell int, id bigint, pos int, v string")
+    sizes = materialize(df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    plan = permuted(df, sizes, ["cell"], "id", "v", 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
