@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.functions.numbers import r4
@@ -10,6 +10,7 @@ from surveyspark.functions.numbers import r4
 # Codes of an annotated request-variable pair.
 CORRECT, PARTIAL, INCORRECT, INSIGHTFUL, VACUOUS = "correct", "partial", "incorrect", "unmappable-insightful", "unmappable-vacuous"
 CODES = [CORRECT, PARTIAL, INCORRECT, INSIGHTFUL, VACUOUS]
+ROWS_PER_TASK = 500_000  # ratings of one task
 
 
 def codings(ratings: DataFrame) -> DataFrame:
@@ -47,19 +48,27 @@ def fleiss_kappa(ratings: DataFrame, keys: list[str] | None = None) -> DataFrame
     """Agreement over all raters, by ``keys`` (columns of an item): keys, n_items, n_ratings, agreement, kappa.
 
     Items may lack ratings: an item counts with the raters it has, if there are two or more, and code shares come from all ratings
-    of such items.
+    of such items. Its keys are the least ones of all its ratings; items with a NULL key are left out. Ratings are counted first, so that
+    tasks hold equally many whatever their number, and move once, by item.
     """
     keys = keys or []
-    said = codings(ratings) if not keys else codings(ratings).join(ratings.groupBy("item").agg(*(F.min(k).alias(k) for k in keys)), "item")
-    counts = said.groupBy(*keys, "item", "code").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(*keys, "item").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("m > 1")
-    agreed = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.sum("m").alias("n_ratings"),
-                                      F.avg((F.col("squares") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("observed"))
-    shares = counts.join(sizes.select("item"), "item", "left_semi").groupBy(*keys, "code").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
-        F.sum(F.col("n") * F.col("n")).alias("products"))
-    rows = agreed.join(shares, keys) if keys else agreed.where("n_items > 0").crossJoin(F.broadcast(shares))  # one row each
-    return rows.select(*keys, "n_items", "n_ratings", r4(F.col("observed")).alias("agreement"),
-                       _kappa(F.col("observed"), F.col("products") / (F.col("n_ratings") * F.col("n_ratings"))).alias("kappa"))
+    tasks = max(int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")), ratings.count() // ROWS_PER_TASK)
+    least = [F.min(k).alias(k) for k in keys]
+    placed = ratings.where("item IS NOT NULL").select("item", "rater", "code", *keys).repartition(tasks, "item")
+    said = placed.groupBy("item", "rater").agg(F.min(F.when(F.col("rater").isNotNull(), F.col("code"))).alias("code"), *least)
+    counts = said.groupBy("item", "code").agg(F.count("code").alias("n"), *least)  # none where there is no code
+    item = Window.partitionBy("item")
+    # at most one row per rater in an item; its first one stands for the item
+    counts = counts.select("code", "n", *(F.min(k).over(item).alias(k) for k in keys), F.sum("n").over(item).alias("m"),
+                           F.sum(F.col("n") * F.col("n")).over(item).alias("squares"),
+                           (F.row_number().over(item.orderBy(F.asc_nulls_last("code"))) == 1).alias("first")).where("m > 1 AND code IS NOT NULL")
+    agreed = (F.col("squares") - F.col("m")) / (F.col("m") * (F.col("m") - 1))
+    shares = counts.groupBy(*keys, "code").agg(F.sum("n").alias("n"), F.count_if("first").alias("n_items"), F.sum(F.when(F.col("first"), agreed)).alias("agreed"))
+    rows = shares.groupBy(*keys).agg(F.sum("n_items").alias("n_items"), F.sum("n").alias("n_ratings"),
+                                     (F.sum("agreed") / F.sum("n_items")).alias("observed"), F.sum(F.col("n") * F.col("n")).alias("products"))
+    return rows.where(" AND ".join(["n_items > 0", *(f"`{k}` IS NOT NULL" for k in keys)])).select(
+        *keys, "n_items", "n_ratings", r4(F.col("observed")).alias("agreement"),
+        _kappa(F.col("observed"), F.col("products") / (F.col("n_ratings") * F.col("n_ratings"))).alias("kappa"))
 
 
 def sensitivity(ratings: DataFrame) -> DataFrame:

@@ -145,6 +145,18 @@ def test_kappa_where_chance_agrees_always(spark):
     assert agreement.cohen_kappa(empty).count() == 0 and agreement.fleiss_kappa(empty).count() == 0 and agreement.sensitivity(empty).count() == 0
 
 
+def test_ratings_move_once_in_tasks_of_equal_size(spark, monkeypatch):
+    monkeypatch.setattr(agreement, "ROWS_PER_TASK", 10, raising=False)
+    rows = [(i, r, agreement.CODES[(i + i // 7 * (r == "a")) % 3], "kl"[i % 2]) for i in range(300) for r in ("a", "b")]
+    table = spark.createDataFrame(rows, SAID)
+    got = agreement.fleiss_kappa(table, ["kind"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(item" in plan and ", 60)" in plan  # 600 ratings, 10 in a task
+    for r in got.collect():
+        own = {(i, who): code for i, who, code, kind in rows if kind == r.kind}
+        assert r.n_items == 150 and r.n_ratings == 300 and abs(r.kappa - kappas(own)[1]) < 1e-4
+
+
 def test_region_cells_and_profiles(spark):
     sizes = {"A": 12, "B": 4, "C": 7, "D": 3, "E": 2}
     places = spark.createDataFrame([("A", "N"), ("B", "N"), ("C", "N"), ("D", "S"), ("E", None)], "country string, region string")
