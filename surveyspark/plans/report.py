@@ -10,6 +10,7 @@ from surveyspark.functions.text import COUNTRY_PROVIDED, UNPROMPTED, is_demograp
 from surveyspark.operators.importance import importance_rank
 from surveyspark.operators.mapping import coverage, flag_hits, selected_features
 from surveyspark.operators.ranking import average_rank
+from surveyspark.session import materialize
 
 # Names of the default grid's targets.
 TARGET_LABELS = {
@@ -220,13 +221,18 @@ def cell_reports(mappings: DataFrame, importances: DataFrame, cells: DataFrame |
 
 
 def full_report(summary: DataFrame, mappings: DataFrame, importances: DataFrame) -> dict[str, DataFrame]:
-    """Every report table by name; each stays lazy."""
+    """Every report table by name.
+
+    Tables that several others read (summary, importances, rates, coverage, leads, extremes) are written once, so that the summary's
+    joins run once and not per table; they have rows per cell. The rest stays lazy.
+    """
+    summary, importances = materialize(summary).df, materialize(importances).df
     pivot = condition_pivot(summary)
     rows = signal_gap(summary)
-    rates = hit_rates(summary, mappings, importances)
-    covered = coverage(mappings, KEYS)
-    leads = lead_features(mappings)
-    extremes = extreme_cells(summary)
+    rates = materialize(hit_rates(summary, mappings, importances)).df
+    covered = materialize(coverage(mappings, KEYS)).df
+    leads = materialize(lead_features(mappings)).df
+    extremes = materialize(extreme_cells(summary)).df
     return {
         "headline_table": headline_table(summary),
         "headline_aggregate": headline_aggregate(summary),

@@ -105,3 +105,12 @@ def test_full_report_names(spark, pairs):
     imp = spark.createDataFrame([], "target_variable string, country string, feature_variable string, importance_mean double")
     out = report.full_report(pairs, maps, imp)
     assert len(out) == 17 and out["hit_rates"].where("hit_rate is not null").count() == 0
+
+
+def test_full_report_computes_the_summary_once(spark, pairs):
+    maps = spark.createDataFrame([("q", "A", "unprompted", 0, "K1", "age")],
+                                 "target string, country string, condition string, feature_rank bigint, selected_code string, feature_label string")
+    imp = spark.createDataFrame([("q", "A", "K1", 0.5)], "target_variable string, country string, feature_variable string, importance_mean double")
+    out = report.full_report(pairs.repartition(3), maps, imp)
+    for df in out.values():  # the step that makes the summary is part of no table
+        assert "RoundRobinPartitioning" not in df._jdf.queryExecution().executedPlan().toString()
