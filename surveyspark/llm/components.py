@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyspark.llm.texts import stored
+from surveyspark.llm.texts import discard, stored
 
 # Edges that one task contracts at a time.
 PIECE = 250_000
@@ -104,8 +104,9 @@ def components(edges: DataFrame) -> DataFrame:
     pieces = lambda df, n: df.repartition(max(1, -(-n // PIECE))).mapInArrow(_contracted, star)
     now, n, seen = _marked(edges.select("a", "b").filter("a <> b").distinct())
     while n:
-        one, last = n <= PIECE, seen
+        one, last, before = n <= PIECE, seen, now
         now, n, seen = _marked(pieces(now, n) if one else _star(_star(pieces(now, n), True), False))
+        discard(before)
         if one or last == seen:
             break
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -201,6 +201,72 @@ def test_prefixes_of_similar_sets_meet(monkeypatch):
         assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("k, percent, part", [(3, 90, 200), (5, 80, 330)])
+def test_jaccard_of_many_blocks_and_packets(spark, monkeypatch, k, percent, part):
+    """Small blocks, packets and buckets; each text six times under other ids, as in larger copies of a table."""
+    for name, value in (("FREQUENT", 2), ("BLOCK_SETS", 5), ("PACKET_TOKENS", 300), ("BUCKET_TOKENS", 200)):
+        monkeypatch.setattr(jaccard, name, value)
+    indexed = []
+    entries = jaccard._entries
+    monkeypatch.setattr(jaccard, "_entries", lambda *x: indexed.append(entries(*x)[2].select("node").distinct().count()) or entries(*x))
+    one = corpus(7) + [(1000 + d, t) for d, t in near_copies()]
+    rows = [(None if d is None else d + 10_000 * i, t) for i in range(6) for d, t in one]
+    got = jaccard.join(table(spark, rows), jaccard.Params(k, percent, part)).collect()
+    single = {d: c for d, _, c in map(eval, brute_components(one, k, percent)) if d is not None}
+    empty = {d for d, t in one if not words(t)}
+    for r in got:
+        if r.doc_id is not None:
+            own = r.doc_id % 10_000
+            assert r.component_id == (r.doc_id if own in empty else single[own])
+    # Equal sets are indexed once.
+    assert indexed[0] <= len({t for _, t in one})
+
+
+def test_parity_bitmaps_lose_no_link():
+    """Random pairs around the limit: all links are among the candidates, and what is far apart is not."""
+    import pyarrow as pa
+    rng, p = random.Random(2), jaccard.Params(1, 80, 330)
+    texts, roots, wide = [], [], 0
+    for i in range(40):
+        base = [rng.randrange(10 ** 9) for _ in range(rng.randrange(3, 400))]
+        for _ in range(2):
+            own = list(base)
+            for _ in range(rng.randrange(1 + len(own) // 5)):
+                own[rng.randrange(len(own))] = rng.randrange(10 ** 9)
+            texts.append(" ".join("w%d" % x for x in own + [rng.randrange(10 ** 9) for _ in range(rng.randrange(1 + len(own) // 20))]))
+    sets = [set(t.split()) for t in texts]
+    n = len(texts)
+    batch = pa.record_batch([pa.array(range(n)), pa.array([len(s) for s in sets]), pa.array(range(n)), pa.array([0] * n), pa.array(
+        [t.encode() for t in texts])], names=["node", "n", "root", "cluster", "text"])
+    maps = pa.Table.from_batches(list(jaccard._bitmaps(p)([batch])))
+    rows = pa.record_batch([pa.array([0] * n), *(maps.column(c).combine_chunks() for c in ("node", "n", "root")), pa.array([i % 2 for i in range(n)]), pa.array(
+        [1 - i % 2 for i in range(n)]), maps.column("bits").combine_chunks()], names=["task", "node", "n", "root", "k", "other", "bits"])
+    found = {tuple(sorted(x)) for out in jaccard._near_blocks(p)([rows.slice(0, 33), rows.slice(33)]) for x in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    for i in range(n):
+        for j in range(i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if (i % 2, j % 2) != (1, 1) and 100 * both >= 80 * all_:
+                assert (j, i) in found
+                wide += 1
+            assert (j, i) not in found or 100 * both >= 50 * all_
+    assert wide > 5 and not any(i % 2 and j % 2 for i, j in found)
+
+
+def test_scratch_tables_and_shuffles_go(spark):
+    """What a step no longer needs is deleted: shuffle files when a table is written, tables when nothing reads them again."""
+    from pathlib import Path
+    from surveyspark.session import shared_dir
+    shuffled = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    folder, before = Path(shared_dir(spark).removeprefix("file:")), shuffled()
+    was = set(folder.iterdir())
+    out = jaccard.join(table(spark, corpus(7) + [(1000 + d, t) for d, t in near_copies()]))
+    left = {d.name.split("-")[0] for d in set(folder.iterdir()) - was}
+    assert not left & {"profiles", "index", "crowded", "entries", "wanted", "hubs", "several", "open", "members", "candidates"}
+    assert not shuffled() - before
+    assert out.count() > 0
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     rows = [(3, "a b c d e f"), (1, "A b c d e f"), (2, "other words in this text here"), (4, None), (5, ""), (None, "a b c d e f")]
     docs = clashing(table(spark, rows))
