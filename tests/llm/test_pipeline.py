@@ -84,3 +84,13 @@ def test_stages(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     again = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, sharded))
+
+
+def test_tables_of_earlier_stages_go(spark):
+    from surveyspark.session import shared_dir
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    was = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, SF)
+    names = {d.name.rsplit("-", 1)[0] for d in set(folder.iterdir()) - was}
+    assert not names & {"quality", "near_copies", "decontamination"} and "mixing" in names
+    assert out.count() > 0
