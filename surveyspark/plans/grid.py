@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.operators import bayes, evaluation, importance
@@ -60,7 +60,7 @@ def run_grid(wide: DataFrame, id_col: str, country_col: str, targets: list[str],
 def map_responses(responses: DataFrame, feature_vectors: DataFrame, variable_vectors: DataFrame,
                   variable_texts: DataFrame, target_vectors: DataFrame, k: int = TOP_K,
                   min_similarity: float = MIN_SIMILARITY,
-                  leakage: float | None = LEAKAGE_SIMILARITY, feature_ids: DataFrame | None = None) -> DataFrame:
+                  leakage: float | None = LEAKAGE_SIMILARITY, feature_ids: DataFrame | Column | None = None) -> DataFrame:
     """Raw responses to mapping records with candidates, one per requested feature.
 
     ``responses``: response_id, target, country, raw_response.
@@ -69,16 +69,18 @@ def map_responses(responses: DataFrame, feature_vectors: DataFrame, variable_vec
     without a vector keeps its record, with no candidates.
 
     Where features share vectors, ``feature_ids`` (response_id, feature_rank, vector_id) names them and ``feature_vectors`` has
-    vector_id in place of the two. Each different (target, vector_id) is matched once, and records move without vectors.
+    vector_id in place of the two. Each different (target, vector_id) is matched once, and records move without vectors; vectors that
+    several of these share, or neighbouring ids, are compared once. A Column in its place gives the vector_id of a record from its columns.
     """
     listed = requested_features(parse_responses(responses), ["response_id", "target", "country", "condition"])
     records = listed.withColumn("request_id", F.concat_ws(":", "response_id", "feature_rank"))
     if feature_ids is not None:
-        records = materialize(records.join(feature_ids, ["response_id", "feature_rank"], "left")).df
+        records = materialize(records.withColumn("vector_id", feature_ids) if isinstance(feature_ids, Column)
+                              else records.join(feature_ids, ["response_id", "feature_rank"], "left")).df
         pairs = records.where(F.col("vector_id").isNotNull()).select("target", "vector_id").distinct()
         pairs = materialize(pairs.withColumn("request_id", F.monotonically_increasing_id())).df
         asked = pairs.join(feature_vectors, "vector_id").join(target_vectors, "target", "left")
-        nearest = nearest_variables(asked, variable_vectors, k, min_similarity, leakage)
+        nearest = nearest_variables(asked, variable_vectors, k, min_similarity, leakage, True, "vector_id")
         found = candidate_lists(nearest, pairs, variable_texts).drop("request_id")
         # (target, vector_id) is a row of ``found`` unless the feature has no vector_id
         out = records.join(found.withColumnRenamed("target", "_target"), F.col("target").eqNullSafe(F.col("_target")) & (
@@ -89,6 +91,8 @@ def map_responses(responses: DataFrame, feature_vectors: DataFrame, variable_vec
     return candidate_lists(nearest, records, variable_texts)
 
 
-def choose(records: DataFrame, answers: DataFrame, legacy: bool = False) -> DataFrame:
-    """Attach choice answers ``(request_id, raw_choice)`` to mapping records."""
+def choose(records: DataFrame, answers: DataFrame | Column, legacy: bool = False) -> DataFrame:
+    """Attach choice answers ``(request_id, raw_choice)`` to mapping records; a Column gives them from a record's columns."""
+    if isinstance(answers, Column):
+        return resolve_choices(records.withColumn("raw_choice", answers), legacy=legacy)
     return resolve_choices(records.join(answers, "request_id", "left"), legacy=legacy)

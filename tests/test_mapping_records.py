@@ -51,3 +51,25 @@ def test_shared_vectors_are_matched_once(spark, monkeypatch):
     assert asked == [18, 4] and together.count() == 24
     columns = ["request_id", "target", "feature_label", "candidates", "top_match_code", "top_match_score"]
     assert sorted(map(str, together.select(columns).collect())) == sorted(map(str, alone.select(columns).collect()))
+
+
+def test_ids_and_answers_from_columns(spark):
+    """Ids of vectors and answers that follow from a record need no table, so responses are parsed once."""
+    from pyspark.sql import functions as F
+
+    raw = '[{"feature": "a"}, {"feature": "b"}, {"feature": "c"}]'
+    responses = spark.createDataFrame([(i, "T", None, raw) for i in range(4)], "response_id bigint, target string, country string, raw_response string")
+    few = spark.createDataFrame([(v, *x) for v, x in {0: ([1.0, 0.0], [0.6, 0.8]), 1: ([0.0, 1.0], [0.0, 1.0])}.items()],
+                                "vector_id bigint, label_vector array<double>, combined_vector array<double>")
+    variables = spark.createDataFrame([("T", [1.0, 0.0]), ("V1", [0.8, 0.6]), ("V2", [0.0, 1.0])], "var_code string, vector array<double>")
+    texts = spark.createDataFrame([("V1", "one")], "var_code string, question_text string")
+    targets = spark.createDataFrame([("T", [1.0, 0.0])], "target string, target_vector array<double>")
+    rank = F.col("feature_rank")
+    place, answer = (rank % 3).cast("bigint"), F.when(rank != 1, F.lit("A"))
+    listed = spark.createDataFrame([(i, r, r) for i in range(4) for r in range(3)], "response_id bigint, feature_rank int, vector_id bigint")
+    answers = spark.createDataFrame([(f"{i}:{r}", "A") for i in range(4) for r in range(3) if r != 1], "request_id string, raw_choice string")
+    by_table = choose(map_responses(responses, few, variables, texts, targets, leakage=0.97, feature_ids=listed), answers)
+    by_column = choose(map_responses(responses, few, variables, texts, targets, leakage=0.97, feature_ids=place), answer)
+    columns = ["request_id", "candidates", "selected_code", "selected_text", "choice_response"]
+    assert sorted(map(str, by_column.select(columns).collect())) == sorted(map(str, by_table.select(columns).collect()))
+    assert by_column.count() == 12

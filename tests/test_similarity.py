@@ -106,3 +106,32 @@ def test_rows_without_vector_have_no_pairs(spark):
     left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "l string, v array<double>")
     right = spark.createDataFrame([("x", [0.5, 0.0]), ("y", None)], "r string, w array<double>")
     assert [tuple(r) for r in S.similar_pairs(left, "l", ["v"], right, "r", "w", 0.1).collect()] == [("a", "x", 0.5)]
+
+
+def test_neighbours_share_products(spark, monkeypatch):
+    """Requests with vectors in common get the rows they would get alone, and need no slices of their own."""
+    import random
+    import pyarrow as pa
+    rng = random.Random(5)
+    monkeypatch.setattr(S, "TASK_CELLS", 300)
+    monkeypatch.setattr(S, "PRODUCT_CELLS", 90)
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    vectors = [unit([rng.gauss(0, 1) for _ in range(3)]) for _ in range(30)]
+    variables = spark.createDataFrame([(f"V{i}", v) for i, v in enumerate(vectors)], "var_code string, vector array<double>")
+    rows = [(10 * p + t, p, f"V{t}" if t < 4 else None, vectors[p], vectors[(p + 1) % 30], vectors[t] if t < 3 else None) for p in range(30) for t in range(5)]
+    requests = spark.createDataFrame(rows, "request_id long, place long, target string, label_vector array<double>, combined_vector array<double>, "
+                                           "target_vector array<double>")
+    near = S.nearest_variables(requests, variables, leakage=0.8, near="place").collect()
+    want = []
+    for r, _, target, a, b, t in rows:
+        found = []
+        for i, v in enumerate(vectors):
+            dot = lambda x: sum(p * q for p, q in zip(x, v))
+            s = max(dot(a), dot(b))
+            if s >= 0.3 and f"V{i}" != target and not (t and dot(t) > 0.8):
+                found.append((-round(s, 6), f"V{i}"))
+        want += [(r, code, k) for k, (_, code) in enumerate(sorted(found)[:5])]
+    assert sorted((r.request_id, r.var_code, r.cand_rank) for r in near) == sorted(want)
+    batch = pa.record_batch([pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows])], names=["label_vector", "combined_vector"])
+    # 3 vectors a slice: two places and the one behind them, five targets each
+    assert [s.num_rows for s in S._shared_slices(batch, 30)] == [10] * 15
