@@ -9,8 +9,12 @@ features; ``operators.forest`` is the cross-check for single cells.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from surveyspark.session import BROADCAST_BYTES, BROADCAST_ROWS, Materialized, m
 
 ALPHA = 1.0  # additive smoothing
 MOST_LOOKUPS = 24  # features looked up by one small join each
+SET_BYTES = 16 << 20  # feature sets, once per fold, that are sent to every executor
+HELD_NUMBERS, HELD_ROWS = 4 << 20, 4096  # likelihoods that a task holds when it scores sets, and rows scored at once
 
 
 @dataclass(frozen=True)
@@ -240,20 +246,109 @@ def _set_arrays(profiles: Profiles, sets: DataFrame) -> Materialized:
     return materialize(places.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("set_id", "ats"))).alias("sets")))
 
 
+def _dense(lls: pa.Array, m: int, n_features: int, n_classes: int) -> np.ndarray:
+    """Likelihoods as rows × features × classes; 0, which changes no sum, where there are none, and one feature more of that kind."""
+    inner = lls.flatten()
+    sizes = pc.fill_null(pc.list_value_length(inner), 0).to_numpy()
+    values = inner.flatten().to_numpy(zero_copy_only=False)
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((m, n_features + 1, n_classes))
+    out[at // n_features, at % n_features, np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out
+
+
+def _set_hits(places: list[tuple], n_features: int, n_classes: int) -> Callable:
+    """Rows (_place, y, lls) to counts (_place, _nth, n_test, n_right) of a task. ``places``: _place, prior, and per set its features' places."""
+    places = sorted(places)
+    keys = np.array([p[0] for p in places], np.int64)
+    most = max(1, HELD_NUMBERS // ((n_features + 1) * n_classes))
+    # equal sets of a cell, as many random ones are, are scored once
+    different = [list(dict.fromkeys(sets)) for _, _, sets in places]
+    priors, ats = [], []
+    for (_, start, _), sets in zip(places, different):
+        priors.append(np.concatenate((start, np.full(n_classes - len(start), -np.inf))))
+        one = np.full((len(sets), max((len(s) for s in sets), default=0)), n_features, np.int64)
+        for j, members in enumerate(sets):
+            one[j, :len(members)] = [n_features if at < 0 else at for at in members]
+        ats.append(one)
+
+    def hits(g: int, y: np.ndarray, lls: np.ndarray) -> np.ndarray:
+        """Right rows per set, of rows of one place; ``lls`` by class, feature and row."""
+        scores = np.empty((n_classes, len(ats[g]), len(y)))
+        scores[:] = priors[g][:, None, None]
+        for at in ats[g].T:
+            scores += lls[:, at]
+        scores = np.floor(scores * 1e9 + 0.5)
+        best, top = np.zeros(scores.shape[1:], np.int64), scores[0]
+        for c in range(1, n_classes):  # the later one on a tie
+            best[scores[c] >= top] = c
+            top = np.maximum(top, scores[c])
+        return (best == y).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tested, right = np.zeros(len(keys), np.int64), [np.zeros(len(d), np.int64) for d in different]
+
+        def count(held: list[pa.RecordBatch]) -> None:
+            place = np.concatenate([b.column("_place").to_numpy() for b in held])
+            y = np.concatenate([b.column("y").to_numpy() for b in held])
+            lls = np.concatenate([_dense(b.column("lls"), b.num_rows, n_features, n_classes) for b in held])
+            order = np.argsort(place, kind="stable")
+            place, y, lls = place[order], y[order], np.ascontiguousarray(lls[order].transpose(2, 1, 0))
+            cuts = np.flatnonzero(np.diff(place, prepend=place[0] - 1)).tolist() + [len(place)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                g = int(np.searchsorted(keys, place[lo]))
+                if g < len(keys) and keys[g] == place[lo]:  # else a cell without sets
+                    tested[g] += hi - lo
+                    for first in range(lo, hi, HELD_ROWS):
+                        part = slice(first, min(hi, first + HELD_ROWS))
+                        right[g] += hits(g, y[part], lls[:, :, part])
+
+        held, rows = [], 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, most):
+                piece = batch.slice(first, most)
+                if held and rows + piece.num_rows > most:
+                    count(held)
+                    held, rows = [], 0
+                held.append(piece)
+                rows += piece.num_rows
+        if held:
+            count(held)
+        out = []
+        for g in np.flatnonzero(tested).tolist():
+            nth = {one: j for j, one in enumerate(different[g])}
+            out += [(int(keys[g]), i, int(tested[g]), int(right[g][nth[one]])) for i, one in enumerate(places[g][2])]
+        for first in range(0, len(out), 10_000):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[first:first + 10_000]), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
+                                  names=["_place", "_nth", "n_test", "n_right"])
+    return run
+
+
 def set_accuracy(model: BayesModel, sets: DataFrame) -> DataFrame:
     """Held-out accuracy of every feature set: cell, set_id, fold, n_test, n_right, accuracy.
 
     ``sets`` is ``(cell, set_id, feature)``. A respondent's likelihoods are one array and the cell's sets another, so nothing is
-    expanded by set but the hits, which are counted where they arise.
+    expanded by set but the hits, which are counted where they arise. Sets up to ``SET_BYTES`` are sent to every
+    executor and scored batch by batch, all rows at once; more of them are joined to the rows. Both ways add the same numbers in the same order.
     """
     p = model.profiles
     lists = _set_arrays(p, sets)
-    rows = model.priors.narrow(*CELL, "fold", "prior").join_into(term_rows(model), [*CELL, "fold"], spread=p.id_col)
-    rows = lists.join_into(rows, CELL, spread=p.id_col)
-    add = lambda scores, at: added(scores, F.get("lls", at))
-    hit = lambda s: (best_class(F.aggregate(s["ats"], F.col("prior"), add)) == F.col("y")).cast("int")
-    hits = rows.select(*CELL, "fold", F.posexplode(F.transform("sets", hit)).alias("_nth", "hit"))
-    counts = hits.groupBy(*CELL, "fold", "_nth").agg(F.count(F.lit(1)).alias("n_test"), F.sum("hit").alias("n_right"))
+    if lists.bytes * p.n_folds <= SET_BYTES:
+        # at most SET_BYTES, a row per cell and fold
+        known = lists.join_into(model.priors.df, CELL).select(model.place().alias("_place"), "prior", F.col("sets.ats").alias("ats")).collect()
+        score = _set_hits([(r._place, tuple(r.prior), [tuple(a) for a in r.ats]) for r in known], len(p.features), p.n_classes)
+        hits = term_rows(model).select("_place", F.col("y").cast("bigint").alias("y"), "lls").mapInArrow(
+            score, "_place bigint, _nth int, n_test bigint, n_right bigint")
+        counts = hits.groupBy("_place", "_nth").agg(F.sum("n_test").alias("n_test"), F.sum("n_right").alias("n_right"))
+        folds = model.priors.narrow(*CELL, "fold", model.place().alias("_place"))
+        counts = folds.join_into(counts, ["_place"]).drop("_place")
+    else:
+        rows = model.priors.narrow(*CELL, "fold", "prior").join_into(term_rows(model), [*CELL, "fold"], spread=p.id_col)
+        rows = lists.join_into(rows, CELL, spread=p.id_col)
+        add = lambda scores, at: added(scores, F.get("lls", at))
+        hit = lambda s: (best_class(F.aggregate(s["ats"], F.col("prior"), add)) == F.col("y")).cast("int")
+        hits = rows.select(*CELL, "fold", F.posexplode(F.transform("sets", hit)).alias("_nth", "hit"))
+        counts = hits.groupBy(*CELL, "fold", "_nth").agg(F.count(F.lit(1)).alias("n_test"), F.sum("hit").alias("n_right"))
     names = lists.df.select(*CELL, F.posexplode("sets").alias("_nth", "s")).select(*CELL, "_nth", "s.set_id")
     return counts.join(names, [*CELL, "_nth"]).drop("_nth").withColumn("accuracy", F.col("n_right") / F.col("n_test"))
 

@@ -161,3 +161,48 @@ def test_conditions_may_hold_the_separator(spark, model):
     for r in rows.values():
         assert r["model"] == r["oracle"] == rows["plain"]["model"] and r["model"]["accuracy_mean"] > 0.8
         assert r["random"]["n_draws"] == 3
+
+
+def test_set_hits_of_a_batch(monkeypatch):
+    """Hits of all sets of a cell, equal ones scored once, against sums by hand; likelihoods may lack, cells may have fewer classes or no sets."""
+    import math
+    import random
+    import pyarrow as pa
+    from surveyspark.operators import bayes
+
+    monkeypatch.setattr(bayes, "HELD_NUMBERS", 7 * 4 * 3)
+    monkeypatch.setattr(bayes, "HELD_ROWS", 2)
+    rng = random.Random(3)
+    classes = {-5: 3, 8: 2, 11: 3}
+    places = [(p, tuple(rng.random() for _ in range(n)), [(0, 2), (1,), (0, 2), (-1, 0, 1), (2,)][: 5 - p % 2]) for p, n in classes.items()]
+    rows = []
+    for _ in range(60):
+        p = rng.choice([-5, 8, 11, 12])
+        n = classes.get(p, 3)
+        rows.append((p, rng.randrange(n), [None if rng.random() < 0.2 else [round(rng.random(), 1) for _ in range(n)] for _ in range(3)]))
+    want = {}
+    for p, y, lls in rows:
+        for nth, ats in enumerate(next((s for q, _, s in places if q == p), [])):
+            scores = list(next(q[1] for q in places if q[0] == p))
+            for at in ats:
+                if at >= 0 and lls[at]:
+                    scores = [a + b for a, b in zip(scores, lls[at])]
+            right = max((math.floor(s * 1e9 + 0.5), c) for c, s in enumerate(scores))[1] == y
+            n, r = want.get((p, nth), (0, 0))
+            want[p, nth] = n + 1, r + right
+    batch = pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(
+        [r[2] for r in rows], pa.list_(pa.list_(pa.float64())))], names=["_place", "y", "lls"])
+    out = pa.Table.from_batches(list(bayes._set_hits(places, 3, 3)([batch.slice(0, 25), batch.slice(25)]))).to_pylist()
+    assert {(r["_place"], r["_nth"]): (r["n_test"], r["n_right"]) for r in out} == want and len(out) == len(want)
+
+
+def test_sets_that_are_not_sent_score_the_same(spark, monkeypatch):
+    from surveyspark.operators import bayes
+    from surveyspark.queries import modelling
+
+    sf = "/root/testdata/sf0.001"
+    m, sets = modelling.model(spark, sf), modelling._sets(spark, sf).distinct()
+    sent = sorted(map(repr, bayes.set_accuracy(m, sets).select("target", "country", "set_id", "fold", "n_test", "n_right", "accuracy").collect()))
+    monkeypatch.setattr(bayes, "SET_BYTES", -1)
+    joined = sorted(map(repr, bayes.set_accuracy(m, sets).select("target", "country", "set_id", "fold", "n_test", "n_right", "accuracy").collect()))
+    assert sent == joined and sent
